@@ -1,4 +1,6 @@
-"""Queries over the driver's tables, each with SQL where SQL can express it."""
+"""All queries over the driver's tables, each with SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import allocation, barsets, ingest, labelling, micro, risk  # noqa: F401  (they register themselves)
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
