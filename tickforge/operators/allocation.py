@@ -44,7 +44,7 @@ def as_weights(spark: SparkSession, assets: list, weights: np.ndarray) -> DataFr
 
 
 def inverse_variance(returns: DataFrame, asset: str, value: str = "ret") -> DataFrame:
-    v = returns.groupBy(asset).agg((1.0 / F.var_samp(value)).alias("__i"))
+    v = returns.groupBy(asset).agg(F.try_divide(F.lit(1.0), F.var_samp(value)).alias("__i"))
     return v.select(F.col(asset).alias("asset"), (F.col("__i") / F.sum("__i").over(full([F.lit(1)]))).alias("weight"))
 
 

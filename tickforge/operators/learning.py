@@ -20,6 +20,11 @@ def folds(rows: DataFrame, k: int, *, by: list[str], order: list[str]) -> DataFr
     return rows.withColumns({"place": (F.row_number().over(w) - 1).cast("long"), "fold": (F.ntile(k).over(w) - 1).cast("long")})
 
 
+def _join(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """a with the few rows of b of its series; without series, b is broadcast."""
+    return a.join(b, by) if by else a.crossJoin(F.broadcast(b))
+
+
 def purged_folds(events: DataFrame, k: int, *, by: list[str], start: str, end: str, embargo: float = 0.0) -> DataFrame:
     """Rows (event..., place, fold, role) of each fold's test and train events.
 
@@ -31,12 +36,12 @@ def purged_folds(events: DataFrame, k: int, *, by: list[str], start: str, end: s
     bounds = x.groupBy(*by, "fold").agg(F.min(start).alias("__t0"), F.max(end).alias("__t1"), F.min("place").alias("__a"), F.max("place").alias("__z"))
     n = x.groupBy(*by).agg(F.count("*").alias("__n"))
     own = x.withColumnRenamed("fold", "__own")
-    after = own.join(bounds, by).groupBy(*by, "fold").agg(F.sum((F.col(start) < F.col("__t1")).cast("long")).alias("__after"))
-    edges = bounds.join(after, [*by, "fold"]).join(n, by)
+    after = _join(own, bounds, by).groupBy(*by, "fold").agg(F.sum((F.col(start) < F.col("__t1")).cast("long")).alias("__after"))
+    edges = _join(bounds.join(after, [*by, "fold"]), n, by)
     late = F.col("place") >= F.col("__after") + F.floor(F.col("__n") * F.lit(embargo))
     test = (F.col("place") >= F.col("__a")) & (F.col("place") <= F.col("__z"))
     role = F.when(test, "test").when((F.col(end) <= F.col("__t0")) | late, "train")
-    out = own.join(edges, by).withColumn("role", role).filter("role is not null")
+    out = _join(own, edges, by).withColumn("role", role).filter("role is not null")
     return out.select(*events.columns, "place", "fold", "role")
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import ordered
+from ..functions.columns import ordered, ratio
 
 
 def ou_fit(series: DataFrame, price: str, *, by: list[str], order: list[str]) -> DataFrame:
@@ -59,10 +59,10 @@ def rule_grid(spark: SparkSession, profits: list[float], losses: list[float], *,
             yield pd.DataFrame(out, columns=["profit", "loss", "n", "s", "q"])
 
     sums = spread.mapInPandas(run, "profit double, loss double, n long, s double, q double").groupBy("profit", "loss").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    mean = F.col("s") / F.col("n")
-    std = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
+    mean = ratio(F.col("s"), F.col("n"))
+    std = F.sqrt(F.greatest(ratio(F.col("q"), F.col("n")) - mean * mean, F.lit(0.0)))
     some = F.col("n") > 1
-    return sums.select("profit", "loss", "n", F.when(some, mean).otherwise(0.0).alias("mean"), F.when(some, std).otherwise(0.0).alias("std"), F.when(some & (std > 0), mean / std).otherwise(0.0).alias("sharpe"))
+    return sums.select("profit", "loss", "n", F.when(some, mean).otherwise(0.0).alias("mean"), F.when(some, std).otherwise(0.0).alias("std"), F.when(some & (std > 0), ratio(mean, std)).otherwise(0.0).alias("sharpe"))
 
 
 def best_rule(grid: DataFrame) -> DataFrame:

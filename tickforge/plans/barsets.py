@@ -77,7 +77,7 @@ def variance_of_variances(spark, sf):
     return w.groupBy("series_id").agg(r(F.var_samp("v")).alias("v"), F.count("v").alias("n"))
 
 
-@query("WITH x AS (SELECT o_orderpriority AS asset, o_orderdate AS ts, o_orderkey AS seq, year(o_orderdate) AS y, o_totalprice AS p FROM orders), m AS (SELECT asset, date_trunc('month',ts) AS m, var_samp(p) AS v FROM x GROUP BY 1,2) SELECT asset, round(var_samp(v)/1e16,6)+0.0 AS variance_of_variances, count(v) AS months FROM m GROUP BY 1")
+@query(f"WITH x AS (SELECT o_orderpriority AS asset, o_orderdate AS ts, o_orderkey AS seq, year(o_orderdate) AS y, o_totalprice AS p FROM orders), m AS (SELECT asset, date_trunc('month',ts) AS m, var_samp(p) AS v FROM x GROUP BY 1,2) SELECT asset, {q('var_samp(v)/1e16')} AS variance_of_variances, count(v) AS months FROM m GROUP BY 1")
 def bars_month_varvar(spark, sf):
     x = views.read(spark, sf, "orders").select(F.col("o_orderpriority").alias("asset"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("p"))
     return bars.month_variances(x, "p", by=["asset"], ts="ts").withColumn("variance_of_variances", r(F.col("variance_of_variances") / 1e16))

@@ -23,8 +23,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def r(x: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison, without a negative zero."""
-    return F.round(F.col(x) if isinstance(x, str) else x, digits) + F.lit(0.0)
+    """Rounded for comparison, without a negative zero; a small shift keeps exact halves from going either way."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + F.lit(float(f"2.71e-{digits + 3}")), digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -33,4 +33,4 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def q(x: str, digits: int = 6) -> str:
     """r() as SQL."""
-    return f"round(({x})::DOUBLE,{digits})+0.0::DOUBLE"
+    return f"round(({x})::DOUBLE+2.71e-{digits + 3}::DOUBLE,{digits})+0.0::DOUBLE"
