@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delta, map_rows, pack, reducers, undelta, unpack, words
+from .common import delta, map_rows, materialise, pack, reducers, undelta, unpack
 
 #: Base of the rolling hash and its inverse modulo 2**64; any odd number has one.
 BASE = 0x9E3779B97F4A7C15
@@ -27,22 +28,10 @@ def _powers(base: int, n: int) -> np.ndarray:
 class RollingHash:
     """Rabin-Karp hashes modulo 2**64 of all windows of `width` words; a word's value is its XXH64."""
 
-    def __init__(self, width: int, keep: int = 500_000):
-        self.width, self.keep, self.known = width, keep, {}
+    def __init__(self, width: int):
+        self.width = width
         self.up, self.down = _powers(BASE, 1 << 12), _powers(INVERSE, 1 << 12)
 
-    def _word_hashes(self, found: list[bytes]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
-        except KeyError:
-            own = self.known
-            if len(own) > self.keep:
-                own.clear()
-            for w in found:
-                if w not in own:
-                    own[w] = xxhash.xxh64_intdigest(w)
-            return np.fromiter(map(own.__getitem__, found), np.uint64, len(found))
-
     def windows(self, found: list[bytes]) -> np.ndarray:
         """Sum over j of value[i + j] * BASE**-j for each start i, from one running sum of value[k] * BASE**-k."""
         n = len(found)
@@ -50,7 +39,8 @@ class RollingHash:
             return np.empty(0, np.uint64)
         if n > len(self.up):
             self.up, self.down = _powers(BASE, 2 * n), _powers(INVERSE, 2 * n)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self._word_hashes(found) * self.down[:n], dtype=np.uint64)])
+        values = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * self.down[:n], dtype=np.uint64)])
         return (total[self.width :] - total[: n - self.width + 1]) * self.up[: n - self.width + 1]
 
 
@@ -68,73 +58,51 @@ def intervals(mask: np.ndarray) -> list[list[int]]:
     return edges.reshape(-1, 2).tolist()
 
 
-#: Windows gathered before they are sorted and packed, which bounds a task's memory.
-CHUNK = 1_500_000
+def _among(h: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    """Which of h are among sorted values."""
+    if not len(sorted_values):
+        return np.zeros(len(h), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, h), len(sorted_values) - 1)] == h
 
 
-def repeated_windows(docs: DataFrame, width: int = 35) -> DataFrame:
-    """Rows (k1, k2, starts): for each document with repeated windows, packed starts of some of them.
+#: Words to a chunk of documents, which bounds a task's memory.
+CHUNK = 500_000
 
-    docs has k1, k2 (a key of the row's content) and text. Every window's hash goes to the task that
-    owns its range of hashes, sorted and packed with its document and place; there, values that occur
-    more than once are found. A hash that is frequent is one value of many, so tasks stay even.
-    """
-    n = reducers(docs, 8 << 20)
 
-    def scatter(batches: Iterator[dict]) -> Iterator[dict]:
-        rolling, rows, size = RollingHash(width), [], 0
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Rows (chunk, payload): documents packed together until they have CHUNK words."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        part, made = TaskContext.get().partitionId(), 0
+        ids, texts, size = [], [], 0
 
         def flush() -> dict:
-            h = np.concatenate([x for _, _, x in rows])
-            doc = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(x) for _, _, x in rows])
-            place = np.concatenate([np.arange(len(x), dtype=np.uint32) for _, _, x in rows])
-            keys = np.array([(a, b) for a, b, _ in rows], np.int64)
-            order = np.argsort(h)
-            h, doc, place = h[order], doc[order], place[order]
-            cuts = np.searchsorted(h, np.array([(i << 64) // n for i in range(1, n)], np.uint64)) if n > 1 else []
-            out = {"part": [], "payload": []}
-            for part, (a, b, c) in enumerate(zip(np.split(h, cuts), np.split(doc, cuts), np.split(place, cuts), strict=True)):
-                if len(a):
-                    used, at = np.unique(b, return_inverse=True)
-                    out["part"].append(part)
-                    out["payload"].append(pack(delta(a), at.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32), c, keys[used, 0], keys[used, 1]))
-            return out
+            nonlocal made
+            made += 1
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+            body = pack(np.array([len(t) for t in raw], np.int64), np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.frombuffer(b"".join(raw), np.uint8))
+            return {"chunk": [f"{part}-{made}"], "payload": [body]}
 
         for b in batches:
-            for k1, k2, text in zip(b["k1"], b["k2"], b["text"], strict=True):
-                h = rolling.windows(words(text))
-                if len(h):
-                    rows.append((k1, k2, h))
-                    size += len(h)
+            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+                ids.append(doc_id)
+                texts.append(text or "")
+                size += texts[-1].count(" ") + 1
                 if size > CHUNK:
                     yield flush()
-                    rows, size = [], 0
-        if rows:
+                    ids, texts, size = [], [], 0
+        if ids:
             yield flush()
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(x) for x in pdf["payload"]]
-        hashes = [undelta(p[0]) for p in parts]
-        every = np.sort(np.concatenate(hashes))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        k1, k2, starts = [], [], []
-        if len(twice):
-            for h, (_, doc, place, a, b) in zip(hashes, parts, strict=True):
-                hit = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
-                if not hit.any():
-                    continue
-                doc, place = doc[hit], place[hit]
-                order = np.lexsort((place, doc))
-                doc, place = doc[order], place[order]
-                found, first = np.unique(doc, return_index=True)
-                for d, own in zip(found, np.split(place, first[1:]), strict=True):
-                    k1.append(int(a[d]))
-                    k2.append(int(b[d]))
-                    starts.append(delta(own).astype("<u4").tobytes())
-        return pd.DataFrame({"k1": pd.Series(k1, dtype="int64"), "k2": pd.Series(k2, dtype="int64"), "starts": pd.Series(starts, dtype="object")})
-
-    sent = map_rows(docs.select("k1", "k2", "text"), scatter, "part int, payload binary")
-    return sent.groupBy("part").applyInPandas(gather, "k1 long, k2 long, starts binary")
+    return map_rows(docs.select("doc_id", "text"), run, "chunk string, payload binary")
+
+
+def _opened(payload: bytes) -> tuple[list[int | None], list[list[bytes]]]:
+    """Ids and words of a chunk's documents."""
+    lengths, ids, null, raw = unpack(payload)
+    raw, ends = raw.tobytes(), np.cumsum(lengths).tolist()
+    texts = [raw[e - n : e] for e, n in zip(ends, lengths.tolist(), strict=True)]
+    return [None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)], [t.split() for t in texts]
 
 
 def remove_repeats(docs: DataFrame, *, width: int = 35) -> DataFrame:
@@ -142,30 +110,55 @@ def remove_repeats(docs: DataFrame, *, width: int = 35) -> DataFrame:
 
     A window that starts at two places of the corpus, of the same document or of two, is repeated,
     and each of its words goes; windows are judged on the input. kept holds the words that stay,
-    joined by one space; removed lists maximal [start, stop) intervals of word places. Windows are
-    compared by 64-bit hashes, so two different windows are taken for one with probability 2**-64 a
-    pair. Null and empty texts have no words; documents of fewer words than `width` stay whole;
-    repeated rows repeat each other's windows; rows with a null doc_id are treated like others.
+    joined by one space; removed lists maximal [start, stop) intervals of word places.
+
+    Documents form chunks, written once to the shared folder. The hashes of all windows of a chunk
+    go, sorted and packed, to the tasks that each own a range of hashes; these count them and answer
+    every chunk with those of its own that occur more than once. A frequent window is one value among
+    many in each chunk's list, so tasks stay even. Windows are compared by 64-bit hashes: two
+    different ones are taken for one with probability 2**-64 a pair. Null and empty texts have no
+    words; documents of fewer words than `width` stay whole; repeated rows repeat each other's
+    windows; rows with a null doc_id are treated like others; an empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = own.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1), "doc_id")})
-    # Rows of equal content get equal starts, once from each row; the union of places is the same.
-    starts = repeated_windows(own, width).groupBy("k1", "k2").agg(F.collect_list("starts").alias("starts"))
-    joined = own.hint("merge").join(starts, ["k1", "k2"], "left")
+    n = reducers(docs, 8 << 20)
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def scatter(batches: Iterator[dict]) -> Iterator[dict]:
+        rolling = RollingHash(width)
         for b in batches:
-            out = {"doc_id": b["doc_id"], "n_words": [], "kept": [], "removed": []}
-            for text, found in zip(b["text"], b["starts"], strict=True):
-                w = words(text)
-                out["n_words"].append(len(w))
-                if found:
-                    mask = covered(np.concatenate([undelta(np.frombuffer(x, "<u4")) for x in found]).astype(np.int64), width, len(w))
-                    out["removed"].append(intervals(mask))
-                    w = [x for x, gone in zip(w, mask.tolist(), strict=True) if not gone]
-                else:
-                    out["removed"].append([])
-                out["kept"].append(b" ".join(w).decode("utf-8", "surrogatepass"))
-            yield out
-
-    return map_rows(joined.select("doc_id", "text", "starts"), run, "doc_id long, n_words long, kept string, removed array<array<int>>")
+            for chunk, payload in zip(b["chunk"], b["payload"], strict=True):
+                found = [rolling.windows(w) for w in _opened(payload)[1]]
+                h = np.sort(np.concatenate([*found, np.empty(0, np.uint64)]))
+                parts = np.split(h, np.searchsorted(h, np.array([(i << 64) // n for i in range(1, n)], np.uint64))) if n > 1 else [h]
+                out = [(i, pack(delta(x))) for i, x in enumerate(parts) if len(x)]
+                yield {"chunk": [chunk] * len(out), "part": [i for i, _ in out], "payload": [x for _, x in out]}
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = [undelta(unpack(x)[0]) for x in pdf["payload"]]
+        every = np.sort(np.concatenate(asked))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        rows = [(chunk, own) for chunk, h in zip(pdf["chunk"], asked, strict=True) if len(own := h[_among(h, twice)])]
+        return pd.DataFrame({"chunk": pd.Series([c for c, _ in rows], dtype="object"), "payload": pd.Series([pack(delta(h)) for _, h in rows], dtype="object")})
+
+    def remove(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, found = _opened(pdf.loc[pdf["documents"], "payload"].iloc[0])
+        twice = np.sort(np.concatenate([np.empty(0, np.uint64), *[undelta(unpack(x)[0]) for x in pdf.loc[~pdf["documents"], "payload"]]]))
+        rolling, out = RollingHash(width), {"n_words": [], "kept": [], "removed": []}
+        for w in found:
+            out["n_words"].append(len(w))
+            h = rolling.windows(w)
+            starts = np.flatnonzero(_among(h, twice))
+            if len(starts):
+                mask = covered(starts, width, len(w))
+                out["removed"].append(intervals(mask))
+                w = [x for x, gone in zip(w, mask.tolist(), strict=True) if not gone]
+            else:
+                out["removed"].append([])
+            out["kept"].append(b" ".join(w).decode("utf-8", "surrogatepass"))
+        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), **out})
+
+    told = materialise(_chunks(own), "chunks")
+    sent = map_rows(told, scatter, "chunk string, part int, payload binary")
+    replies = sent.groupBy("part").applyInPandas(gather, "chunk string, payload binary")
+    rows = told.select("chunk", F.lit(True).alias("documents"), "payload").unionByName(replies.select("chunk", F.lit(False).alias("documents"), "payload"))
+    return rows.groupBy("chunk").applyInPandas(remove, "doc_id long, n_words long, kept string, removed array<array<int>>")
