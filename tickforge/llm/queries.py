@@ -92,4 +92,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_quality_rules, op4_token_counts, op5_lm_scores, op6_near_duplicates, op7_ogg_media, op8_personal_data, op9_remove_repeats, op10_chat_examples)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')"
+
+#: CRC-32 of a short ASCII text, bit by bit.
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(range(1,length({0})+1), lambda i: ascii(substr({0},i::INTEGER,1))::BIGINT), lambda c, b: list_reduce([xor(c,b),0,0,0,0,0,0,0,0], lambda x, z: xor(x>>1, CASE WHEN x%2=1 THEN 3988292384 ELSE 0 END))),4294967295)"
+
+_LM = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_CRC.format("coalesce(CAST(doc_id AS VARCHAR),'')")} % 7 = 2 AS held, {_WORDS.replace('text', "translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')")} || [''] AS w FROM documents),
+ t AS MATERIALIZED (SELECT rid, held, unnest(w) AS w, generate_subscripts(w,1) AS i FROM d), p AS MATERIALIZED (SELECT *, coalesce(lag(w) OVER (PARTITION BY rid ORDER BY i), chr(10)) AS v FROM t),
+ c AS MATERIALIZED (SELECT w, count(*) AS c FROM p WHERE NOT held GROUP BY 1), h AS MATERIALIZED (SELECT v, count(*) AS h FROM p WHERE NOT held GROUP BY 1), b AS MATERIALIZED (SELECT v, w, count(*) AS k FROM p WHERE NOT held GROUP BY 1,2),
+ n AS (SELECT coalesce(sum(c),0)::DOUBLE AS n, count(*)::DOUBLE AS v FROM c),
+ x AS (SELECT p.rid, coalesce(c.c,0) AS c, CASE WHEN c.c>0 THEN (c.c-0.5::DOUBLE)/n.n WHEN n.n>0 THEN 0.5::DOUBLE*n.v/n.n ELSE 1 END AS p1, coalesce(0.5::DOUBLE*h/(h+1),0) AS share, coalesce(h,1) AS h, coalesce(k,0) AS k, log10((coalesce(c.c,0)+1)/(n.n+n.v+1)) AS base FROM p CROSS JOIN n LEFT JOIN c ON c.w=p.w LEFT JOIN h ON h.v=p.v LEFT JOIN b ON b.v=p.v AND b.w=p.w),
+ s AS (SELECT rid, count(*) AS n_tokens, count(*) FILTER (c>0) AS n_known, sum(base) AS base, sum(log10(share*k/h+(1-share)*p1)) AS score FROM x GROUP BY 1)
+ SELECT doc_id, held AS held_out, n_tokens, n_known, n::BIGINT AS train_tokens, round(base,6) AS base_score, round(score,6) AS score FROM s JOIN d USING(rid) CROSS JOIN n"""
+
+_REPEATS = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+ s AS MATERIALIZED (SELECT rid, unnest(range(1,len(w)-33)) AS i FROM d WHERE len(w)>=35), k AS MATERIALIZED (SELECT s.rid, i, md5(array_to_string(w[i:i+34],' ')) AS k FROM s JOIN d USING(rid)),
+ g AS (SELECT DISTINCT rid, unnest(range(i,i+35)) AS i FROM k WHERE k IN (SELECT k FROM k GROUP BY 1 HAVING count(*)>1)),
+ t AS (SELECT rid, unnest(w) AS w, generate_subscripts(w,1) AS i FROM d),
+ o AS (SELECT t.rid, count(g.i) AS n_removed, string_agg(t.w,' ' ORDER BY t.i) FILTER (g.i IS NULL) AS kept FROM t LEFT JOIN g ON g.rid=t.rid AND g.i=t.i GROUP BY 1)
+ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed,0)::BIGINT AS n_removed, sha256(coalesce(kept,'')) AS kept_sha256 FROM d LEFT JOIN o USING(rid)"""
+
+_CHAT = r"""WITH t AS (SELECT conv_id, turn, role, coalesce(text,'') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{0}' UNION ALL SELECT -1, 1, 'assistant', '{0}'),
+ e AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, 24+length(replace(replace(replace(role,'\','\\'),'<|','<\|'),chr(10),'\n'))+length(replace(replace(text,'\','\\'),'<|','<\|')) AS size FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+ c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS so_far FROM e)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10),'' ORDER BY i)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role='assistant'),0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text,'' ORDER BY i) FILTER (role='assistant'),'')) AS loss_sha256, sum(so_far) FILTER (role='assistant' OR i=n)::BIGINT AS formatted_chars FROM c GROUP BY 1""".replace("{0}", TRICK)
+
+ORACLE_SQL: dict[str, str] = {"op5_lm_scores": _LM, "op9_remove_repeats": _REPEATS, "op10_chat_examples": _CHAT}
