@@ -16,7 +16,7 @@ from .common import delta, lower_words, map_rows, materialise, pack, reducers, u
 #: Hashes of the two marks; neither is a word, since words are not empty and hold no line feed.
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b"\n")
 #: Tokens to a chunk of documents, which bounds a task's memory.
-CHUNK = 1_500_000
+CHUNK = 500_000
 
 
 class Bigrams:
@@ -172,7 +172,7 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
         distinct = int(((total > 0) & (found != np.uint64(START))).sum())
         return pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["part"], "payload": [pack(_narrow(a), _narrow(b)) for a, b in zip(words, pairs, strict=True)], "distinct": [distinct] + [0] * (len(pdf) - 1)})
 
-    told = materialise(map_rows(own, chunks, "chunk string, train long, payload binary", batch=500), "chunks")
+    told = materialise(map_rows(own, chunks, "chunk string, train long, payload binary"), "chunks")
     asked = map_rows(told.select("chunk", "payload"), ask, "chunk string, part int, payload binary")
     answers = materialise(asked.groupBy("part").applyInPandas(answer, "chunk string, part int, payload binary, distinct long"), "answers")
     n_train, n_distinct = (int(df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0]) for df, c in ((told, "train"), (answers, "distinct")))
