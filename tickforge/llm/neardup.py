@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, keep:
     edges = met.join(named.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
     roots = components(edges).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("component_id"), F.col("root.fp").alias("component_fp"))
     classes = nodes.join(roots, "fp", "left").select("fp", F.when(F.col("component_fp").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("component_fp", "fp").alias("component_fp"))
+    classes = materialise(classes, "classes")
     return marked.join(classes, "fp").select("doc_id", *keep, "fp", "component_id", "component_fp")
 
 
