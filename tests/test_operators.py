@@ -569,3 +569,49 @@ def test_bagging_with_sequential_draws(spark):
 def test_log_uniform():
     v = learning.log_uniform_draws(4000, 1e-2, 1e2, 1)
     assert 1e-2 <= min(v) and max(v) <= 1e2 and sum(x < 1 for x in v) == pytest.approx(2000, abs=150)
+
+
+# ---- helpers
+
+
+def test_lookup_needs_every_row(spark):
+    from tickforge.operators.align import indexed, lookup
+
+    a, b = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    assert {r["v"] for r in lookup(a, b, on=["k"], values=["v"]).collect()} == {"x", "y"}
+    with pytest.raises(Exception, match="no row for"):
+        lookup(a, b.limit(1), on=["k"], values=["v"]).collect()
+    got = indexed(spark.range(0, 1000, 1, 7)).collect()
+    assert sorted(r["place"] for r in got) == list(range(1000))
+
+
+def test_atoms_in_balanced_groups(spark):
+    from tickforge.operators import parallel
+
+    assert parallel.linear_parts(10, 3) == [0, 4, 7, 10] and parallel.linear_parts(2, 5) == [0, 1, 2]
+    bounds = parallel.nested_parts(1000, 4)
+    cost = [sum(range(a + 1, z + 1)) for a, z in zip(bounds, bounds[1:], strict=False)]
+    assert max(cost) < 1.02 * min(cost)
+    heavy = parallel.nested_parts(1000, 4, heavy_first=True)
+    assert heavy == [1000 - b for b in reversed(bounds)]
+    out = parallel.map_atoms(spark.range(50), lambda p: pd.DataFrame({"n": [len(p)], "low": [p["id"].min()]}), "n long, low long", order=["id"], groups=4, nested=True)
+    assert sum(r["n"] for r in out.collect()) == 50 and out.count() == 4
+
+
+def test_directional_index_counts_the_larger_move(spark):
+    df = spark.createDataFrame([("s", i, h, lo) for i, (h, lo) in enumerate([(10.0, 9.0), (11.0, 9.5), (11.5, 8.0), (11.4, 8.1)])], "k string, i long, high double, low double")
+    got = column(fracdiff.directional_index(df, 2, by=BY, order=ORDER), "rsi")
+    up, down = pd.Series([0, 1, 0, 0]).ewm(span=2, min_periods=2).mean(), pd.Series([0, 0, 1.5, 0]).ewm(span=2, min_periods=2).mean()
+    want = (100 * up / (up + down)).round()
+    assert got[0] is None and got[1:] == want[1:].tolist()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tickforge.__main__ import main
+
+    raw = tmp_path / "raw.csv"
+    raw.write_text("01/05/2024,09:30:00,100,99,101,2\n")
+    main(["ticks", str(raw), str(tmp_path / "out")])
+    assert '"rows_out": 1' in capsys.readouterr().out
+    main(["check", f"clean={tmp_path / 'out'}:date:price,vol"])
+    assert '"ready": true' in capsys.readouterr().out

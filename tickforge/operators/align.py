@@ -31,6 +31,29 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_on: str,
     return found.select("__row.*", *[F.col(f"__v.{c}").alias(c) for c in values])
 
 
+def lookup(left: DataFrame, right: DataFrame, *, on: list[str], values: list[str]) -> DataFrame:
+    """left with `values` of its row in right; the job fails if a row has none."""
+    r = right.select(*on, *values, F.lit(True).alias("__found"))
+    x = left.join(r, on, "left")
+    missing = F.raise_error(F.concat(F.lit("no row for "), F.to_json(F.struct(*on))))
+    return x.filter(F.when(F.col("__found"), F.lit(True)).otherwise(missing.cast("boolean"))).drop("__found")
+
+
+def indexed(df: DataFrame, name: str = "place") -> DataFrame:
+    """df with its rows numbered 0 .. n - 1 in their order over partitions, without moving them.
+
+    One row a partition is counted first, so df must give the same partitions twice.
+    """
+    x = df.withColumn("__m", F.monotonically_increasing_id())
+    part = F.shiftright("__m", 33)
+    at, rows = 0, []
+    for p, n in sorted((r[0], r[1]) for r in x.groupBy(part.alias("p")).count().collect()):
+        rows.append((p, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(rows, "__p long, __at long")
+    return x.join(F.broadcast(offsets), part == F.col("__p")).withColumn(name, F.col("__at") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__p", "__at")
+
+
 def fill_forward(df: DataFrame, column: str, *, by: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(column, F.last(column, ignorenulls=True).over(w))

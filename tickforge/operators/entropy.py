@@ -18,6 +18,12 @@ def encode_binary(returns: DataFrame, x: str) -> DataFrame:
     return returns.withColumn(x, finite(F.col(x))).filter((F.col(x) != 0) & F.col(x).isNotNull()).withColumn("code", (F.col(x) > 0).cast("int"))
 
 
+def encode_product(returns: DataFrame, x: str, *, by: list[str], order: list[str]) -> DataFrame:
+    """code: 1 where x times x of the row before is not negative, else 0; rows without one before go."""
+    p = F.col(x) * F.lag(x).over(Window.partitionBy(*by).orderBy(*order))
+    return returns.withColumn("code", (p >= 0).cast("int")).filter("code is not null")
+
+
 def encode_quantile(returns: DataFrame, x: str, n: int, *, by: list[str]) -> DataFrame:
     """code: how many of the series' n - 1 inner quantiles (linear) are at most the value."""
     if n < 2:

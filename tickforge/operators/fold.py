@@ -35,6 +35,18 @@ def ordered_fold(df: DataFrame, by: list[str], order: list[str], make: Callable[
     return spread.mapInPandas(run, schema)
 
 
+class Chain:
+    """Steps one after another over the same rows, so that several folds share one pass."""
+
+    def __init__(self, *steps):
+        self.steps = steps
+
+    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        for step in self.steps:
+            pdf = step(pdf)
+        return pdf
+
+
 class Threshold:
     """Greedy threshold: the running sum of a column marks the row at which it reaches `size`, and starts again at zero.
 

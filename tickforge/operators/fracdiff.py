@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ordered, running
-from .fold import Ewm, ordered_fold
+from .fold import Chain, Ewm, ordered_fold
 
 
 def binomial_weights(d: float, size: int) -> list[float]:
@@ -204,16 +204,19 @@ def sine_fit(series: DataFrame, x: str, *, by: list[str], order: list[str], step
     return series.filter(F.col(x).isNotNull()).groupBy(*by).applyInPandas(run, f"{_grouped(series, by)}, amplitude double, frequency double, phase double, offset double, r2 double")
 
 
-def directional_index(series: DataFrame, price: str, n: int, *, by: list[str], order: list[str], digits: int = 0) -> DataFrame:
-    """rsi: 100 * up / (up + down) of weighted means of moves, half-even rounded; null for the first n moves."""
+def directional_index(series: DataFrame, n: int, *, by: list[str], order: list[str], high: str = "high", low: str = "low") -> DataFrame:
+    """rsi: 100 * up / (up + down), rounded half to even; null until n rows, and where nothing has moved.
+
+    up and down are weighted means (span n) of moves of the high and the low: of the two only the
+    larger counts, if it is positive, and the first row counts as no move.
+    """
     w = ordered(by, order)
-    x = series.withColumn("__d", F.col(price) - F.lag(price).over(w))
-    x = x.withColumns({"__u": F.when(F.col("__d").isNotNull(), F.greatest("__d", F.lit(0.0))), "__l": F.when(F.col("__d").isNotNull(), F.greatest(-F.col("__d"), F.lit(0.0)))})
-    for a, b in (("__u", "__up"), ("__l", "__down")):
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema)
-        x = ordered_fold(x, by, order, lambda a=a, b=b: Ewm(a, n, adjust=True, least=n, name=b), f"{ddl}, {b} double")
+    up, down = F.col(high) - F.lag(high).over(w), F.lag(low).over(w) - F.col(low)
+    x = series.withColumns({"__u": F.when((up > down) & (up > 0), up).otherwise(0.0), "__d": F.when((down > up) & (down > 0), down).otherwise(0.0)})
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema)
+    x = ordered_fold(x, by, order, lambda: Chain(Ewm("__u", n, least=n, name="__up"), Ewm("__d", n, least=n, name="__down")), f"{ddl}, __up double, __down double")
     total = F.col("__up") + F.col("__down")
-    return x.withColumn("rsi", F.bround(100 * F.try_divide(F.col("__up"), F.when(~F.isnan(total), total)), digits)).drop("__d", "__u", "__l", "__up", "__down")
+    return x.withColumn("rsi", F.when(~F.isnan(total) & (total > 0), F.bround(100 * F.col("__up") / total))).drop("__u", "__d", "__up", "__down")
 
 
 def features_at(features: DataFrame, events: DataFrame, *, by: list[str], at: str) -> DataFrame:

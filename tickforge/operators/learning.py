@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import full, ordered
+from .align import indexed
 
 
 def folds(rows: DataFrame, k: int, *, by: list[str], order: list[str]) -> DataFrame:
@@ -151,8 +152,8 @@ def impurity_importance(model, features: list[str]) -> list[tuple[str, float, fl
 
 def permuted(data: DataFrame, column: str, seed: int) -> DataFrame:
     """data with a column's values dealt anew among its rows: places of one order meet values of another."""
-    a = data.withColumn("__i", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
-    b = data.select(F.col(column).alias("__v"), F.row_number().over(Window.orderBy(F.rand(seed))).alias("__i"))
+    a = indexed(data, "__i")
+    b = indexed(data.select(F.col(column).alias("__v")).orderBy(F.rand(seed)), "__i")
     return a.join(b, "__i").withColumn(column, F.col("__v")).drop("__i", "__v")
 
 

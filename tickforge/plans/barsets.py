@@ -163,6 +163,22 @@ def rolling_autocorr(spark, sf):
     return x.select("series_id", "seq", r("autocorrelation", 5).alias("autocorrelation"))
 
 
+@query(f"WITH {views.TICKS} SELECT series_id, seq, CASE WHEN count(*) OVER t=20 THEN {q('covar_samp(price,vol) OVER t', 4)} END AS covariance FROM ticks WINDOW t AS {_T}")
+def rolling_covariance(spark, sf):
+    t = C.trailing(BY, ORDER, 20)
+    return _ticks(spark, sf).select("series_id", "seq", r(C.full_window(F.covar_samp("price", "vol").over(t), "price", t, 20), 4).alias("covariance"))
+
+
+@query(f"WITH {views.TICKS} SELECT series_id, count(DISTINCT user_id) AS users, count(DISTINCT vol) AS volumes, arg_max(seq,(price,-seq)) AS top FROM ticks GROUP BY 1")
+def distinct_and_top(spark, sf):
+    return _ticks(spark, sf).groupBy("series_id").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("vol").alias("volumes"), F.max_by("seq", F.struct("price", -F.col("seq"))).alias("top"))
+
+
+@query(f"WITH {views.TICKS}, d AS (SELECT series_id, CAST(ts AS DATE) AS day, count(*) AS n FROM ticks WHERE vol>90 GROUP BY 1,2), g AS (SELECT series_id, CAST(unnest(generate_series(min(day),max(day),INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1) SELECT g.series_id, g.day, coalesce(d.n,0)::BIGINT AS n FROM g LEFT JOIN d USING(series_id,day)")
+def bars_day_counts(spark, sf):
+    return bars.day_counts(_ticks(spark, sf).filter("vol > 90"), by=BY, ts="ts")
+
+
 @query(f"WITH {_R} SELECT series_id, {q('corr(r,l)')} AS autocorrelation FROM y GROUP BY 1")
 def autocorr_summary(spark, sf):
     return rounded(stats.autocorrelation(_returns(spark, sf), "r", 1, by=BY, order=ORDER), "autocorrelation")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import breaks, fracdiff, labels, learning
-from ..operators.align import DAY, asof_join, fill_forward, interval_join
-from ..operators.fold import Ewm, Recursion, ordered_fold
+from ..operators.align import DAY, asof_join, fill_forward, interval_join, lookup
+from ..operators.fold import Chain, Ewm, Recursion, ordered_fold
 from ..sources import views
 from .base import q, query, r, rounded
 
@@ -249,6 +249,20 @@ def full_outer(spark, sf):
     return side("click", "va").join(side("purchase", "vb"), "day", "full")
 
 
+@query("WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey%7=0) SELECT o.o_orderkey, c.c_mktsegment FROM o JOIN customer c ON c.c_custkey=o.o_custkey")
+def strict_lookup(spark, sf):
+    o = views.read(spark, sf, "orders").filter("o_orderkey % 7 = 0").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return lookup(o, views.read(spark, sf, "customer"), on=["c_custkey"], values=["c_mktsegment"]).select("o_orderkey", "c_mktsegment")
+
+
+@query("SELECT n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier) AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal>9900)")
+def semi_anti(spark, sf):
+    n = views.read(spark, sf, "nation")
+    s = views.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    c = views.read(spark, sf, "customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey"))
+    return n.join(s, "n_nationkey", "left_semi").join(c, "n_nationkey", "left_anti").select("n_name")
+
+
 # ---- folds
 
 
@@ -256,8 +270,7 @@ def full_outer(spark, sf):
 def ewm_means(spark, sf):
     x = _returns(spark, sf).select("series_id", "ts", "seq", "r")
     d = "series_id string, ts timestamp_ntz, seq long, r double"
-    x = ordered_fold(x, BY, ORDER, lambda: Ewm("r", 19, adjust=True, least=19, name="adjusted"), f"{d}, adjusted double")
-    x = ordered_fold(x, BY, ORDER, lambda: Ewm("r", 19, adjust=False, name="plain"), f"{d}, adjusted double, plain double")
+    x = ordered_fold(x, BY, ORDER, lambda: Chain(Ewm("r", 19, adjust=True, least=19, name="adjusted"), Ewm("r", 19, adjust=False, name="plain")), f"{d}, adjusted double, plain double")
     return rounded(x.select("series_id", "seq", "adjusted", "plain"), "adjusted", "plain")
 
 
@@ -317,9 +330,13 @@ def sine_fit(spark, sf):
     return rounded(fracdiff.sine_fit(views.panel(spark, sf), "price", by=["asset"], order=["week"]), "r2", digits=4).select("asset", "r2")
 
 
-@query()
+_DI = f"{views.TICKS}, m AS (SELECT series_id, seq, row_number() OVER w AS i, price_c-lag(price_c) OVER w AS u, lag(price_c) OVER w-price_c AS d FROM ticks WINDOW w AS {_W}), y AS MATERIALIZED (SELECT series_id, seq, i, CASE WHEN u>d AND u>0 THEN u ELSE 0 END::DOUBLE AS u, CASE WHEN d>u AND d>0 THEN d ELSE 0 END::DOUBLE AS d FROM m), e AS (SELECT series_id, i, 1.0::DOUBLE AS w, u, d FROM y WHERE i=1 UNION ALL SELECT y.series_id, y.i, e.w*13/15.0::DOUBLE+1, e.u+(y.u-e.u)/(e.w*13/15.0::DOUBLE+1), e.d+(y.d-e.d)/(e.w*13/15.0::DOUBLE+1) FROM e JOIN y ON y.series_id=e.series_id AND y.i=e.i+1)"
+
+
+@query(f"WITH RECURSIVE {_DI} SELECT y.series_id, y.seq, CASE WHEN y.i>=14 AND e.u+e.d>0 THEN round_even(100*e.u/(e.u+e.d),0) END AS rsi FROM y JOIN e USING(series_id,i)")
 def directional_index(spark, sf):
-    return fracdiff.directional_index(views.ticks(spark, sf), "price", 14, by=BY, order=ORDER).select("series_id", "seq", "rsi")
+    x = views.ticks(spark, sf).withColumn("c", F.col("price_c").cast("double"))
+    return fracdiff.directional_index(x, 14, by=BY, order=ORDER, high="c", low="c").select("series_id", "seq", "rsi")
 
 
 # ---- breaks

@@ -70,6 +70,23 @@ def block_entropy(spark, sf):
     return rounded(entropy.plugin_entropy(y, "code", 2, by=["series_id", "block"], order=ORDER), "entropy")
 
 
+@query(f"WITH {_RET} SELECT series_id, seq, code FROM (SELECT series_id, seq, (r*lag(r) OVER {_W}>=0)::INTEGER AS code FROM x) WHERE code IS NOT NULL")
+def encode_product(spark, sf):
+    x = _returns(spark, sf).filter("r is not null")
+    return entropy.encode_product(x, "r", by=BY, order=ORDER).select("series_id", "seq", "code")
+
+
+@query()
+def entropy_correlation(spark, sf):
+    """Plug-in against match-length entropy of blocks of a series, and their correlation."""
+    x = entropy.encode_product(_returns(spark, sf).filter("r is not null"), "r", by=BY, order=ORDER)
+    x = entropy.blocks(x.withColumn("k", F.lit(1)), 12, by=BY, order=ORDER)
+    first = x.withColumn("i", F.row_number().over(C.ordered(["series_id", "block"], ORDER))).filter("i <= 100")
+    a = entropy.plugin_entropy(first, "code", 1, by=["series_id", "block"], order=ORDER)
+    b = entropy.kontoyiannis_entropy(first, "code", by=["series_id", "block"], order=ORDER, window=30).select("series_id", "block", F.col("entropy").alias("rate"))
+    return a.join(b, ["series_id", "block"]).groupBy("series_id").agg(r(F.corr("entropy", "rate"), 4).alias("correlation"))
+
+
 _SIGN = f"{views.TICKS}, d AS (SELECT *, sign(price_c-lag(price_c) OVER {_W})::INTEGER AS s FROM ticks), sg AS (SELECT *, coalesce(last_value(nullif(s,0) IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING),0)::INTEGER AS sign FROM d)"
 
 
