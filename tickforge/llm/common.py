@@ -27,10 +27,14 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def space_parts(text: Column) -> Column:
+    """What stands between each two of SPACES, empty parts too, on the JVM; null text gives one empty part."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " ")
+
+
 def word_array(text: Column) -> Column:
     """Words as an array, on the JVM; null text gives an empty array."""
-    flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    return F.filter(space_parts(text), lambda w: w != "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,15 +63,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, batch: int = 2000, batch_bytes: int = 16 << 20) -> DataFrame:
-    """mapInArrow over whole partitions: fn gets dicts of columns (lists) and yields the same kind.
+def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, batch: int = 500) -> DataFrame:
+    """mapInArrow over whole partitions: fn gets dicts of columns (lists) of at most `batch` rows and yields the same kind.
 
-    fn yields {column: list} per batch of rows; schema is a DDL string.
+    schema is a DDL string.
     """
     arrow = to_arrow(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(b.to_pydict() for b in batches):
+        for out in fn(b.slice(i, batch).to_pydict() for b in batches for i in range(0, b.num_rows, batch)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -7,14 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, word_array
+from .common import SPACES, let, space_parts, word_array
 
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 
 
-def repeated_words(words: Column, width: int = 3) -> Column:
-    """How many words lie in a window of `width` words that the text holds twice or more.
+def repeated_words(hashes: Column, width: int = 3) -> Column:
+    """How many words lie in a window of `width` words that the text holds twice or more, from the words' hashes.
 
     Windows' hashes are sorted with their places, equal neighbours kept, and the places' windows
     merged; texts whose windows all differ stop before the sort.
@@ -34,9 +34,9 @@ def repeated_words(words: Column, width: int = 3) -> Column:
         found = let(let(pairs, twice), merged)
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(found).cast("long")
 
-    n = F.size(words) - width + 1
-    hashes = F.transform(F.slice(words, 1, F.greatest(n, F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, width)]))
-    return let(hashes, counted)
+    n = F.size(hashes) - width + 1
+    windows = F.transform(F.slice(hashes, 1, F.greatest(n, F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(hashes, i + j) for j in range(1, width)]))
+    return let(windows, counted)
 
 
 def ngram_buckets(words: Column, buckets: int) -> Column:
@@ -91,15 +91,16 @@ def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = 10_000, most: in
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     gone = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
 
-    def of(w: Column) -> Column:
+    def of(w: Column, spaces: Column) -> Column:
         found = let(ngram_buckets(w, buckets), lambda b: F.aggregate(b, F.lit(0.0), lambda a, k: a + F.get(table, k)) / F.size(b))
-        return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), F.when(F.size(w) > 0, found).alias("score"))
+        repeated = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: repeated_words(h))
+        return F.struct(F.size(w).cast("long").alias("n_words"), (F.length(text) - spaces).cast("long").alias("word_chars"), repeated.alias("n_repeat_words"), F.when(F.size(w) > 0, found).alias("score"))
 
+    # Splitting at each space gives one part more than there are spaces.
     both = F.struct(
-        let(word_array(text), of).alias("w"),
-        (F.length(text).cast("long") - gone(SPACES)).alias("word_chars"),
+        let(space_parts(text), lambda p: let(F.filter(p, lambda x: x != ""), lambda w: of(w, F.size(p) - 1))).alias("w"),
         gone(SYMBOLS).alias("n_symbols"),
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
     )
@@ -107,7 +108,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = 10_000, most: in
     def verdict(x: Column) -> Column:
         failed = (x["w"]["n_words"] < least_words) | (100 * x["w"]["n_repeat_words"] > most_repeated * x["w"]["n_words"])
         kept = ~failed & F.coalesce(x["w"]["score"] >= least, F.lit(False))
-        return F.struct(x["w"]["n_words"].alias("n_words"), x["word_chars"].alias("word_chars"), x["n_symbols"].alias("n_symbols"), x["n_dup_lines"].alias("n_dup_lines"), x["w"]["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), x["w"]["score"].alias("score"), kept.alias("kept"))
+        return F.struct(x["w"]["n_words"].alias("n_words"), x["w"]["word_chars"].alias("word_chars"), x["n_symbols"].alias("n_symbols"), x["n_dup_lines"].alias("n_dup_lines"), x["w"]["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), x["w"]["score"].alias("score"), kept.alias("kept"))
 
     return docs.withColumn("quality", let(both, verdict))
 
