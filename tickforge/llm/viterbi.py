@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import ahocorasick
@@ -14,7 +14,6 @@ from .common import map_rows
 
 #: The mark that stands for a space, and how far an unknown character scores below the worst piece.
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
-_CHUNK = re.compile(f"{SPACE}?[^{SPACE}]*", re.DOTALL)
 
 
 def piece_scores(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -77,24 +76,33 @@ class CountingViterbi:
                         count[e], was_unknown[e] = count[s] + (not was_unknown[s]), True
         return count[n], best[n]
 
+    def _look_up(self, chunks: list[str]) -> list[tuple[int, float]]:
+        """Count and score of SPACE + each chunk; short ones are kept, at most `keep` of them."""
+        known = self.known
+        try:
+            return [known[c] for c in chunks]
+        except KeyError:
+            if len(known) > self.keep:
+                known.clear()
+            long = {}
+            for c in chunks:
+                if c not in known and c not in long:
+                    (known if len(c) < 64 else long)[c] = self._chunk(SPACE + c)
+            return [known[c] if c in known else long[c] for c in chunks]
+
     def count(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
-        marked = text.replace(" ", SPACE)
-        n, total, known = 0, 0.0, self.known
-        for chunk in _CHUNK.findall(marked if marked[0] == SPACE else SPACE + marked):
-            if not chunk:
-                continue
-            got = known.get(chunk)
-            if got is None:
-                got = self._chunk(chunk)
-                if len(chunk) < 64:
-                    if len(known) >= self.keep:
-                        known.clear()
-                    known[chunk] = got
-            n += got[0]
-            total += got[1]
-        return n, total
+        # Chunks begin at spaces and at SPACE itself; the first one does so without a space too.
+        chunks = text.replace(SPACE, " ").split(" ")
+        got = self._look_up(chunks if chunks[0] else chunks[1:])
+        return sum([n for n, _ in got]), sum([x for _, x in got], 0.0)
+
+
+@lru_cache(maxsize=2)
+def counting_viterbi(path: str, byte_fallback: bool) -> CountingViterbi:
+    """One automaton to a worker process, whatever the number of its tasks."""
+    return CountingViterbi(piece_scores(path)[0], byte_fallback)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, *, byte_fallback: bool = True) -> DataFrame:
@@ -105,7 +113,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, byte_fallback: bool = True
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        count = CountingViterbi(piece_scores(vocabulary)[0], byte_fallback).count
+        count = counting_viterbi(vocabulary, byte_fallback).count
         for b in batches:
             got = [count(t or "") for t in b["text"]]
             yield {"doc_id": b["doc_id"], "n_chars": [len(t or "") for t in b["text"]], "n_tokens": [n for n, _ in got], "score": [s for _, s in got]}
