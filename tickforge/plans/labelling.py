@@ -124,9 +124,7 @@ def drop_rare(spark, sf):
 @query(f"WITH {views.INTERVALS}, c AS (SELECT quantile_disc(at,0.6) AS cut FROM iv) SELECT CASE WHEN t0<cut AND t1<cut THEN 'train' ELSE 'test' END AS role, count(*) AS n FROM iv, c GROUP BY 1")
 def purged_split(spark, sf):
     x = views.intervals(spark, sf)
-    n = x.agg(F.count("*").alias("n"))
-    ranked = x.select("at").withColumn("i", F.row_number().over(C.ordered([F.lit(1)], ["at"]))).crossJoin(n)
-    cut = ranked.filter(F.col("i") >= F.ceil(F.col("n") * F.lit(0.6))).agg(F.min("at").alias("cut"))
+    cut = x.agg(F.expr("percentile_disc(0.6) WITHIN GROUP (ORDER BY at)").cast("long").alias("cut"))
     return labels.purged_split(x.crossJoin(F.broadcast(cut)), F.col("cut"), at="t0", end="t1").groupBy("role").agg(F.count("*").alias("n"))
 
 
