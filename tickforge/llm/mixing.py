@@ -11,7 +11,7 @@ from .common import let, materialise, word_array
 #: Newton steps at most; bisection inside the bracket makes each at least halve it.
 ROUNDS = 60
 #: Documents of one source and size whose extra copies one task places.
-GROUP = 4096
+GROUP = 256
 
 
 def cycle_weights(sources: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
