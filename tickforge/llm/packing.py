@@ -112,12 +112,12 @@ class BestFit:
         return got, self.capacity - free
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, open_bins: int = 1024, end_id: int | None = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, open_bins: int = 1024, end_id: int | None = 0, ahead: int = 1000) -> DataFrame:
     """Documents (doc_id, text) as token pieces placed in sequences of at most `capacity` tokens.
 
     A document is its ids and then end_id. Only longer ones are cut: into pieces of `capacity`, the
     first taking the rest. Each task packs its own partition in one pass with at most `open_bins`
-    open sequences, so memory is bounded and nothing is shuffled; a task that is run again packs the
+    open sequences, looking `ahead` that many documents and placing the longest of them first, so memory is bounded and nothing is shuffled; a task that is run again packs the
     same rows alike. Null text counts as empty (one token). Rows with a null or repeated doc_id are
     packed like others. An empty table gives no rows; other columns are ignored.
 
@@ -130,12 +130,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, ope
         first, fit = TaskContext.get().partitionId() << 40, BestFit(capacity, open_bins)
         names = ("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
         for b in batches:
-            rows, size = [], 0
+            rows, size, todo = [], 0, []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 ids = encode(text or "") + end
                 n = len(ids) // 4
+                todo.append((n % capacity or min(n, capacity), n, doc_id, ids))
+            todo.sort(key=lambda x: -x[0])
+            for stop, n, doc_id, ids in todo:
                 start, piece = 0, 0
-                stop = n % capacity or min(n, capacity)
                 while start < n:
                     sequence, offset = fit.place(stop - start)
                     rows.append((doc_id, piece, start, stop - start, ids[4 * start : 4 * stop], first + sequence, offset))
@@ -148,4 +150,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, ope
                 yield dict(zip(names, zip(*rows, strict=True), strict=True))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(own, run, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return map_rows(own, run, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long", batch=ahead)
