@@ -221,6 +221,10 @@ def test_asof_directions(spark):
     assert ask(direction="forward") == {1: "a", 5: "a", 9: None}
     assert ask(direction="forward", strict=True) == {1: "a", 5: "c", 9: None}
     assert ask(offset=4) == {1: "b", 5: "c", 9: "c"}
+    for direction in ("backward", "forward"):
+        for strict in (True, False):
+            for width in (1, 2, 3, 100):
+                assert ask(direction=direction, strict=strict, width=width) == ask(direction=direction, strict=strict)
 
 
 def test_intervals_and_sweeps_agree(spark):
@@ -231,6 +235,8 @@ def test_intervals_and_sweeps_agree(spark):
         want = {r["t"]: (r["n"], r["w"]) for r in j.groupBy("t").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()}
         got = sweep(p, iv, by=BY, at="t", start="a", end="z", sums={"n": F.lit(1), "w": F.col("w")}, closed=closed)
         assert {r["t"]: (r["n"], r["w"]) for r in got.collect() if r["n"]} == want
+        cut = sweep(p, iv, by=BY, at="t", start="a", end="z", sums={"n": F.lit(1), "w": F.col("w")}, closed=closed, width=7)
+        assert {r["t"]: (r["n"], r["w"]) for r in cut.collect() if r["n"]} == want
 
 
 # ---- labels

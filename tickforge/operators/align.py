@@ -9,25 +9,35 @@ from pyspark.sql.window import Window
 DAY = 86_400_000_000
 
 
-def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_on: str, right_on: str, values: list[str], direction: str = "backward", strict: bool = False, offset: int = 0, tie: list[str] | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_on: str, right_on: str, values: list[str], direction: str = "backward", strict: bool = False, offset: int = 0, tie: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Each left row with `values` of the last right row at or before left_on + offset (backward), or the first at or after it (forward).
 
     Keys are longs (say microseconds). One shuffle by series: both sides are stacked and a running
     last or first value carries right rows to left ones, so nothing is compared pairwise. strict
-    leaves out equal keys. `tie` orders right rows of equal key.
+    leaves out equal keys. `tie` orders right rows of equal key. With `width`, a series is cut into
+    stretches of that many key units, each a task's own: only the last right row of each stretch is
+    carried on to later ones, so that one long series spreads over the cluster.
     """
+    back = direction == "backward"
     marks = right.select(*by, F.col(right_on).cast("long").alias("__k"), F.struct(*[F.col(c) for c in (tie or [])], F.lit(0).alias("__z")).alias("__t"), F.struct(*values).alias("__v"), F.lit(None).cast(left.schema).alias("__row"))
     asks = left.select(*by, (F.col(left_on) + F.lit(offset)).cast("long").alias("__k"), F.lit(None).cast(marks.schema["__t"].dataType).alias("__t"), F.lit(None).cast(marks.schema["__v"].dataType).alias("__v"), F.struct(*left.columns).alias("__row"))
-    both = marks.unionByName(asks).withColumn("__ask", F.col("__row").isNotNull())
-    back = direction == "backward"
     # At equal keys a mark counts before the ask unless strict; forward reads the order from the end.
+    both = marks.unionByName(asks).withColumn("__ask", F.col("__row").isNotNull())
     ask_first = F.when(F.col("__ask"), 0).otherwise(1) if strict == back else F.when(F.col("__ask"), 1).otherwise(0)
     order = [F.col("__k"), ask_first, F.col("__t")]
-    if back:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    else:
-        w = Window.partitionBy(*by).orderBy(*[o.desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__v", F.last("__v", ignorenulls=True).over(w)).filter("__ask")
+    group = list(by)
+    if width is not None:
+        both = both.withColumn("__b", F.floor(F.col("__k") / width).cast("long"))
+        group.append("__b")
+        last = F.when(~F.col("__ask"), F.struct("__k", "__t"))
+        tail = F.max_by("__v", last) if back else F.min_by("__v", last)
+        ends = both.groupBy(*group).agg(tail.alias("__v"))  # asks alone give null
+        near = Window.partitionBy(*by).orderBy(F.col("__b").asc() if back else F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("__c", F.last("__v", ignorenulls=True).over(near)).select(*group, "__c")
+        both = both.join(carried, group)
+    w = Window.partitionBy(*group).orderBy(*(order if back else [o.desc() for o in order])).rowsBetween(Window.unboundedPreceding, 0)
+    here = F.last("__v", ignorenulls=True).over(w)
+    found = both.withColumn("__v", here if width is None else F.coalesce(here, F.col("__c"))).filter("__ask")
     return found.select("__row.*", *[F.col(f"__v.{c}").alias(c) for c in values])
 
 
@@ -72,10 +82,12 @@ def interval_join(points: DataFrame, intervals: DataFrame, *, by: list[str], at:
     return p.join(i, [*by, "__b"]).filter(inside).drop("__b")
 
 
-def sweep(points: DataFrame, intervals: DataFrame, *, by: list[str], at: str, start: str, end: str, sums: dict[str, Column], closed: str = "both") -> DataFrame:
+def sweep(points: DataFrame, intervals: DataFrame, *, by: list[str], at: str, start: str, end: str, sums: dict[str, Column], closed: str = "both", width: int | None = None) -> DataFrame:
     """points with, for each name in `sums`, the sum of that expression over the intervals that hold the point.
 
-    Starts add and ends take away; one running sum by series gives every count without a join.
+    Starts add and ends take away; one running sum by series gives every count without a join. With
+    `width`, series are cut into stretches of that many key units and each stretch's total is added
+    to later ones, so that one long series spreads over the cluster.
     """
     names = list(sums)
     blank = [F.lit(None).cast(points.schema).alias("__row")]
@@ -83,11 +95,17 @@ def sweep(points: DataFrame, intervals: DataFrame, *, by: list[str], at: str, st
     # Closed intervals end after their last point, half-open ones before the point at their end.
     fall = intervals.select(*by, F.col(end).cast("long").alias("__k"), F.lit(2 if closed == "both" else -1).alias("__o"), *[(-sums[n].cast("double")).alias(n) for n in names], *blank)
     here = points.select(*by, F.col(at).cast("long").alias("__k"), F.lit(1).alias("__o"), *[F.lit(0.0).alias(n) for n in names], F.struct(*points.columns).alias("__row"))
-    every = rise.unionByName(fall).unionByName(here)
-    w = Window.partitionBy(*by).orderBy("__k", "__o")  # rows of equal order share a sum
-    out = every
+    out, group = rise.unionByName(fall).unionByName(here), list(by)
+    if width is not None:
+        out = out.withColumn("__b", F.floor(F.col("__k") / width).cast("long"))
+        group.append("__b")
+        before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        totals = out.groupBy(*group).agg(*[F.sum(n).alias(f"__{n}") for n in names])
+        out = out.join(totals.select(*group, *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0.0)).alias(f"__{n}") for n in names]), group)
+    w = Window.partitionBy(*group).orderBy("__k", "__o")  # rows of equal order share a sum
     for n in names:
-        out = out.withColumn(n, F.sum(n).over(w))
+        so_far = F.sum(n).over(w)
+        out = out.withColumn(n, so_far if width is None else so_far + F.col(f"__{n}"))
     return out.filter(F.col("__row").isNotNull()).select("__row.*", *names)
 
 
