@@ -98,7 +98,6 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
-    n = reducers(docs, 8 << 20)
 
     def chunks(batches: Iterator[dict]) -> Iterator[dict]:
         part, made = TaskContext.get().partitionId(), 0
@@ -141,6 +140,9 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
         vocabulary, tokens, lengths, ids, null, held = unpack(payload)
         return Bigrams(undelta(vocabulary), tokens, lengths), lengths, ids, null, held
 
+    told = materialise(map_rows(own, chunks, "chunk string, train long, payload binary"), "chunks")
+    n = reducers(told, 5 << 20)
+
     def ask(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             for chunk, payload in zip(b["chunk"], b["payload"], strict=True):
@@ -172,7 +174,6 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
         distinct = int(((total > 0) & (found != np.uint64(START))).sum())
         return pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["part"], "payload": [pack(_narrow(a), _narrow(b)) for a, b in zip(words, pairs, strict=True)], "distinct": [distinct] + [0] * (len(pdf) - 1)})
 
-    told = materialise(map_rows(own, chunks, "chunk string, train long, payload binary"), "chunks")
     asked = map_rows(told.select("chunk", "payload"), ask, "chunk string, part int, payload binary")
     answers = materialise(asked.groupBy("part").applyInPandas(answer, "chunk string, part int, payload binary, distinct long"), "answers")
     n_train, n_distinct = (int(df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0]) for df, c in ((told, "train"), (answers, "distinct")))
