@@ -121,14 +121,18 @@ def remove_repeats(docs: DataFrame, *, width: int = 35) -> DataFrame:
     windows; rows with a null doc_id are treated like others; an empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = reducers(docs, 8 << 20)
+
+    told = materialise(_chunks(own), "chunks")
+    n = reducers(told, 6 << 20)
 
     def scatter(batches: Iterator[dict]) -> Iterator[dict]:
         rolling = RollingHash(width)
         for b in batches:
             for chunk, payload in zip(b["chunk"], b["payload"], strict=True):
                 found = [rolling.windows(w) for w in _opened(payload)[1]]
-                h = np.sort(np.concatenate([*found, np.empty(0, np.uint64)]))
+                # Twice is as good as more often, so a frequent window weighs two values of a chunk at most.
+                once, times = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
+                h = np.repeat(once, np.minimum(times, 2))
                 parts = np.split(h, np.searchsorted(h, np.array([(i << 64) // n for i in range(1, n)], np.uint64))) if n > 1 else [h]
                 out = [(i, pack(delta(x))) for i, x in enumerate(parts) if len(x)]
                 yield {"chunk": [chunk] * len(out), "part": [i for i, _ in out], "payload": [x for _, x in out]}
@@ -157,7 +161,6 @@ def remove_repeats(docs: DataFrame, *, width: int = 35) -> DataFrame:
             out["kept"].append(b" ".join(w).decode("utf-8", "surrogatepass"))
         return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), **out})
 
-    told = materialise(_chunks(own), "chunks")
     sent = map_rows(told, scatter, "chunk string, part int, payload binary")
     replies = sent.groupBy("part").applyInPandas(gather, "chunk string, payload binary")
     rows = told.select("chunk", F.lit(True).alias("documents"), "payload").unionByName(replies.select("chunk", F.lit(False).alias("documents"), "payload"))
