@@ -99,27 +99,47 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ())
     return map_rows(own, run, "doc_id long, " + "".join(f"{c} {own.schema[c].dataType.simpleString()}, " for c in keep) + "fp long")
 
 
+def _pair_masks(places: list[int], n: int) -> list[int]:
+    """Masks of every two of n bands of some bit places."""
+    cuts = [len(places) * i // n for i in range(n + 1)]
+    bands = [sum(1 << j for j in places[cuts[i] : cuts[i + 1]]) for i in range(n)]
+    return [x | y for x, y in combinations(bands, 2)]
+
+
+#: Fingerprints of one key that are compared in one task; keys of more are divided by further bands.
+GROUP = 4096
+
+
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b) that join all fingerprints of a table (fp, distinct) within the radius.
 
     Of radius + 2 bands of bits, two fingerprints within the radius agree in two at least, so each
-    goes to every pair of bands and is compared with those that agree there. Only a spanning forest
-    of each group comes out; links that it leaves out connect nothing more.
+    goes to every pair of bands and is compared with those that agree there. Keys that one
+    fingerprint has alone drop out by a count first. A key that more than GROUP share is divided the
+    same way again: its fingerprints go to every pair of bands of the bits left. Only a spanning
+    forest of each group comes out; links that it leaves out connect nothing more.
     """
-    n = radius + 2
-    edges = [BITS * i // n for i in range(n + 1)]
-    masks = [sum(1 << j for j in range(edges[i], edges[i + 1])) for i in range(n)]
-    pairs = [(_signed(masks[i] | masks[j])) for i, j in combinations(range(n), 2)]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in pairs])).alias("band", "key"))
-    several = keyed.groupBy("band", "key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    rest = [[j for j in range(BITS) if not (masks[a] | masks[b]) >> j & 1] for a, b in combinations(range(n), 2)]
+    n, every = radius + 2, (1 << BITS) - 1
+    masks = _pair_masks(list(range(BITS)), n)
+    rest = [[j for j in range(BITS) if not m >> j & 1] for m in masks]
+    further = [_pair_masks(r, n) for r in rest]
+    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("band", "key"))
+    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = keyed.join(shared, ["band", "key"])
+    small = met.filter(F.col("n") <= GROUP).groupBy("band", "key").agg(F.collect_list("fp").alias("fps")).select("band", F.lit(-1).alias("sub"), "fps")
+    again = F.element_at(F.array(*[F.array(*[F.lit(_signed(m)) for m in own]) for own in further]), F.col("band") + 1)
+    divided = met.filter(F.col("n") > GROUP).select("fp", "band", "key", F.posexplode(again).alias("sub", "mask"))
+    large = divided.groupBy("band", "key", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("k")).agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("band", "sub", "fps")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            found = [x for band, fps in zip(b["band"], b["fps"], strict=True) for x in linked([v & (1 << 64) - 1 for v in fps], rest[band], radius)]
+            found = []
+            for band, sub, fps in zip(b["band"], b["sub"], b["fps"], strict=True):
+                places = rest[band] if sub < 0 else [j for j in rest[band] if not further[band][sub] >> j & 1]
+                found += linked([v & every for v in fps], places, radius)
             yield {"a": [_signed(x) for x, _ in found], "b": [_signed(y) for _, y in found]}
 
-    return map_rows(several.select("band", "fps"), run, "a long, b long").distinct()
+    return map_rows(small.unionByName(large), run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
