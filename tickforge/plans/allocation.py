@@ -15,7 +15,7 @@ def _returns(spark, sf):
     return allocation.period_returns(views.panel(spark, sf), "price", "week", by=["asset"], order=["week"])
 
 
-@query(f"WITH {_RET} SELECT asset, period, {q('ret')} AS ret FROM x")
+@query(f"WITH {_RET} SELECT asset, period, {q('ret')} AS ret FROM x", dates=("period",))
 def period_returns(spark, sf):
     return rounded(_returns(spark, sf), "ret")
 

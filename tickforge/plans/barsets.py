@@ -57,12 +57,12 @@ def bars_time_hour(spark, sf):
     return bars.time_bars(_ticks(spark, sf), "hour", by=BY, order=ORDER, sums=["vol", "dollar_c"]).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
-@query(f"WITH RECURSIVE {jumps('dollar_c', DOLLARS)}, n AS (SELECT series_id, CAST(date_trunc('week',ts) AS DATE)+6 AS week, count(*) AS n FROM closes GROUP BY 1,2), g AS (SELECT series_id, CAST(unnest(generate_series(min(week),max(week),INTERVAL 7 DAY)) AS DATE) AS week FROM n GROUP BY 1) SELECT g.series_id, g.week, coalesce(n.n,0)::BIGINT AS n FROM g LEFT JOIN n USING(series_id,week)")
+@query(f"WITH RECURSIVE {jumps('dollar_c', DOLLARS)}, n AS (SELECT series_id, CAST(date_trunc('week',ts) AS DATE)+6 AS week, count(*) AS n FROM closes GROUP BY 1,2), g AS (SELECT series_id, CAST(unnest(generate_series(min(week),max(week),INTERVAL 7 DAY)) AS DATE) AS week FROM n GROUP BY 1) SELECT g.series_id, g.week, coalesce(n.n,0)::BIGINT AS n FROM g LEFT JOIN n USING(series_id,week)", dates=("week",))
 def bars_week_counts(spark, sf):
     return bars.week_counts(bars.threshold_bars(_ticks(spark, sf), "dollar_c", DOLLARS, by=BY, order=ORDER), by=BY, ts="ts")
 
 
-@query(f"WITH RECURSIVE {jumps('dollar_c', DOLLARS)}, x AS (SELECT series_id, i, ln(price)-lag(ln(price)) OVER w AS r FROM closes WINDOW w AS (PARTITION BY series_id ORDER BY i)), y AS (SELECT *, lag(r) OVER (PARTITION BY series_id ORDER BY i) AS l FROM x), n AS (SELECT series_id, CAST(date_trunc('week',ts) AS DATE)+6 AS week, count(*) AS n FROM closes GROUP BY 1,2), g AS (SELECT series_id, CAST(unnest(generate_series(min(week),max(week),INTERVAL 7 DAY)) AS DATE) AS week FROM n GROUP BY 1), a AS (SELECT series_id, corr(r,l) AS ac FROM y GROUP BY 1) SELECT g.series_id, g.week, coalesce(n.n,0)::BIGINT AS n, {q('ac')} AS autocorrelation FROM g LEFT JOIN n USING(series_id,week) JOIN a USING(series_id)")
+@query(f"WITH RECURSIVE {jumps('dollar_c', DOLLARS)}, x AS (SELECT series_id, i, ln(price)-lag(ln(price)) OVER w AS r FROM closes WINDOW w AS (PARTITION BY series_id ORDER BY i)), y AS (SELECT *, lag(r) OVER (PARTITION BY series_id ORDER BY i) AS l FROM x), n AS (SELECT series_id, CAST(date_trunc('week',ts) AS DATE)+6 AS week, count(*) AS n FROM closes GROUP BY 1,2), g AS (SELECT series_id, CAST(unnest(generate_series(min(week),max(week),INTERVAL 7 DAY)) AS DATE) AS week FROM n GROUP BY 1), a AS (SELECT series_id, corr(r,l) AS ac FROM y GROUP BY 1) SELECT g.series_id, g.week, coalesce(n.n,0)::BIGINT AS n, {q('ac')} AS autocorrelation FROM g LEFT JOIN n USING(series_id,week) JOIN a USING(series_id)", dates=("week",))
 def bars_weekly_autocorr(spark, sf):
     b = bars.threshold_bars(_ticks(spark, sf), "dollar_c", DOLLARS, by=BY, order=ORDER)
     x = b.withColumn("r", F.ln("price") - F.lag(F.ln("price")).over(C.ordered(BY, ORDER)))
@@ -86,7 +86,7 @@ def bars_month_varvar(spark, sf):
 _FRIDAY = "CAST(ts AS DATE) - greatest(CAST(isodow(ts) AS INTEGER)-5,0)"
 
 
-@query(f"WITH {views.TICKS} SELECT series_id, {_FRIDAY} AS period, arg_max(price,(ts,seq)) AS price FROM ticks GROUP BY 1,2")
+@query(f"WITH {views.TICKS} SELECT series_id, {_FRIDAY} AS period, arg_max(price,(ts,seq)) AS price FROM ticks GROUP BY 1,2", dates=("period",))
 def last_by_business_day(spark, sf):
     return bars.last_by(_ticks(spark, sf), "price", "business", by=BY, order=ORDER)
 
@@ -99,12 +99,12 @@ def _rolls(spark, sf):
 _ROLL = views.PANEL + ", o AS (SELECT *, avg(price) OVER (PARTITION BY asset ORDER BY week ROWS 1 PRECEDING) AS open FROM panel), g AS (SELECT *, coalesce(open-lag(price) OVER (PARTITION BY asset ORDER BY week),0) AS gap FROM o), s AS (SELECT *, sum(gap) OVER (PARTITION BY asset ORDER BY week ROWS UNBOUNDED PRECEDING) AS gaps FROM g), e AS (SELECT *, last_value(gaps) OVER (PARTITION BY asset ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fin FROM s), ro AS (SELECT *, price-(gaps-fin) AS rolled FROM e)"
 
 
-@query(f"WITH {_ROLL} SELECT asset, week, {q('rolled', 4)} AS rolled FROM ro")
+@query(f"WITH {_ROLL} SELECT asset, week, {q('rolled', 4)} AS rolled FROM ro", dates=("week",))
 def roll_adjust(spark, sf):
     return bars.roll_adjust(_rolls(spark, sf), by=["asset"], order=["week"], close="price").select("asset", "week", r("rolled", 4).alias("rolled"))
 
 
-@query(f"WITH {_ROLL}, x AS (SELECT *, (rolled-lag(rolled) OVER w)/lag(price) OVER w AS ret FROM ro WINDOW w AS (PARTITION BY asset ORDER BY week)) SELECT asset, week, {q('ret')} AS ret, {q('sum(ln(1+coalesce(ret,0))) OVER (PARTITION BY asset ORDER BY week ROWS UNBOUNDED PRECEDING)')} AS log_wealth FROM x WHERE (SELECT min(1+coalesce(ret,0)) FROM x y WHERE y.asset=x.asset)>0")
+@query(f"WITH {_ROLL}, x AS (SELECT *, (rolled-lag(rolled) OVER w)/lag(price) OVER w AS ret FROM ro WINDOW w AS (PARTITION BY asset ORDER BY week)) SELECT asset, week, {q('ret')} AS ret, {q('sum(ln(1+coalesce(ret,0))) OVER (PARTITION BY asset ORDER BY week ROWS UNBOUNDED PRECEDING)')} AS log_wealth FROM x WHERE (SELECT min(1+coalesce(ret,0)) FROM x y WHERE y.asset=x.asset)>0", dates=("week",))
 def roll_nonneg(spark, sf):
     x = bars.roll_adjust(_rolls(spark, sf), by=["asset"], order=["week"], close="price")
     out = bars.roll_returns(x, by=["asset"], order=["week"], close="price")
@@ -174,7 +174,7 @@ def distinct_and_top(spark, sf):
     return _ticks(spark, sf).groupBy("series_id").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("vol").alias("volumes"), F.max_by("seq", F.struct("price", -F.col("seq"))).alias("top"))
 
 
-@query(f"WITH {views.TICKS}, d AS (SELECT series_id, CAST(ts AS DATE) AS day, count(*) AS n FROM ticks WHERE vol>90 GROUP BY 1,2), g AS (SELECT series_id, CAST(unnest(generate_series(min(day),max(day),INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1) SELECT g.series_id, g.day, coalesce(d.n,0)::BIGINT AS n FROM g LEFT JOIN d USING(series_id,day)")
+@query(f"WITH {views.TICKS}, d AS (SELECT series_id, CAST(ts AS DATE) AS day, count(*) AS n FROM ticks WHERE vol>90 GROUP BY 1,2), g AS (SELECT series_id, CAST(unnest(generate_series(min(day),max(day),INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1) SELECT g.series_id, g.day, coalesce(d.n,0)::BIGINT AS n FROM g LEFT JOIN d USING(series_id,day)", dates=("day",))
 def bars_day_counts(spark, sf):
     return bars.day_counts(_ticks(spark, sf).filter("vol > 90"), by=BY, ts="ts")
 
@@ -238,15 +238,15 @@ def band_exits(spark, sf):
     return labels.band_exits(x, "price", "lower", "upper", by=BY, order=ORDER)
 
 
-@query(f"WITH {views.TICKS}, d AS (SELECT series_id, ts, seq, CAST(sign(avg(price_c) OVER a - avg(price_c) OVER b) AS INTEGER) AS s FROM ticks WINDOW a AS (PARTITION BY series_id ORDER BY ts, seq ROWS 4 PRECEDING), b AS {_T}) SELECT series_id, seq, lag(s) OVER {_W}::DOUBLE AS side FROM d".replace("OVER (PARTITION BY series_id ORDER BY ts, seq)::DOUBLE", "OVER (PARTITION BY series_id ORDER BY ts, seq)"))
+@query(f"WITH {views.TICKS}, d AS (SELECT series_id, ts, seq, CAST(sign(avg(price_c) OVER a - avg(price_c) OVER b) AS INTEGER) AS s FROM ticks WINDOW a AS (PARTITION BY series_id ORDER BY ts, seq ROWS 4 PRECEDING), b AS {_T}) SELECT * FROM (SELECT series_id, seq, lag(s) OVER {_W} AS side FROM d) WHERE side IS NOT NULL")
 def ma_cross_side(spark, sf):
     # Prices are whole cents, so equal means come out equal in integers.
     x = labels.crossover_side(_ticks(spark, sf), "price_c", by=BY, order=ORDER, short=5, long=20)
-    return x.select("series_id", "seq", F.col("side").cast("int").alias("side"))
+    return x.select("series_id", "seq", F.col("side").cast("int").alias("side")).filter("side is not null")
 
 
-@query(f"WITH {views.TICKS}, b AS (SELECT *, avg(price) OVER t AS mid, stddev_samp(price) OVER t AS sd FROM ticks WINDOW t AS {_T}), s AS (SELECT *, CASE WHEN price<=mid-1.5*sd THEN 1 WHEN price>=mid+1.5*sd THEN -1 END AS s FROM b) SELECT series_id, seq, last_value(s IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS side FROM s")
+@query(f"WITH {views.TICKS}, b AS (SELECT *, avg(price) OVER t AS mid, stddev_samp(price) OVER t AS sd FROM ticks WINDOW t AS {_T}), s AS (SELECT *, CASE WHEN price<=mid-1.5*sd THEN 1 WHEN price>=mid+1.5*sd THEN -1 END AS s FROM b) SELECT * FROM (SELECT series_id, seq, last_value(s IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS side FROM s) WHERE side IS NOT NULL")
 def bollinger_side(spark, sf):
-    return labels.bollinger_side(_ticks(spark, sf), "price", by=BY, order=ORDER, n=20, width=1.5).select("series_id", "seq", "side")
+    return labels.bollinger_side(_ticks(spark, sf), "price", by=BY, order=ORDER, n=20, width=1.5).select("series_id", "seq", "side").filter("side is not null")
 
 

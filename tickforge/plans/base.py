@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,20 @@ QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable:
+    """Registers a query and its SQL. Columns in `dates` come out as ISO text on both sides, which every client shows alike."""
+
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark, sf_dir):
+            df = f(spark, sf_dir)
+            return df.withColumns({d: F.col(d).cast("string") for d in dates})
+
+        QUERIES[f.__name__] = run if dates else f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = re.sub(r'(?<!["\w])at(?!["\w])', '"at"', sql)  # AT is a keyword in some dialects
+            own = re.sub(r'(?<!["\w])at(?!["\w])', '"at"', sql)  # AT is a keyword in some dialects
+            text = ", ".join(f"CAST({d} AS VARCHAR) AS {d}" for d in dates)
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({text}) FROM ({own})" if dates else own
         return f
 
     return add

@@ -95,9 +95,9 @@ def _barriers(spark, sf, meta: bool):
     return labels.barrier_events(b, v, by=BY, at="at", price="price", profit=3.0, loss=1.5, least_target=0.25), b
 
 
-@query(f"WITH {_touch('1', 3.0, 3.0)} SELECT series_id, at, t1, pt, sl, t_end, barrier FROM z")
+@query(f"WITH {_touch('1', 3.0, 3.0)} SELECT series_id, at, t1, coalesce(pt,-1) AS pt, coalesce(sl,-1) AS sl, t_end, barrier FROM z")
 def triple_barrier(spark, sf):
-    return _barriers(spark, sf, False)[0].select("series_id", "at", "t1", "pt", "sl", "t_end", "barrier")
+    return _barriers(spark, sf, False)[0].select("series_id", "at", "t1", F.coalesce("pt", F.lit(-1)).alias("pt"), F.coalesce("sl", F.lit(-1)).alias("sl"), "t_end", "barrier")
 
 
 _LABEL = ", y AS (SELECT z.*, b1.price/b0.price-1 AS ret0 FROM z JOIN b b0 ON b0.series_id=z.series_id AND b0.at=z.at JOIN b b1 ON b1.series_id=z.series_id AND b1.at=z.t_end)"
@@ -240,11 +240,11 @@ def interval_volume(spark, sf):
     return j.groupBy("series_id", "seq").agg(F.count("*").alias("n"), F.sum("vol").alias("vol"))
 
 
-@query(f"WITH {views.TICKS}, d AS (SELECT series_id, CAST(ts AS DATE) AS day, sum(vol)::BIGINT AS vol FROM ticks GROUP BY 1,2), a AS (SELECT day, vol FROM d WHERE series_id='click'), b AS (SELECT day, vol FROM d WHERE series_id='purchase') SELECT day, a.vol AS va, b.vol AS vb FROM a FULL JOIN b USING(day)")
+@query(f"WITH {views.TICKS}, d AS (SELECT series_id, CAST(ts AS DATE) AS day, sum(vol)::BIGINT AS vol FROM ticks GROUP BY 1,2), a AS (SELECT day, vol FROM d WHERE series_id='click'), b AS (SELECT day, vol FROM d WHERE series_id='purchase') SELECT day, coalesce(a.vol,0) AS va, coalesce(b.vol,0) AS vb FROM a FULL JOIN b USING(day)", dates=("day",))
 def full_outer(spark, sf):
     d = views.ticks(spark, sf).groupBy("series_id", F.col("ts").cast("date").alias("day")).agg(F.sum("vol").alias("vol"))
     side = lambda s, c: d.filter(F.col("series_id") == s).select("day", F.col("vol").alias(c))
-    return side("click", "va").join(side("purchase", "vb"), "day", "full")
+    return side("click", "va").join(side("purchase", "vb"), "day", "full").fillna(0)
 
 
 @query("WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey%7=0) SELECT o.o_orderkey, c.c_mktsegment FROM o JOIN customer c ON c.c_custkey=o.o_custkey")
@@ -346,13 +346,13 @@ def _levels(spark, sf):
     return views.panel(spark, sf).withColumn("y", F.ln("price"))
 
 
-@query(f"WITH {_Y}, d AS (SELECT *, count(*) OVER (PARTITION BY asset) AS n, lag(y) OVER w AS z, y-lag(y) OVER w AS dy FROM y WINDOW w AS (PARTITION BY asset ORDER BY i)), s AS (SELECT *, sum(z*dy) OVER f AS zd, sum(z*z) OVER f AS zz, sum(dy*dy) OVER (PARTITION BY asset) AS dd FROM d WINDOW f AS (PARTITION BY asset ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), c AS (SELECT asset, week, (i-1) AS place, zd/zz AS delta, zd/zz/sqrt((dd-zd*zd/zz)/(n-2)/zz) AS st FROM s WHERE i-1>=greatest(1,ceil(n*0.15::DOUBLE)) AND i-1<=least(n-1,floor(n*0.85::DOUBLE))) SELECT asset, week, {q('delta', 8)} AS delta, {q('st', 5)} AS statistic, st=max(st) OVER (PARTITION BY asset) AS selected FROM c")
+@query(f"WITH {_Y}, d AS (SELECT *, count(*) OVER (PARTITION BY asset) AS n, lag(y) OVER w AS z, y-lag(y) OVER w AS dy FROM y WINDOW w AS (PARTITION BY asset ORDER BY i)), s AS (SELECT *, sum(z*dy) OVER f AS zd, sum(z*z) OVER f AS zz, sum(dy*dy) OVER (PARTITION BY asset) AS dd FROM d WINDOW f AS (PARTITION BY asset ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), c AS (SELECT asset, week, (i-1) AS place, zd/zz AS delta, zd/zz/sqrt((dd-zd*zd/zz)/(n-2)/zz) AS st FROM s WHERE i-1>=greatest(1,ceil(n*0.15::DOUBLE)) AND i-1<=least(n-1,floor(n*0.85::DOUBLE))) SELECT asset, week, {q('delta', 8)} AS delta, {q('st', 5)} AS statistic, st=max(st) OVER (PARTITION BY asset) AS selected FROM c", dates=("week",))
 def sdfc(spark, sf):
     x = breaks.break_dates(_levels(spark, sf), "y", by=["asset"], order=["week"])
     return x.select("asset", "week", r("delta", 8).alias("delta"), r("statistic", 5).alias("statistic"), "selected")
 
 
-@query(f"WITH {_Y}, s AS (SELECT *, sqrt(avg(dy*dy) OVER (PARTITION BY asset ORDER BY i ROWS UNBOUNDED PRECEDING)) AS sg FROM (SELECT *, y-lag(y) OVER (PARTITION BY asset ORDER BY i) AS dy FROM y)), p AS (SELECT a.asset, a.week, a.i, a.i-b.i AS el, (a.y-b.y)/(a.sg*sqrt(a.i-b.i)) AS st FROM s a JOIN s b ON a.asset=b.asset AND b.i<a.i WHERE a.sg>0), m AS (SELECT asset, week, max(st) AS st, arg_max(el, st) AS el FROM p GROUP BY 1,2) SELECT asset, week, {q('st')} AS statistic, el AS elapsed, {q('sqrt(4.6::DOUBLE+ln(el))')} AS critical, st>sqrt(4.6::DOUBLE+ln(el)) AS crossed FROM m")
+@query(f"WITH {_Y}, s AS (SELECT *, sqrt(avg(dy*dy) OVER (PARTITION BY asset ORDER BY i ROWS UNBOUNDED PRECEDING)) AS sg FROM (SELECT *, y-lag(y) OVER (PARTITION BY asset ORDER BY i) AS dy FROM y)), p AS (SELECT a.asset, a.week, a.i, a.i-b.i AS el, (a.y-b.y)/(a.sg*sqrt(a.i-b.i)) AS st FROM s a JOIN s b ON a.asset=b.asset AND b.i<a.i WHERE a.sg>0), m AS (SELECT asset, week, max(st) AS st, arg_max(el, st) AS el FROM p GROUP BY 1,2) SELECT asset, week, {q('st')} AS statistic, el AS elapsed, {q('sqrt(4.6::DOUBLE+ln(el))')} AS critical, st>sqrt(4.6::DOUBLE+ln(el)) AS crossed FROM m", dates=("week",))
 def csw_cusum(spark, sf):
     x = breaks.level_cusum(_levels(spark, sf), "y", by=["asset"], order=["week"]).filter("statistic is not null")
     return x.select("asset", "week", r("statistic").alias("statistic"), F.col("elapsed").cast("long").alias("elapsed"), r("critical").alias("critical"), "crossed")

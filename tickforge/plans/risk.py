@@ -65,7 +65,7 @@ def hhi(spark, sf):
 _DD = views.PANEL + ", h AS (SELECT *, max(price) OVER (PARTITION BY asset ORDER BY week ROWS UNBOUNDED PRECEDING) AS hwm FROM panel), g AS (SELECT asset, hwm, min(price) AS least, min(week) AS start FROM h GROUP BY 1,2), l AS (SELECT asset, max(week) AS fin FROM panel GROUP BY 1), d AS (SELECT g.asset, hwm, least, start, fin FROM g JOIN l USING(asset) WHERE hwm>least), dd AS (SELECT *, 1-least/hwm AS drawdown, (coalesce(lead(start) OVER (PARTITION BY asset ORDER BY start),fin)-start)/365.0::DOUBLE AS years FROM d)"
 
 
-@query(f"WITH {_DD} SELECT asset, start, {q('drawdown')} AS drawdown, {q('years')} AS years FROM dd")
+@query(f"WITH {_DD} SELECT asset, start, {q('drawdown')} AS drawdown, {q('years')} AS years FROM dd", dates=("start",))
 def drawdown_tuw(spark, sf):
     x = backtest.drawdowns(views.panel(spark, sf), "price", by=["asset"], order=["week"])
     return rounded(x.select("asset", "start", "drawdown", "years"), "drawdown", "years")
