@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
 from pathlib import Path
 
 import ahocorasick
@@ -48,10 +49,24 @@ class CountingViterbi:
         self.matches, self.known, self.keep = ahocorasick.Automaton(), {}, keep
         for piece, score in self.scores.items():
             self.matches.add_word(piece, (len(piece), score))
+        self.single = {p for p in self.scores if len(p) == 1}
         if self.scores:
             self.matches.make_automaton()
 
     def _chunk(self, text: str) -> tuple[int, float]:
+        if not self.single.issuperset(text):
+            return self._with_unknown(text)
+        # Matches come by end place, the longest, which start earliest, first.
+        n = len(text)
+        best, count = [0.0] + [-inf] * n, [0] * (n + 1)
+        for end, (length, score) in self.matches.iter(text):
+            start = end + 1 - length
+            total = best[start] + score
+            if total > best[end + 1]:
+                best[end + 1], count[end + 1] = total, count[start] + 1
+        return count[n], best[n]
+
+    def _with_unknown(self, text: str) -> tuple[int, float]:
         n, ends = len(text), {}
         if self.scores:
             for end, (length, score) in self.matches.iter(text):
