@@ -445,6 +445,33 @@ def test_links_follow_chains(spark):
     assert {r["root"] for r in neardup.components(edges).collect()} == {min(fps)}
 
 
+def test_links_of_divided_groups(spark, monkeypatch):
+    """Many fingerprints that agree in half their bits, keys divided again: the same components as all pairs."""
+    import random
+
+    monkeypatch.setattr(neardup, "GROUP", 10)
+    rng = random.Random(8)
+    fps = {(0xABCD1234 << 32) | (rng.getrandbits(32) & 0x0F0F0F0F) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)}
+    nodes = spark.createDataFrame([(neardup._signed(f),) for f in fps], "fp long")
+    got = {(r["a"], r["b"]) for r in neardup.links(nodes).collect()}
+    parent = {neardup._signed(f): neardup._signed(f) for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def parts(edges):
+        parent.update({x: x for x in parent})
+        for a, b in edges:
+            parent[root(a)] = root(b)
+        return {frozenset(y for y in parent if root(y) == root(x)) for x in parent}
+
+    want = [(neardup._signed(a), neardup._signed(b)) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 2]
+    assert parts(got) == parts(want)
+    assert all((a ^ b).bit_count() <= 2 for a, b in got)
+
+
 def test_components_of_random_graphs(spark):
     import random
 
@@ -546,11 +573,32 @@ def brute_spans(text):
 MAIL = ["a@b.c", "@x.y a..b@c-d.e.f@g.h", "x@y z@w.v.", "é.a@b.co 1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (415) 555-2671, +44 20 7946 0958 +1 2", "++1 234 567 8901 +12@a.b", "1" * 40, "a@" * 50 + "b.c"]
 
 
+MAIL += ["1.2.3.4.5 11.22.33.44a@b.c.d..e@f", "x@a-.b_.c 0.0.0.0 00000000256.1.1.1 300.1.2.3.4", "a@b@c.d @e.f g@.h i@j.k@l.m"]
+
+
 @pytest.mark.parametrize("text", MAIL)
 def test_base_spans(text):
     assert pii.base_spans(text) == brute_spans(text)
 
 
+def test_base_spans_of_random_texts():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(20_000):
+        text = "".join(rng.choices("a1.@-+ _%(", k=rng.randint(1, 24)))
+        assert pii.base_spans(text) == brute_spans(text), text
+
+
+@pytest.mark.parametrize("unit", ["x", "1", "x@", "1.", "@", "+1", "1 ", ".", "a.b@c-"])
+def test_base_spans_take_linear_time(unit):
+    import time
+
+    began = time.time()
+    pii.base_spans(unit * 200_000)
+    assert time.time() - began < 5
+
+
 def test_personal_data(spark, sf):
     rows = queries.op8_personal_data(spark, sf).collect()
     docs = {d[0]: d[1] for d in table(sf, "documents")}
@@ -581,6 +629,15 @@ def test_disclosing_terms(spark):
     assert len(clean) == len(rows)
 
 
+def test_document_frequencies_of_all_documents(spark):
+    rows = [(i, f"alpha{'x' * (i % 3)} beta été été {'γάμμα' if i % 5 == 0 else ''}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = spark.createDataFrame([("alphax",), ("été",), ("γάμμα",), ("none",)], "term string")
+    got = {r["term"]: r["n"] for r in pii.document_frequencies(docs, wanted).collect()}
+    assert got == {"alphax": 17, "été": 50, "γάμμα": 10}
+    assert pii.document_frequencies(docs, wanted.limit(0)).count() == 0
+
+
 def test_personal_data_odd_rows(spark):
     docs = odd_docs(spark)
     assert len(pii.find_spans(docs).collect()) == docs.count()

@@ -22,7 +22,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A text without a match of this (Java or Python) holds no base span.
 HINT = "[0-9@]"
 
-_AT = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9._%+@-]*")
+# The same matches in time linear in the text: a mail address has its local part up to an @ and its
+# domain after it; an address of numbers begins where a run of digits does.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
+_RUN_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
@@ -36,17 +40,30 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mails(text: str) -> list[tuple[int, int]]:
+    """Places of EMAIL."""
+    out, begin, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > begin and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, m.end()))
+        begin = m.end() if m else at + 1
+        at = text.find("@", begin)
+    return out
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind; leftmost, non-overlapping within a kind."""
     if not text:
         return []
     out = []
     if "@" in text:
-        # All characters of a match lie in one run of the pattern's characters, so runs with an @ are enough.
-        for run in _AT.finditer(text):
-            out += [("email", run.start() + m.start(), run.start() + m.end()) for m in EMAIL.finditer(run[0])]
+        out += [("email", a, b) for a, b in mails(text)]
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in _RUN_IP.finditer(text) if all(len(p) < 4 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for m in CARD.finditer(text):
             digits = _NOT_DIGIT.sub("", m[0])
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -80,7 +97,8 @@ BUCKETS = 1 << 20
 
 
 def _bucket(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) % BUCKETS
+    """As xxhash64() of Spark, its last bits."""
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42) % BUCKETS
 
 
 def document_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -89,14 +107,16 @@ def document_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     A bitmap of BUCKETS bits of the candidates' hashes goes to the tasks, which count terms whose bit
     is set and emit partial sums; terms that only share a bit drop out in the join.
     """
-    ints = F.udf(_bucket, "int")
+    bucket = F.xxhash64("term").bitwiseAND(F.lit(BUCKETS - 1))
+    own = candidates.select((bucket % 32768).alias("bit"), F.shiftright(bucket, 15).alias("page")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
     bits = bytearray(BUCKETS // 8)
-    for row in candidates.select(ints("term").alias("b")).distinct().collect():  # BUCKETS rows at most
-        bits[row["b"] >> 3] |= 1 << (row["b"] & 7)
+    for row in own.collect():  # BUCKETS / 32768 rows of 4096 bytes at most
+        bits[4096 * row["page"] : 4096 * (row["page"] + 1)] = row["bits"]
+    some = any(bits)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         counts, known = Counter(), {}
-        if not any(bits):
+        if not some:
             return
 
         def wanted(t: str) -> bool:
