@@ -49,15 +49,15 @@ def balance(sizes: DataFrame, goals: DataFrame, cap: float, rounds: int = ROUNDS
 
     Minimise the relative entropy of document rates to 1 subject to each source's rates times sizes
     making its target and no rate above cap. The dual is convex with one multiplier a source, whose
-    gradient is sum(n size rate) - target. Each round is one distributed aggregation over the table
+    gradient is sum(n size rate) - target. Each step is one distributed aggregation over the table
     of sizes and one Newton step for all sources, kept inside a bracket that shrinks each time.
     full marks sources whose target is cap times their size: the multiplier is infinite there.
     """
     n_docs = sizes.groupBy("source").agg(F.sum("n").alias("n_docs"))
     own = goals.join(n_docs, goals["source"].eqNullSafe(n_docs["source"])).drop(n_docs["source"])
     state = own.select("source", "target", F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9)).alias("scale"), (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)).alias("full"), F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("miss"))
-    state = materialise(state, "multipliers")
-    for _ in range(rounds):
+
+    def step(state: DataFrame) -> DataFrame:
         s = state.select(F.col("source").alias("s"), "lam", "scale")
         each = sizes.join(s, sizes["source"].eqNullSafe(s["s"]))
         r = rate(F.col("lam"), F.col("size"), F.col("scale"), cap)
@@ -65,13 +65,17 @@ def balance(sizes: DataFrame, goals: DataFrame, cap: float, rounds: int = ROUNDS
         sums = each.groupBy("s").agg(F.sum(tokens * r).alias("made"), F.sum(F.when(r < cap, tokens * r * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope"))
         x = state.join(sums, state["source"].eqNullSafe(sums["s"])).withColumn("over", F.col("made") - F.col("target"))
         x = x.withColumns({"low": F.when(F.col("over") < 0, F.col("lam")).otherwise(F.col("low")), "high": F.when(F.col("over") >= 0, F.col("lam")).otherwise(F.col("high"))})
-        newton = F.col("lam") - F.col("over") / F.col("slope")
-        inside = (F.col("slope") > 0) & (F.col("low").isNull() | (newton > F.col("low"))) & (F.col("high").isNull() | (newton < F.col("high")))
+        newton = F.col("lam") - F.try_divide(F.col("over"), F.col("slope"))
+        inside = newton.isNotNull() & (F.col("slope") > 0) & (F.col("low").isNull() | (newton > F.col("low"))) & (F.col("high").isNull() | (newton < F.col("high")))
         middle = F.when(F.col("low").isNull(), F.col("high") * 2 - 1).when(F.col("high").isNull(), F.col("low") * 2 + 1).otherwise((F.col("low") + F.col("high")) / 2)
         # A step away from the bracket's far side is limited, since the gradient is exponential there.
-        step = F.when(inside & (F.abs(newton) <= 4 * F.abs(F.col("lam")) + 4), newton).otherwise(middle)
-        done = F.abs("over") <= F.lit(1e-8) * F.greatest(F.col("target"), F.lit(1.0))
-        state = materialise(x.select("source", "target", "scale", "full", F.when(done | F.col("full"), F.col("lam")).otherwise(step).alias("lam"), "low", "high", F.when(F.col("full") | done, 0.0).otherwise(F.abs("over") / F.greatest(F.col("target"), F.lit(1.0))).alias("miss")), "multipliers")
+        moved = F.when(inside & (F.abs(newton) <= 4 * F.abs(F.col("lam")) + 4), newton).otherwise(middle)
+        done = F.col("full") | (F.abs("over") <= F.lit(1e-8) * F.greatest(F.col("target"), F.lit(1.0)))
+        return x.select("source", "target", "scale", "full", F.when(done, F.col("lam")).otherwise(moved).alias("lam"), "low", "high", F.when(done, 0.0).otherwise(F.abs("over") / F.greatest(F.col("target"), F.lit(1.0))).alias("miss"))
+
+    state = materialise(state, "multipliers")
+    for _ in range(rounds // 2):
+        state = materialise(step(step(state)), "multipliers")  # two steps to a written table
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= 1e-7:
             break
     return state.select("source", "lam", "scale", "full")
