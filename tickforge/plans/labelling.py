@@ -236,7 +236,7 @@ def forward_fill(spark, sf):
 @query(f"WITH {views.INTERVALS} SELECT e.series_id, e.seq, count(*) AS n, sum(b.vol)::BIGINT AS vol FROM iv e JOIN iv b ON b.series_id=e.series_id AND b.at>=e.t0 AND b.at<e.t1 WHERE e.seq%5=0 GROUP BY 1,2")
 def interval_volume(spark, sf):
     x = views.intervals(spark, sf)
-    j = interval_join(x.select("series_id", F.col("at").alias("k"), "vol"), x.filter("seq % 5 = 0").select("series_id", "seq", "t0", "t1"), by=BY, at="k", start="t0", end="t1", width=DAY, closed="left")
+    j = interval_join(x.select("series_id", F.col("at").alias("k"), "vol"), x.filter("seq % 5 = 0").select("series_id", "seq", "t0", "t1"), by=BY, at="k", start="t0", end="t1", width=DAY // 8, closed="left")
     return j.groupBy("series_id", "seq").agg(F.count("*").alias("n"), F.sum("vol").alias("vol"))
 
 
