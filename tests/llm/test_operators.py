@@ -424,6 +424,51 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted(r["doc_id"] for r in one.collect() if r["doc_id"] is not None) == [0, 3, 3, 4, 5, 6, 7, 9, 10, 11]
 
 
+def test_near_copies(spark):
+    """Planted copies with edited words: links are exactly the pairs of five-word shingle similarity 0.8 at least, in steps."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for base in range(40):
+        text = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        rows.append(text)
+        for _ in range(4):
+            rows.append([x if rng.random() > 0.002 * (base % 12) else f"e{rng.randrange(3000)}" for x in text])
+    chain = [f"c{i}" for i in range(300)]
+    rows += [chain, chain[:-20] + ["x"] * 20, chain[40:-20] + ["x"] * 20, ["Short", "text"], ["short", "text"], []]
+    docs = [(i, " ".join(r)) for i, r in enumerate(rows)] + [(900, None), (None, "short text"), (901, docs_copy := " ".join(rows[0])), (901, docs_copy)]
+
+    def grams(t):
+        w = [x.lower() for x in ws(t)]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, parent = [grams(t) for _, t in docs], list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(docs)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = sum((brute_fingerprint(docs[i][1]) ^ brute_fingerprint(docs[j][1])).bit_count() > 2 for i, j in pairs)
+    assert far > 50
+    for i, j in pairs:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[root(i)].append(d)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = own(neardup.near_copies(df).select("doc_id", "component_id"))
+    assert sorted(got, key=key) == sorted(((d, min(least[root(i)])) for i, (d, _) in enumerate(docs)), key=key)
+    kept = neardup.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(min(v) for v in least.values())
+    assert neardup.drop_near_copies(empty_docs(spark)).count() == 0
+    assert neardup.drop_near_copies(odd_docs(spark)).columns == odd_docs(spark).columns
+
+
 def test_bit_planes():
     import random
 

@@ -59,6 +59,32 @@ def test_near_dedup_stage(steps):
     assert len(want) < len(docs)
 
 
+def test_near_dedup_similarity(steps):
+    """The first of each component of texts whose five-word shingles have the similarity 0.8 at least stays."""
+
+    def grams(text):
+        w = [x.lower() for x in brute.ws(text)]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    docs = steps["quality"]
+    sets = {r["doc_id"]: grams(r["text"]) for r in docs}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    want = [r for r in docs if root(r["doc_id"]) == r["doc_id"]]
+    assert sorted(map(str, steps["near_dedup"])) == sorted(map(str, want))
+    assert len(want) < len({r["text"] for r in docs})
+
+
 def test_pii_stage(steps):
     before, after = ({r["doc_id"]: r for r in steps[n]} for n in ("near_dedup", "pii"))
     assert set(before) == set(after)

@@ -1,4 +1,4 @@
-"""SimHash fingerprints, links within a Hamming radius by bit-sliced comparison, and their components."""
+"""Near duplicates: SimHash fingerprints within a Hamming radius, or exact shingle similarity of MinHash candidates; their components."""
 
 from __future__ import annotations
 
@@ -168,6 +168,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _classes(nodes: DataFrame, met: DataFrame) -> DataFrame:
+    """(fp, component_id, component_fp) of nodes (fp, least) that links (a, b) of their fp join."""
+    # A node's order is its least doc_id, nulls last; the fingerprint keeps nodes apart.
+    node = F.struct(F.col("least").isNull().alias("no_id"), F.col("least").alias("least"), F.col("fp").alias("fp"))
+    named = nodes.select(node.alias("node"), "fp")
+    edges = met.join(named.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
+    roots = components(edges).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("component_id"), F.col("root.fp").alias("component_fp"))
+    return nodes.join(roots, "fp", "left").select("fp", F.when(F.col("component_fp").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("component_fp", "fp").alias("component_fp"))
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, keep..., fp, component_id, component_fp): documents whose fingerprints link, directly or in steps.
 
@@ -179,13 +189,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, keep:
     marked = materialise(fingerprints(docs, shingle, keep), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     met = links(nodes.select("fp"), radius)
-    # A node's order is its least doc_id, nulls last; the fingerprint keeps nodes apart.
-    node = F.struct(F.col("least").isNull().alias("no_id"), F.col("least").alias("least"), F.col("fp").alias("fp"))
-    named = nodes.select(node.alias("node"), "fp")
-    edges = met.join(named.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
-    roots = components(edges).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("component_id"), F.col("root.fp").alias("component_fp"))
-    classes = nodes.join(roots, "fp", "left").select("fp", F.when(F.col("component_fp").isNotNull(), F.col("component_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("component_fp", "fp").alias("component_fp"))
-    classes = materialise(classes, "classes")
+    classes = materialise(_classes(nodes, met), "classes")
     return marked.join(classes, "fp").select("doc_id", *keep, "fp", "component_id", "component_fp")
 
 
@@ -193,6 +197,14 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _first_of_each(own: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of own (with __text_hash) that are first of their component."""
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__text_hash"))
+    first = found.groupBy("component_fp").agg(F.min_by(F.struct("doc_id", "__text_hash"), order).alias("k")).select("k.*").select(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash"))
+    kept = own.join(first, (own["doc_id"].cast("long").eqNullSafe(first["__id"])) & (own["__text_hash"] == first["__hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*columns)
+
+
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One document of each component, with its own columns: the least doc_id, nulls last, then the least text hash.
 
@@ -200,7 +212,96 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2)
     """
     own = docs.withColumn("__text_hash", F.xxhash64("text"))
     found = near_duplicates(own, shingle=shingle, radius=radius, keep=("__text_hash",))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__text_hash"))
-    first = found.groupBy("component_fp").agg(F.min_by(F.struct("doc_id", "__text_hash"), order).alias("k")).select("k.*").select(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash"))
-    kept = own.join(first, (own["doc_id"].cast("long").eqNullSafe(first["__id"])) & (own["__text_hash"] == first["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    return _first_of_each(own, found, docs.columns)
+
+
+#: MinHash: bands of a few values each. Sets of similarity 0.8 agree in a band at least with probability 1 - (1 - 0.8^5)^20 = 0.9996.
+BANDS, WIDTH = 20, 5
+_STEPS = np.array([xxhash.xxh64_intdigest(b"step", i) | 1 for i in range(BANDS * WIDTH)], "<u8")
+_SHIFTS = np.array([xxhash.xxh64_intdigest(b"shift", i) for i in range(BANDS * WIDTH)], "<u8")
+
+
+def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; a text of fewer words is one shingle, no words give zero."""
+    found = lower_words(text)
+    if not found:
+        return np.zeros(1, "<u8")
+    ids = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in found), "<u8", len(found))
+    n, h = max(1, len(found) - shingle + 1), np.uint64(0)
+    for k in range(min(shingle, len(found))):
+        h = (h + ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def band_keys(found: np.ndarray) -> list[int]:
+    """A key for each MinHash band of a set."""
+    least = np.full(len(_STEPS), 0xFFFFFFFF, "<u8")
+    for at in range(0, len(found), 1024):
+        least = np.minimum(least, ((found[at : at + 1024, None] * _STEPS + _SHIFTS) >> np.uint64(32)).min(axis=0))
+    return [_signed(xxhash.xxh64_intdigest(least[i : i + WIDTH].tobytes(), 42)) for i in range(0, len(least), WIDTH)]
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have the Jaccard similarity at least."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            good = []
+            for x, y in zip(b["x"], b["y"], strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    good.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield {c: [v for v, g in zip(b[c], good, strict=True) if g] for c in "ab"}
+
+    own = lambda fp, name: sets.select(F.col("fp").alias(fp), F.col("found").alias(name))
+    return materialise(map_rows(pairs.join(own("b", "y"), "b").join(own("a", "x"), "a").select("a", "b", "x", "y"), run, "a long, b long", batch=50), "similar")
+
+
+def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows (doc_id, fp, component_id, component_fp) as near_duplicates(), fp the hash of the text.
+
+    Texts link where the Jaccard similarity of their word shingles is `similarity` at least, as the
+    sets themselves tell. Candidates are texts that agree in a MinHash band. In each band's group all
+    are first compared with one, then those that this left in different components with each other.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("fp", F.xxhash64("text"))
+
+    def sketch(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"doc_id": b["doc_id"], "fp": b["fp"], "keys": [band_keys(shingles(t, shingle)) for t in b["text"]]}
+
+    def found(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"fp": b["fp"], "found": [shingles(t, shingle).tobytes() for t in b["text"]]}
+
+    marked = materialise(map_rows(own, sketch, "doc_id long, fp long, keys array<long>"), "sketches")
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "nodes")
+    keyed = nodes.select("fp", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("fp").alias("head")).filter("n > 1")
+    met = materialise(keyed.join(shared, ["band", "key"]).select("band", "key", "fp", "head"), "met")
+    # The text of a node is that of its rows with the least id, so copies do not meet in one task.
+    wanted = nodes.join(met.select("fp").distinct(), "fp").select(F.col("fp").alias("__fp"), "least")
+    texts = own.join(wanted, (own["fp"] == wanted["__fp"]) & own["doc_id"].eqNullSafe(wanted["least"]), "left_semi").select("fp", "text").dropDuplicates(["fp"])
+    sets = materialise(map_rows(texts, found, "fp long, found binary", batch=50), "sets")
+
+    first = _similar(met.filter("fp != head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct(), sets, similarity)
+    roots = components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "fp"})
+    known = materialise(met.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
+    parted = known.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band", "key")
+    left = known.join(parted, ["band", "key"], "left_semi")
+    x = left.filter("fp != head").select("band", "key", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    y = left.filter("fp != head").select("band", "key", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    others = x.join(y, ["band", "key"]).filter("a < b and ra != rb").select("a", "b").distinct()
+    links_ = first.unionByName(_similar(others, sets, similarity))
+    classes = materialise(_classes(nodes.select("fp", "least"), links_), "classes")
+    return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "component_fp")
+
+
+def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As drop_near_duplicates(), over the components of near_copies()."""
+    own = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
+    return _first_of_each(own, near_copies(docs, shingle=shingle, similarity=similarity).withColumn("__text_hash", F.col("fp")), docs.columns)
