@@ -674,6 +674,29 @@ def test_disclosing_terms(spark):
     assert len(clean) == len(rows)
 
 
+def test_disclosing_terms_of_copies(spark):
+    """Copies of one passage disclose by documents; what one document alone holds does not. By hand over all documents."""
+    rows = [(i, f"ask our zorblatt at jo@ex.org today\nlater line with Zorblatt again and quuxly{'abcdefghijkl'[i]}") for i in range(12)]
+    rows += [(100 + i, f"ask our plain word{'abcdefgh'[i % 8]} at today and later again with line") for i in range(200)]
+    rows += [(500, "only vimblor knows li@ex.org well"), (501, "call grumpet on +1 202 555 0147 now"), (502, "call grumpet on +1 202 555 0147 now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n_term, n_entity, both, near = Counter(), defaultdict(set), defaultdict(set), {}
+    for i, t in rows:
+        n_term.update({x.lower() for x in pii._TERM.findall(t)})
+        near[i] = [(pii.entity(k, t[s:e]), pii.nearby(t, s, e, 8)) for k, s, e in pii.base_spans(t)]
+        for e, around in near[i]:
+            n_entity[e].add(i)
+            for x in around:
+                both[e, x].add(i)
+    n = len(rows)
+    told = {p for p, d in both.items() if len(d) >= 2 and math.log(n * len(d) / (n_term[p[1]] * len(n_entity[p[0]]))) / math.log(n / len(n_entity[p[0]])) >= 0.9}
+    assert {t for _, t in told} == {"zorblatt", "call", "grumpet", "now"}
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term"] for r in pii.find_spans(docs).collect()}
+    for i, t in rows:
+        assert got[i] == pii.term_spans(t, {x for e, x in told if e in dict(near[i])}, [(a, b) for _, a, b in pii.base_spans(t)])
+    assert len(got[0]) == 2 and got[500] == []
+
+
 def test_document_frequencies_of_all_documents(spark):
     rows = [(i, f"alpha{'x' * (i % 3)} beta été été {'γάμμα' if i % 5 == 0 else ''}") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

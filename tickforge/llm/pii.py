@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
@@ -101,33 +101,45 @@ def _bucket(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42) % BUCKETS
 
 
+def _term_bits(candidates: DataFrame) -> bytes:
+    """A bitmap of BUCKETS bits of the terms' hashes."""
+    bucket = F.xxhash64("term").bitwiseAND(F.lit(BUCKETS - 1))
+    own = candidates.select((bucket % 32768).alias("bit"), F.shiftright(bucket, 15).alias("page")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = bytearray(BUCKETS // 8)
+    for row in own.collect():  # BUCKETS / 32768 rows of 4096 bytes at most
+        bits[4096 * row["page"] : 4096 * (row["page"] + 1)] = row["bits"]
+    return bytes(bits)
+
+
+def _marked_in(bits: bytes) -> Callable[[str], bool]:
+    """Whether a term's bit is set; terms asked for lately are remembered."""
+    known = {}
+
+    def wanted(t: str) -> bool:
+        got = known.get(t)
+        if got is None:
+            if len(known) > 500_000:
+                known.clear()
+            b = _bucket(t)
+            got = known[t] = bool(bits[b >> 3] >> (b & 7) & 1)
+        return got
+
+    return wanted
+
+
 def document_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(term, n): how many documents hold each term of `candidates`, counted over all documents.
 
     A bitmap of BUCKETS bits of the candidates' hashes goes to the tasks, which count terms whose bit
     is set and emit partial sums; terms that only share a bit drop out in the join.
     """
-    bucket = F.xxhash64("term").bitwiseAND(F.lit(BUCKETS - 1))
-    own = candidates.select((bucket % 32768).alias("bit"), F.shiftright(bucket, 15).alias("page")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bits = bytearray(BUCKETS // 8)
-    for row in own.collect():  # BUCKETS / 32768 rows of 4096 bytes at most
-        bits[4096 * row["page"] : 4096 * (row["page"] + 1)] = row["bits"]
+    bits = _term_bits(candidates)
     some = any(bits)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        counts, known = Counter(), {}
+        counts, wanted = Counter(), _marked_in(bits)
         if not some:
             return
-
-        def wanted(t: str) -> bool:
-            got = known.get(t)
-            if got is None:
-                if len(known) > 500_000:
-                    known.clear()
-                b = _bucket(t)
-                got = known[t] = bool(bits[b >> 3] >> (b & 7) & 1)
-            return got
-
         for b in batches:
             for text in b["text"]:
                 if text:
@@ -141,14 +153,30 @@ def document_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("n").alias("n")).join(candidates, "term", "left_semi")
 
 
-def find_spans(docs: DataFrame, *, reach: int = 8, threshold: float = 0.9, contexts: int = 3) -> DataFrame:
+def _terms_held(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(k1, k2, term): which of the candidates, and of terms that share their bits, each text (k1, k2, text) holds."""
+    bits = _term_bits(candidates)
+    some = any(bits)
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        wanted = _marked_in(bits)
+        if not some:
+            return
+        for b in batches:
+            yield {"k1": b["k1"], "k2": b["k2"], "terms": [list(filter(wanted, {x.lower() for x in _TERM.findall(t)})) for t in b["text"]]}
+
+    return map_rows(texts, run, "k1 long, k2 long, terms array<string>").select("k1", "k2", F.explode("terms").alias("term"))
+
+
+def find_spans(docs: DataFrame, *, reach: int = 8, threshold: float = 0.9, documents: int = 2) -> DataFrame:
     """Rows (doc_id, k1, k2, spans): personal data of every whole text, with terms that disclose it.
 
     Protected entities are the values of base spans. A term within `reach` terms of one in its line
-    discloses it if it stands near it in at least `contexts` different surroundings, and the share of
-    the entity's information that it gives, log(N n(t,e) / (n(t) n(e))) / log(N / n(e)) over the
-    documents of the corpus, is at least `threshold`. In documents that hold the entity, the term's
-    occurrences are spans of kind "term". Documents without personal data get no spans.
+    discloses it if it stands near it in at least `documents` documents, copies of one passage among
+    them, and the share of the entity's information that it gives, log(N n(t,e) / (n(t) n(e))) /
+    log(N / n(e)) over the documents of the corpus, is at least `threshold`. In documents that hold
+    the entity, the term's occurrences are spans of kind "term". Documents without personal data get
+    no spans. What stands together in one document only is no evidence: every rare word would do.
 
     k1, k2 key the row's content. Null and empty texts have no spans; null and repeated ids and rows
     stay, equal rows getting equal spans; an empty table gives none; other columns are ignored.
@@ -162,32 +190,32 @@ def find_spans(docs: DataFrame, *, reach: int = 8, threshold: float = 0.9, conte
             for text in b["text"]:
                 spans, near = base_spans(text), []
                 for kind, s, e in spans:
-                    terms = nearby(text, s, e, reach)
-                    where = xxhash.xxh64_intdigest(" ".join(terms).encode("utf-8", "surrogatepass")) >> 1
-                    near.append({"entity": entity(kind, text[s:e]), "around": where, "terms": sorted(set(terms))})
+                    near.append({"entity": entity(kind, text[s:e]), "terms": sorted(set(nearby(text, s, e, reach)))})
                 out["spans"].append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
                 out["near"].append(near)
             yield out
 
-    marked = materialise(map_rows(own, scan, "doc_id long, k1 long, k2 long, spans array<struct<kind:string,start:int,end:int>>, near array<struct<entity:string,around:long,terms:array<string>>>"), "marked")
-    holds = marked.filter(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.entity", "x.around", "x.terms")
-    pairs = holds.select("k1", "k2", "entity", "around", F.explode("terms").alias("term"))
-    places = pairs.groupBy("entity", "term", "around").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("places")).filter(F.col("places") >= contexts)
-    together = pairs.select("entity", "term", "k1", "k2").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    likely = materialise(places.join(together, ["entity", "term"]).select("entity", "term", "n_both"), "likely")
+    marked = materialise(map_rows(own, scan, "doc_id long, k1 long, k2 long, spans array<struct<kind:string,start:int,end:int>>, near array<struct<entity:string,terms:array<string>>>"), "marked")
+    holds = marked.filter(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.entity", "x.terms")
+    pairs = holds.select("k1", "k2", "entity", F.explode("terms").alias("term"))
+    together = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    likely = materialise(together.filter(F.col("n_both") >= documents), "likely")
     with_entity = holds.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     with_term = document_frequencies(docs, likely.select("term").distinct()).withColumnRenamed("n", "n_term")
     n_docs = marked.count()
     given = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
     disclosing = likely.join(with_entity, "entity").join(with_term, "term").filter((F.col("n_entity") < n_docs) & (given >= threshold)).select("entity", "term")
-    terms = holds.select("k1", "k2", "entity").distinct().join(disclosing, "entity").groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"))
+    disclosing = materialise(disclosing, "disclosing")
+    # Only texts that can hold an entity travel. A text meets the terms that it holds, not all of its entities' terms.
+    texts = own.filter(F.col("text").rlike(HINT)).select("k1", "k2", "text")
+    held = _terms_held(texts, disclosing.select("term").distinct()).distinct()
+    met = held.join(holds.select("k1", "k2", "entity").distinct(), ["k1", "k2"]).join(disclosing, ["entity", "term"], "left_semi")
+    terms = met.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"))
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")
     def place(text: pd.Series, terms: pd.Series) -> pd.Series:  # noqa: ANN202
         return pd.Series([[{"kind": "term", "start": s, "end": e} for s, e in term_spans(t, set(x), [(a, b) for _, a, b in base_spans(t)])] for t, x in zip(text, terms, strict=True)])
 
-    # Only texts that can hold an entity travel.
-    texts = own.filter(F.col("text").rlike(HINT)).select("k1", "k2", "text")
     extra = texts.join(terms, ["k1", "k2"]).select("k1", "k2", place("text", "terms").alias("extra")).dropDuplicates(["k1", "k2"])
     joined = marked.select("doc_id", "k1", "k2", "spans").join(extra, ["k1", "k2"], "left")
     every = F.concat("spans", F.coalesce("extra", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")))
