@@ -621,3 +621,35 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"rows_out": 1' in capsys.readouterr().out
     main(["check", f"clean={tmp_path / 'out'}:date:price,vol"])
     assert '"ready": true' in capsys.readouterr().out
+
+
+def test_match_lengths_of_whole_blocks(spark):
+    """Vectorised match lengths against the plain loop; the registered queries read every row of their blocks."""
+    from tickforge.plans import micro
+
+    rng = np.random.default_rng(3)
+    for m, n, letters in ((2, 1, 2), (9, 4, 2), (80, 40, 1), (300, 30, 2), (301, 40, 3)):
+        s = rng.integers(0, letters, m)
+        assert entropy.window_matches(s, n).tolist() == [entropy.match_length(s, i, n) for i in range(n, m - n + 1)]
+
+    def rate(s, window):
+        n = min(window, len(s) // 2)
+        lengths = [entropy.match_length(s, i, n) for i in range(n, len(s) - n + 1)]
+        return sum(math.log2(n + 1) / k for k in lengths) / len(lengths)
+
+    def cut(codes, n):
+        codes = codes.to_numpy()
+        return codes[len(codes) % n :].reshape(n, -1)
+
+    sf = "/root/testdata/sf0.01"
+    x = entropy.encode_binary(micro._returns(spark, sf), "r").toPandas().sort_values(micro.ORDER)
+    got = {(r["series_id"], r["block"]): r["entropy"] for r in micro.kontoyiannis(spark, sf).collect()}
+    want = {(k, b): rate(s, 40) for k, g in x.groupby("series_id") for b, s in enumerate(cut(g["code"], 8))}
+    assert max(len(g) // 8 for _, g in x.groupby("series_id")) > 120
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+    y = entropy.encode_product(micro._returns(spark, sf).filter("r is not null"), "r", by=micro.BY, order=micro.ORDER).toPandas().sort_values(micro.ORDER)
+    share = lambda s: -sum(p * math.log2(p) for p in np.bincount(s) / len(s) if p)
+    for r in micro.entropy_correlation(spark, sf).collect():
+        parts = cut(y[y["series_id"] == r["series_id"]]["code"], 12)
+        assert abs(r["correlation"] - np.corrcoef([share(s) for s in parts], [rate(s, 30) for s in parts])[0, 1]) < 1e-3

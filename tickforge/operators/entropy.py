@@ -76,6 +76,18 @@ def match_length(s: np.ndarray, i: int, n: int) -> int:
     return best + 1
 
 
+def window_matches(s: np.ndarray, n: int) -> np.ndarray:
+    """match_length(s, i, n) of every i from n to len(s) - n: runs of equal symbols at each lag, all places at once."""
+    m = len(s)
+    best = np.zeros(m - 2 * n + 1, np.int64)
+    for lag in range(1, n + 1):
+        differ = np.append(s[:-lag] != s[lag:], True)
+        stop = np.minimum.accumulate(np.where(differ, np.arange(len(differ)), len(differ))[::-1])[::-1]
+        runs = stop - np.arange(len(stop))
+        best = np.maximum(best, np.minimum(runs[n - lag : m - n - lag + 1], n))
+    return best + 1
+
+
 def kontoyiannis(symbols: np.ndarray, window: int | None = None) -> tuple[float, float]:
     """Entropy rate in bits from match lengths, and redundancy 1 - rate / log2(alphabet).
 
@@ -86,11 +98,11 @@ def kontoyiannis(symbols: np.ndarray, window: int | None = None) -> tuple[float,
     if m < 2:
         raise ValueError("at least two symbols are needed")
     if window is None:
-        places = [(i, i) for i in range(1, m // 2 + 1)]
+        places = range(1, m // 2 + 1)
+        rate = sum(math.log2(i + 1) / match_length(symbols, i, i) for i in places) / len(places)
     else:
         n = min(window, m // 2)
-        places = [(i, n) for i in range(n, m - n + 1)]
-    rate = sum(math.log2(n + 1) / match_length(symbols, i, n) for i, n in places) / len(places)
+        rate = float(np.mean(math.log2(n + 1) / window_matches(symbols, n)))
     letters = len(np.unique(symbols))
     return rate, (1 - rate / math.log2(letters) if letters > 1 else float("nan"))
 

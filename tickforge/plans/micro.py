@@ -59,8 +59,7 @@ def gaussian_entropy(spark, sf):
 def kontoyiannis(spark, sf):
     x = entropy.encode_binary(_returns(spark, sf), "r")
     x = entropy.blocks(x.withColumn("k", F.lit(1)), 8, by=BY, order=ORDER)
-    first = x.withColumn("i", F.row_number().over(C.ordered(["series_id", "block"], ORDER))).filter("i <= 120")
-    return rounded(entropy.kontoyiannis_entropy(first, "code", by=["series_id", "block"], order=ORDER, window=40), "entropy", "redundancy")
+    return rounded(entropy.kontoyiannis_entropy(x, "code", by=["series_id", "block"], order=ORDER, window=40), "entropy", "redundancy")
 
 
 @query(f"WITH {_RET}, b AS (SELECT *, row_number() OVER {_W} AS i, count(*) OVER (PARTITION BY series_id) AS n FROM x), k AS (SELECT series_id, ts, seq, r, (i-n%10-1)//(n//10) AS block FROM b WHERE i>n%10), w AS (SELECT series_id, block, (r>0)::INT AS c, lag((r>0)::INT) OVER (PARTITION BY series_id, block ORDER BY ts, seq) AS a FROM k WHERE r<>0), c AS (SELECT series_id, block, a, c, count(*) AS n FROM w WHERE a IS NOT NULL GROUP BY ALL), p AS (SELECT *, n/sum(n) OVER (PARTITION BY series_id, block) AS p FROM c) SELECT series_id, block, {q('-sum(p*log2(p))/2')} AS entropy FROM p GROUP BY 1,2")
@@ -81,9 +80,8 @@ def entropy_correlation(spark, sf):
     """Plug-in against match-length entropy of blocks of a series, and their correlation."""
     x = entropy.encode_product(_returns(spark, sf).filter("r is not null"), "r", by=BY, order=ORDER)
     x = entropy.blocks(x.withColumn("k", F.lit(1)), 12, by=BY, order=ORDER)
-    first = x.withColumn("i", F.row_number().over(C.ordered(["series_id", "block"], ORDER))).filter("i <= 100")
-    a = entropy.plugin_entropy(first, "code", 1, by=["series_id", "block"], order=ORDER)
-    b = entropy.kontoyiannis_entropy(first, "code", by=["series_id", "block"], order=ORDER, window=30).select("series_id", "block", F.col("entropy").alias("rate"))
+    a = entropy.plugin_entropy(x, "code", 1, by=["series_id", "block"], order=ORDER)
+    b = entropy.kontoyiannis_entropy(x, "code", by=["series_id", "block"], order=ORDER, window=30).select("series_id", "block", F.col("entropy").alias("rate"))
     return a.join(b, ["series_id", "block"]).groupBy("series_id").agg(r(F.corr("entropy", "rate"), 4).alias("correlation"))
 
 
