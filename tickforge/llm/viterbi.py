@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import inf
+from math import inf, log
 from pathlib import Path
 
 import ahocorasick
@@ -15,17 +15,30 @@ from .common import map_rows
 
 #: The mark that stands for a space, and how far an unknown character scores below the worst piece.
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
+#: How many times as low as the worst piece a piece scores that is no text.
+NO_TEXT = 8
 
 
 def piece_scores(path: str) -> tuple[list[tuple[str, float]], int]:
-    """The (piece, score) list of a vocabulary file, in order of ids, and the unknown piece's id.
+    """The (piece, log-probability) list of a vocabulary file, in order of ids, and the unknown piece's id.
 
-    Of a .model file the pieces with their stored scores are taken, whatever algorithm they were made for.
+    A .model file made by merging holds ranks, not probabilities. Its pieces get those of Zipf's law
+    instead: the piece of rank r has the share (1 / r) / (1 + 1/2 + ... + 1/n), so nothing is trained
+    and shares sum to 1. Of a file made for unigrams the stored scores are taken. Control, byte,
+    unknown and unused pieces are no text: they score NO_TEXT times as low as the worst piece, so that
+    the characters of their names, six at most, always win.
     """
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_proto=Path(path).read_bytes())
-    return [(own.id_to_piece(i), own.get_score(i)) for i in range(own.get_piece_size())], own.unk_id()
+    ids = range(own.get_piece_size())
+    text = [i for i in ids if not (own.is_control(i) or own.is_byte(i) or own.is_unknown(i) or own.is_unused(i))]
+    score = {i: own.get_score(i) for i in text}
+    if all(x == int(x) for x in score.values()):  # ranks
+        total = log(sum(1 / r for r in range(1, len(text) + 1)))
+        score = {i: -log(r) - total for r, i in enumerate(sorted(text, key=lambda i: (-score[i], i)), 1)}
+    outside = NO_TEXT * min(score.values(), default=-1.0)
+    return [(own.id_to_piece(i), score.get(i, outside)) for i in ids], own.unk_id()
 
 
 class CountingViterbi:
@@ -124,7 +137,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, byte_fallback: bool = True
     """Rows (doc_id, n_chars, n_tokens, score): pieces in each whole text's best segmentation, and its score.
 
     `vocabulary` is a vocabulary file, read where the tasks run. Null and empty texts have no tokens
-    and score 0. Repeated rows and null ids stay; an empty table gives none; other columns are ignored.
+    and score 0. Repeated rows and null ids stay; an empty table gives none; other columns, whatever
+    their names, are ignored. A text is taken whole; memory is that of its longest stretch without a
+    space. Ties go to the segmentation whose last piece is longest, at every end place.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
