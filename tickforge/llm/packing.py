@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, materialise
 
 #: Fixed value: how byte-level vocabularies of this kind split a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -81,12 +81,13 @@ class BestFit:
     """Bounded-space online best fit: open bins by free space, marked in a bitset held in an integer.
 
     place(length) takes the open bin with the least free space that is enough. If none fits, a new
-    bin opens; if `most` are open then, the fullest closes first. Returns (bin, offset).
+    bin opens; if `most` are open then, the fullest closes first. Returns (bin, offset). Bins that
+    have closed since stand in `closed`, which the caller empties.
     """
 
     def __init__(self, capacity: int, most: int):
         self.capacity, self.most = capacity, most
-        self.bits, self.bins, self.n_open, self.made = 0, [[] for _ in range(capacity + 1)], 0, 0
+        self.bits, self.bins, self.n_open, self.made, self.closed = 0, [[] for _ in range(capacity + 1)], 0, 0, []
 
     def _take(self, free: int) -> int:
         own = self.bins[free]
@@ -104,50 +105,100 @@ class BestFit:
             free, got = self.capacity, self.made
             self.made += 1
             if self.n_open >= self.most and length < self.capacity:
-                self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed.append(self._take((self.bits & -self.bits).bit_length() - 1))
         if left := free - length:
             self.bins[left].append(got)
             self.bits |= 1 << left
             self.n_open += 1
+        else:
+            self.closed.append(got)
         return got, self.capacity - free
 
+    def still_open(self) -> list[tuple[int, int]]:
+        """(bin, free space) of all open bins."""
+        return [(b, free) for free, own in enumerate(self.bins) for b in own]
+
+
+_PIECE = "doc_id long, piece int, start long, length long, ids binary"
+_NAMES = ("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset", "task", "row")
+
+
+def _packed(pieces: Iterator[tuple], capacity: int, open_bins: int, first: int, reopen: int | None) -> Iterator[dict]:
+    """Rows of _NAMES for pieces (doc_id, piece, start, length, ids), each as its sequence closes.
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, open_bins: int = 1024, end_id: int | None = 0, ahead: int = 1000) -> DataFrame:
+    Memory is that of the open sequences. With `reopen`, those that have that much free space or more
+    at the end come out without a place, for another pass.
+    """
+    fit, held, task, row = BestFit(capacity, open_bins), {}, TaskContext.get().partitionId(), 0
+    rows, size = [], 0
+
+    def told() -> dict:
+        return dict(zip(_NAMES, map(list, zip(*rows, strict=True)), strict=True))
+
+    def close(b: int, placed: bool = True) -> None:
+        nonlocal size
+        for own, at, n in held.pop(b):
+            rows.append((*own, first + b if placed else None, at if placed else None, task, n))
+            size += len(own[4])
+
+    for own in pieces:
+        b, at = fit.place(own[3])
+        held.setdefault(b, []).append((own, at, row))
+        row += 1
+        for c in fit.closed:
+            close(c)
+        fit.closed.clear()
+        if size > 16 << 20:
+            yield told()
+            rows, size = [], 0
+    for b, free in fit.still_open():
+        close(b, reopen is None or free < reopen)
+    if rows:
+        yield told()
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, open_bins: int = 1024, end_id: int | None = 0) -> DataFrame:
     """Documents (doc_id, text) as token pieces placed in sequences of at most `capacity` tokens.
 
     A document is its ids and then end_id. Only longer ones are cut: into pieces of `capacity`, the
-    first taking the rest. Each task packs its own partition in one pass with at most `open_bins`
-    open sequences, looking `ahead` that many documents and placing the longest of them first, so memory is bounded and nothing is shuffled; a task that is run again packs the
-    same rows alike. Null text counts as empty (one token). Rows with a null or repeated doc_id are
-    packed like others. An empty table gives no rows; other columns are ignored.
+    first taking the rest. Each task packs its own partition online, in one pass, with at most
+    `open_bins` open sequences. Sequences that a task leaves with a 16th or more of their space free
+    are opened again: their pieces are gathered, some millions of tokens to a task, and packed the
+    same way once more, so many small partitions cost little. The first pass is written to the shared
+    folder, so a task that is run again does not pack otherwise.
+
+    Null text counts as empty (one token). Rows with a null or repeated doc_id are packed like
+    others. An empty table gives no rows; other columns, whatever their names, are ignored. Texts are
+    taken whole: memory is that of the open sequences, some MB of texts and the longest text.
 
     Returns doc_id, piece, start, length, ids (binary, little-endian uint32), sequence_id, offset.
     """
+    schema = f"{_PIECE}, sequence_id long, offset long, task int, row long"
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def cut(batches: Iterator[dict]) -> Iterator[tuple]:
         encode = byte_tokenizer(tokenizer).encode
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        first, fit = TaskContext.get().partitionId() << 40, BestFit(capacity, open_bins)
-        names = ("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
         for b in batches:
-            rows, size, todo = [], 0, []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 ids = encode(text or "") + end
                 n = len(ids) // 4
-                todo.append((n % capacity or min(n, capacity), n, doc_id, ids))
-            todo.sort(key=lambda x: -x[0])
-            for stop, n, doc_id, ids in todo:
-                start, piece = 0, 0
+                start, stop, piece = 0, n % capacity or min(n, capacity), 0
                 while start < n:
-                    sequence, offset = fit.place(stop - start)
-                    rows.append((doc_id, piece, start, stop - start, ids[4 * start : 4 * stop], first + sequence, offset))
+                    yield doc_id, piece, start, stop - start, ids[4 * start : 4 * stop]
                     start, stop, piece = stop, stop + capacity, piece + 1
-                size += len(ids)
-                if size > 16 << 20:
-                    yield dict(zip(names, zip(*rows, strict=True), strict=True))
-                    rows, size = [], 0
-            if rows:
-                yield dict(zip(names, zip(*rows, strict=True), strict=True))
+
+    def once(batches: Iterator[dict]) -> Iterator[dict]:
+        return _packed(cut(batches), capacity, open_bins, TaskContext.get().partitionId() << 40, max(1, capacity // 16))
+
+    def again(batches: Iterator[dict]) -> Iterator[dict]:
+        pieces = (x for b in batches for x in zip(*(b[c] for c in _NAMES[:5]), strict=True))
+        return _packed(pieces, capacity, open_bins, ((1 << 22) + TaskContext.get().partitionId()) << 40, None)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(own, run, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long", batch=ahead)
+    first = materialise(map_rows(own, once, schema), "packed")
+    left = first.filter("sequence_id is null")
+    tokens = left.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    groups = max(1, -(-tokens // (capacity * 4096)))
+    gathered = left.repartition(groups, F.pmod("task", F.lit(groups))).sortWithinPartitions("task", "row")
+    second = map_rows(gathered.select(*_NAMES[:5]), again, schema)
+    return first.filter("sequence_id is not null").unionByName(second).drop("task", "row")
