@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def shielded(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but `keep` under numbers for names, which clash with nothing, and what restores columns and order."""
+    to = {c: f"column {i}" for i, c in enumerate(docs.columns) if c not in keep}
+    back = lambda df: df.withColumnsRenamed({n: c for c, n in to.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumnsRenamed(to), back
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Set here only where unset, on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -63,15 +71,33 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of strings that map_rows() hands over at once; a longer row comes alone.
+BATCH_BYTES = 8 << 20
+
+
+def slices(b: pa.RecordBatch, most_rows: int, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """b in parts of at most most_rows rows whose strings take most_bytes at most, or single rows."""
+    size = np.zeros(b.num_rows, np.int64)
+    for c in b.columns:
+        if any(t(c.type) for t in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < b.num_rows:
+        stop = int(np.searchsorted(ends, most_bytes + (ends[at - 1] if at else 0), side="right"))
+        stop = max(at + 1, min(stop, at + most_rows))
+        yield b.slice(at, stop - at)
+        at = stop
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, batch: int = 500) -> DataFrame:
-    """mapInArrow over whole partitions: fn gets dicts of columns (lists) of at most `batch` rows and yields the same kind.
+    """mapInArrow over whole partitions: fn gets dicts of columns (lists) of at most `batch` rows and BATCH_BYTES and yields the same kind.
 
     schema is a DDL string.
     """
     arrow = to_arrow(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(b.slice(i, batch).to_pydict() for b in batches for i in range(0, b.num_rows, batch)):
+        for out in fn(part.to_pydict() for b in batches for part in slices(b, batch)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

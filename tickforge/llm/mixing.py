@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, materialise, word_array
+from .common import let, materialise, shielded, word_array
 
 #: Newton steps at most; bisection inside the bracket makes each at least halve it.
 ROUNDS = 60
 #: Documents of one source and size whose extra copies one task places.
 GROUP = 256
+#: Rows alike that come out of one row of their list.
+BLOCK = 4096
 
 
 def cycle_weights(sources: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
@@ -78,6 +80,8 @@ def balance(sizes: DataFrame, goals: DataFrame, cap: float, rounds: int = ROUNDS
         state = materialise(step(step(state)), "multipliers")  # two steps to a written table
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= 1e-7:
             break
+    else:
+        raise RuntimeError(f"multipliers did not settle in {rounds} steps")
     return state.select("source", "lam", "scale", "full")
 
 
@@ -138,8 +142,12 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] | DataFrame = (3.0, 1.0,
     which get one more, in groups of about GROUP rows, so no source or size gathers in one task. A
     source's words then miss its target by less than the smallest useful document can mend.
 
-    A null source is one source; an empty table gives no rows; rows alike in all of doc_id, source
-    and text may get different numbers of copies, but runs agree as a multiset.
+    A null source is one source; null and empty texts have size 0 and are taken as their rate of one
+    copy says; texts of any length are counted whole; an empty table gives no rows; other columns,
+    whatever their names, are ignored. Rows alike in all of doc_id, source and text count as one
+    entry with a number of rows, so a text that makes up much of the corpus is one row to every
+    window; its copies are dealt evenly among its rows. Runs agree as a multiset, however the table
+    is split.
     """
     size = F.size(word_array(F.col("text").cast("string"))).cast("long")
     light = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")), "sizes")
@@ -159,27 +167,55 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] | DataFrame = (3.0, 1.0,
     got = whole_copies(classes, cap).select(F.col("source").alias("__s"), F.col("size").alias("__size"), "n", "copies")
     gg = goals.select(F.col("source").alias("__g"), "source_size", "target")
     got = got.join(gg, got["__s"].eqNullSafe(gg["__g"])).drop("__g")
-    x = light.join(got, light["source"].eqNullSafe(got["__s"]) & (light["size"] == got["__size"])).drop("__s", "__size")
+    alike = light.groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("rows"))
+    x = alike.join(got, alike["source"].eqNullSafe(got["__s"]) & (alike["size"] == got["__size"])).drop("__s", "__size")
     # Groups split a class by hash; each owns its stretch of the class's documents in order of groups.
     groups = F.ceil(F.col("n") / GROUP)
     x = x.withColumn("pick", F.xxhash64("doc_id", "text_hash")).withColumn("group", F.pmod("pick", groups))
-    counts = x.groupBy("source", "size", "group").agg(F.count("*").alias("in_group"))
+    counts = x.groupBy("source", "size", "group").agg(F.sum("rows").alias("in_group"))
     before = Window.partitionBy("source", "size").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("source").alias("__s"), F.col("size").alias("__size"), F.col("group").alias("__group"), F.coalesce(F.sum("in_group").over(before), F.lit(0)).alias("offset"))
     x = x.join(offsets, x["source"].eqNullSafe(offsets["__s"]) & (x["size"] == offsets["__size"]) & (x["group"] == offsets["__group"])).drop("__s", "__size", "__group")
-    place = F.col("offset") + F.row_number().over(Window.partitionBy("source", "size", "group").orderBy("pick", "doc_id", "text_hash")) - 1
-    extra = F.pmod(F.col("copies"), F.col("n"))
-    x = x.withColumns({"place": place, "extra": extra})
+    earlier = Window.partitionBy("source", "size", "group").orderBy("pick", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({"place": F.col("offset") + F.coalesce(F.sum("rows").over(earlier), F.lit(0)), "extra": F.pmod(F.col("copies"), F.col("n"))})
     # extra of n places, spread evenly: place i gets one more where i * extra / n passes a whole number.
-    more = F.expr("((place + 1) * extra) div n - (place * extra) div n")
-    return x.select("doc_id", "source", "size", "text_hash", "source_size", "target", (F.floor(F.col("copies") / F.col("n")) + more).cast("long").alias("copies"))
+    more = F.expr("((place + rows) * extra) div n - (place * extra) div n")
+    x = x.withColumn("all", (F.col("rows") * F.floor(F.col("copies") / F.col("n")) + more).cast("long"))
+    columns = ("doc_id", "source", "size", "text_hash", "source_size", "target")
+    single = x.filter("rows = 1").select(*columns, F.col("all").alias("copies"))
+    # Rows alike come out in blocks that are dealt anew, so many of them are no one task's work.
+    part = lambda copies, rows: F.struct(copies.cast("long").alias("copies"), rows.cast("long").alias("rows"))
+    least, above = F.expr("all div rows"), F.expr("all % rows")
+    dealt = x.filter("rows > 1").select(*columns, F.explode(F.array(part(least + 1, above), part(least, F.col("rows") - above))).alias("part")).filter("part.rows > 0")
+    blocks = dealt.select(*columns, "part", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("part.rows") - 1), F.lit(BLOCK).cast("long"))).alias("at"))
+    spread = blocks.repartition("doc_id", "text_hash", "at")
+    several = spread.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(BLOCK).cast("long"), F.col("part.rows") - F.col("at"))))).select(*columns, F.col("part.copies").alias("copies"))
+    return single.unionByName(several)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each row as many times as it has copies, columns unchanged."""
-    own = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__hash": F.xxhash64(F.col("text").cast("string"))})
-    copies = mix(docs, **options).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("__n"), F.count("*").alias("__rows")).filter("__n > 0")
-    c = copies.select(F.col("doc_id").alias("__cid"), F.col("source").alias("__cs"), F.col("text_hash").alias("__ch"), "__n", "__rows")
-    x = own.join(c, own["__id"].eqNullSafe(c["__cid"]) & own["__source"].eqNullSafe(c["__cs"]) & (own["__hash"] == c["__ch"]))
-    each = F.round(F.col("__n") / F.col("__rows")).cast("int")  # alike rows are taken alike
-    return x.withColumn("__n", each).filter("__n > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """docs as the mix takes them: each row as many times as mix() says, columns unchanged whatever their names.
+
+    Of rows alike in doc_id, source and text, which may differ in other columns, some get a copy more
+    than others where mix() says so; their sum is that of mix(). An empty table gives an empty one.
+    """
+    own, back = shielded(docs, ("doc_id", "text", "source"))
+    key = {"the id": F.col("doc_id").cast("long"), "the source": F.col("source").cast("string"), "the hash": F.xxhash64(F.col("text").cast("string"))}
+    taken = mix(docs, **options).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("t id"), F.col("source").alias("t source"), F.col("text_hash").alias("t hash"), "copies", "rows")
+    same = F.col("the id").eqNullSafe(F.col("t id")) & F.col("the source").eqNullSafe(F.col("t source")) & (F.col("the hash") == F.col("t hash"))
+    x = own.withColumns(key).join(taken, same).drop("t id", "t source", "t hash")
+    times = F.expr("cast(copies div rows as int)")
+    even = x.filter("copies % rows = 0").withColumn("times", times).drop("the id", "the source", "the hash")
+    # The others are written with a number; their place among rows alike is that in their file's part, after the parts before.
+    odd = materialise(x.filter("copies % rows != 0").withColumn("row", F.monotonically_increasing_id()), "alike").withColumn("part", F.shiftright("row", 33))
+    names = ["the id", "the source", "the hash"]
+    counts = odd.groupBy(*names, "part").agg(F.count("*").alias("here"))
+    earlier = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(n).alias(f"o {n}") for n in names], F.col("part").alias("o part"), F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias("offset"))
+    same = F.col("part") == F.col("o part")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"o {n}"))
+    placed = odd.join(offsets, same).withColumn("place", F.col("offset") + F.row_number().over(Window.partitionBy(*names, "part").orderBy("row")) - 1)
+    odd = placed.withColumn("times", times + F.expr("cast(place < copies % rows as int)")).select(*even.columns)
+    return back(even.unionByName(odd).filter("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, map_rows, materialise
+from .common import lower_words, map_rows, materialise, shielded
 
 BITS = 64
 
@@ -44,17 +44,28 @@ class BitPlanes:
     def within(self, value: int, radius: int) -> int:
         """Marks fingerprints at `radius` or fewer differing bits from value.
 
-        Distances are counted for all at once: level k marks those with at least k differences so
-        far, and each plane carries its differences up the levels. Once all exceed the radius, stop.
+        Distances are binary counters held as planes too: two planes of differences and the lowest
+        counter plane go through a full adder, whose sum stays and whose carry moves up. `over` keeps
+        those whose counter passed the radius; once these are all, the block is abandoned.
         """
-        levels = [self.every, *[0] * (radius + 1)]
-        for j, plane in zip(self.places, self.planes, strict=True):
-            differ = plane ^ self.every if value >> j & 1 else plane
-            for k in range(radius + 1, 0, -1):
-                levels[k] |= levels[k - 1] & differ
-            if levels[-1] == self.every:
+        counter, over = [0] * max(1, radius.bit_length()), 0
+        differ = [plane ^ self.every if value >> j & 1 else plane for j, plane in zip(self.places, self.planes, strict=True)]
+        for x, y in zip(differ[::2], [*differ[1::2], 0], strict=False):
+            low, part = counter[0], x ^ y
+            counter[0], carry = part ^ low, x & y | part & low
+            for k in range(1, len(counter)):
+                counter[k], carry = counter[k] ^ carry, counter[k] & carry
+            more, same = 0, self.every  # counters above the radius, and those alike in all bits seen
+            for k in range(len(counter) - 1, -1, -1):
+                if radius >> k & 1:
+                    same &= counter[k]
+                else:
+                    more |= same & counter[k]
+                    same &= ~counter[k]
+            over |= carry | more
+            if over == self.every:
                 return 0
-        return self.every & ~levels[-1]
+        return self.every & ~over
 
 
 #: Fingerprints compared at once; larger groups are compared block by block.
@@ -197,22 +208,28 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _first_of_each(own: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of own (with __text_hash) that are first of their component."""
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__text_hash"))
-    first = found.groupBy("component_fp").agg(F.min_by(F.struct("doc_id", "__text_hash"), order).alias("k")).select("k.*").select(F.col("doc_id").alias("__id"), F.col("__text_hash").alias("__hash"))
-    kept = own.join(first, (own["doc_id"].cast("long").eqNullSafe(first["__id"])) & (own["__text_hash"] == first["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*columns)
+def _first_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that are first of their component; find gives (doc_id, text_hash, component_fp) of (doc_id, text, text_hash).
+
+    docs may have columns of any names.
+    """
+    own, back = shielded(docs, ("doc_id", "text"))
+    own = own.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    first = find(own.select("doc_id", "text", "text_hash")).groupBy("component_fp").agg(F.min_by(F.struct("doc_id", "text_hash"), order).alias("k")).select("k.*")
+    first = first.select(F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
+    kept = own.join(first, own["doc_id"].cast("long").eqNullSafe(first["first_id"]) & (own["text_hash"] == first["first_hash"]), "left_semi")
+    return back(kept.dropDuplicates(["doc_id", "text_hash"]))
 
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One document of each component, with its own columns: the least doc_id, nulls last, then the least text hash.
 
-    Rows equal in doc_id and text count as one document, of which one row stays.
+    Rows equal in doc_id and text count as one document, of which one row stays. Null and empty texts
+    are alike, so one of them stays; texts of any length are taken whole; an empty table gives an
+    empty one; columns of any names pass through.
     """
-    own = docs.withColumn("__text_hash", F.xxhash64("text"))
-    found = near_duplicates(own, shingle=shingle, radius=radius, keep=("__text_hash",))
-    return _first_of_each(own, found, docs.columns)
+    return _first_of_each(docs, lambda own: near_duplicates(own, shingle=shingle, radius=radius, keep=("text_hash",)))
 
 
 #: MinHash: bands of a few values each. Sets of similarity 0.8 agree in a band at least with probability 1 - (1 - 0.8^5)^20 = 0.9996.
@@ -303,5 +320,4 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -
 
 def drop_near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """As drop_near_duplicates(), over the components of near_copies()."""
-    own = docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
-    return _first_of_each(own, near_copies(docs, shingle=shingle, similarity=similarity).withColumn("__text_hash", F.col("fp")), docs.columns)
+    return _first_of_each(docs, lambda own: near_copies(own, shingle=shingle, similarity=similarity).withColumn("text_hash", F.col("fp")))

@@ -135,7 +135,7 @@ def decode_ogg(data: bytes) -> dict:
             done, last = own["marks"][-1]
             if last != size or done != len(own["packets"]):
                 raise Damaged("granule positions do not fit the samples")
-            out |= {"payload": body, "rate": rate, "seconds": last / rate, "times": [g / rate for _, g in own["marks"]]}
+            out |= {"payload": body, "rate": rate, "seconds": last / rate, "times": [g / rate for _, g in own["marks"]]}  # of each page
         elif magic == NOTE:
             out["note"] = body
     if out["payload"] is None:
@@ -144,17 +144,19 @@ def decode_ogg(data: bytes) -> dict:
 
 
 def describe(out: dict) -> str:
-    """Facts of the streams, then of the samples: mean, mean square and crossings of the middle value."""
+    """Facts of the streams, the time at which each page of samples ends, then of the samples: mean, mean square and crossings of the middle value."""
+    times = ",".join(f"{t:.6f}" for t in out["times"])
     x = np.frombuffer(out["payload"], np.uint8).astype(np.int64) - 128
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"streams={out['streams']};pages={out['pages']};packets={out['packets']};seconds={out['seconds']:.6f};mean={x.mean():.6f};square={(x * x).mean():.6f};crossings={crossings}"
+    return f"streams={out['streams']};pages={out['pages']};packets={out['packets']};seconds={out['seconds']:.6f};times={times};mean={x.mean():.6f};square={(x * x).mean():.6f};crossings={crossings}"
 
 
 def write_ogg(docs: DataFrame, *, rate: int = 8000, packet: int = 4000) -> DataFrame:
     """doc_id, n_bytes and media: the text's UTF-8 bytes (null: none), zero-filled to a positive multiple of 64, as Ogg.
 
     Each row stands for itself: repeated rows and null ids stay, equal texts make equal files, an
-    empty table gives no rows, other columns are ignored. Memory is that of one batch of files.
+    empty table gives no rows, other columns, whatever their names, are ignored. Rows are taken a few
+    at a time, fewer the longer they are, so memory is that of a few MB of text or one longer text.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:

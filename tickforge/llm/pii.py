@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise
+from .common import map_rows, materialise, shielded
 
 #: The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -80,10 +81,29 @@ def entity(kind: str, found: str) -> str:
 
 def nearby(text: str, start: int, end: int, reach: int) -> list[str]:
     """Lower-cased terms (letters, three at least) among `reach` on either side within the line."""
-    low, high = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-    left = _TERM.findall(text[max(low, start - 40 * reach) : start])[-reach:]
-    right = _TERM.findall(text[end : min(high if high >= 0 else len(text), end + 40 * reach)])[:reach]
-    return [t.lower() for t in left + right]
+    return Terms(text).near(start, end, reach)
+
+
+class Terms:
+    """A text's terms with their places, found once however many entities ask; whole terms, whatever their length."""
+
+    def __init__(self, text: str):
+        self.text, self.found = text, [(m.start(), m.end()) for m in _TERM.finditer(text)]
+        self.starts = [s for s, _ in self.found]
+
+    def near(self, start: int, end: int, reach: int) -> list[str]:
+        low, high = self.text.rfind("\n", 0, start) + 1, self.text.find("\n", end)
+        high = high if high >= 0 else len(self.text)
+        # A term that the span cuts counts by what stands outside, if that is a term.
+        a, b = bisect_left(self.starts, start), bisect_left(self.starts, end)
+        left = [(s, e) for s, e in self.found[max(0, a - reach - 1) : a] if s >= low]
+        if left and left[-1][1] > start:
+            left[-1] = (left[-1][0], start)
+        right = self.found[b : b + reach + 1]
+        if b and self.found[b - 1][1] > end:
+            right = [(end, self.found[b - 1][1]), *right]
+        near = [self.text[s:e] for s, e in left if e - s >= 3][-reach:] + [self.text[s:e] for s, e in right if s < high and e - s >= 3][:reach]
+        return [t.lower() for t in near]
 
 
 def term_spans(text: str, terms: set[str], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -188,19 +208,20 @@ def find_spans(docs: DataFrame, *, reach: int = 8, threshold: float = 0.9, docum
         for b in batches:
             out = {c: b[c] for c in ("doc_id", "k1", "k2")} | {"spans": [], "near": []}
             for text in b["text"]:
-                spans, near = base_spans(text), []
+                spans, near = base_spans(text), defaultdict(set)
+                terms = Terms(text) if spans else None
                 for kind, s, e in spans:
-                    near.append({"entity": entity(kind, text[s:e]), "terms": sorted(set(nearby(text, s, e, reach)))})
+                    near[entity(kind, text[s:e])].update(terms.near(s, e, reach))
                 out["spans"].append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
-                out["near"].append(near)
+                out["near"].append([{"entity": k, "terms": sorted(t)} for k, t in near.items()])
             yield out
 
     marked = materialise(map_rows(own, scan, "doc_id long, k1 long, k2 long, spans array<struct<kind:string,start:int,end:int>>, near array<struct<entity:string,terms:array<string>>>"), "marked")
     holds = marked.filter(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.entity", "x.terms")
-    pairs = holds.select("k1", "k2", "entity", F.explode("terms").alias("term"))
-    together = pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    # A row names an entity once, with every term near any of its places, so rows are counted on all sides.
+    together = holds.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     likely = materialise(together.filter(F.col("n_both") >= documents), "likely")
-    with_entity = holds.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    with_entity = holds.groupBy("entity").agg(F.count("*").alias("n_entity"))
     with_term = document_frequencies(docs, likely.select("term").distinct()).withColumnRenamed("n", "n_term")
     n_docs = marked.count()
     given = F.log2(F.lit(float(n_docs)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
@@ -231,7 +252,8 @@ def span_list(spans: Column) -> Column:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with every span of find_spans() generalised to its kind in angle brackets; overlapping spans become one.
 
-    All rows and columns stay; texts without spans are as they were.
+    All rows and columns stay, whatever their names; texts without spans, null and empty ones are as
+    they were; texts of any length are taken whole; an empty table gives an empty one.
     """
 
     @F.pandas_udf("string")
@@ -246,9 +268,10 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
             out.append("".join([*parts, t[at:]]) if t is not None else None)
         return pd.Series(out)
 
-    found = find_spans(docs, **options).filter(F.size("spans") > 0).dropDuplicates(["k1", "k2"]).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
+    found = find_spans(docs, **options).filter(F.size("spans") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", "spans")
+    own, back = shielded(docs, ("doc_id", "text"))
     hint = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    keyed = docs.filter(hint).withColumns({"__k1": F.xxhash64(doc_id, text), "__k2": F.xxhash64(text, F.lit(1), doc_id)})
-    changed = keyed.join(found, ["__k1", "__k2"], "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(generalise("text", "__spans")))
-    return docs.filter(~hint).unionByName(changed.select(*docs.columns))
+    keyed = own.filter(hint).withColumns({"k1": F.xxhash64(doc_id, text), "k2": F.xxhash64(text, F.lit(1), doc_id)})
+    changed = keyed.join(found, ["k1", "k2"], "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(generalise("text", "spans")))
+    return back(own.filter(~hint).unionByName(changed.select(*own.columns)))

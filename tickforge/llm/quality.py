@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, space_parts, word_array
+from .common import SPACES, let, shielded, space_parts, word_array
 
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -114,7 +114,6 @@ def judge(docs: DataFrame, labels: DataFrame, *, buckets: int = 10_000, most: in
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that judge() keeps, columns unchanged."""
-    own = docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")})
-    kept = judge(own, labels, **options).filter(F.col("quality.kept")).drop("quality")
-    return kept.withColumnsRenamed({f"__{i}": c for i, c in enumerate(docs.columns)}).select(*docs.columns)
+    """The documents that judge() keeps, columns unchanged whatever their names; an empty table gives an empty one."""
+    own, back = shielded(docs, ("doc_id", "text"))
+    return back(judge(own, labels, **options).filter(F.col("quality.kept")).drop("quality"))
