@@ -162,7 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, ope
 
     A document is its ids and then end_id. Only longer ones are cut: into pieces of `capacity`, the
     first taking the rest. Each task packs its own partition online, in one pass, with at most
-    `open_bins` open sequences. Sequences that a task leaves with a 16th or more of their space free
+    `open_bins` open sequences. Sequences that a task leaves with a 64th or more of their space free
     are opened again: their pieces are gathered, some millions of tokens to a task, and packed the
     same way once more, so many small partitions cost little. The first pass is written to the shared
     folder, so a task that is run again does not pack otherwise.
@@ -188,7 +188,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, ope
                     start, stop, piece = stop, stop + capacity, piece + 1
 
     def once(batches: Iterator[dict]) -> Iterator[dict]:
-        return _packed(cut(batches), capacity, open_bins, TaskContext.get().partitionId() << 40, max(1, capacity // 16))
+        return _packed(cut(batches), capacity, open_bins, TaskContext.get().partitionId() << 40, max(1, capacity // 64))
 
     def again(batches: Iterator[dict]) -> Iterator[dict]:
         pieces = (x for b in batches for x in zip(*(b[c] for c in _NAMES[:5]), strict=True))
