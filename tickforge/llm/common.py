@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -46,7 +47,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def shielded(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with all columns but `keep` under numbers for names, which clash with nothing, and what restores columns and order."""
     to = {c: f"column {i}" for i, c in enumerate(docs.columns) if c not in keep}
-    back = lambda df: df.withColumnsRenamed({n: c for c, n in to.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+    back = lambda df: df.select(*[F.col(f"`{to.get(c, c)}`").alias(c) for c in docs.columns])
     return docs.withColumnsRenamed(to), back
 
 
@@ -110,28 +111,40 @@ def to_arrow(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, for choosing numbers of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def reducers(df: DataFrame, rows: int, per: int = 4 << 20) -> int:
+    """Parts for an exchange of so many values: one for each `per` of them, so each stays the same size as data grow, without a bound."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per))
 
 
-def reducers(df: DataFrame, per: int = 12 << 20) -> int:
-    """Partitions for an exchange: one for each `per` bytes of input, so each stays the same size as data grow."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(100_000, -(-table_bytes(df) // per)))
+def cuts(hashes: np.ndarray, n: int, bits: int = 64) -> np.ndarray:
+    """Where sorted hashes of so many bits pass from one of n equal ranges to the next."""
+    return np.searchsorted(hashes, np.array([(i << bits) // n for i in range(1, n)], np.uint64)) if n > 1 else np.empty(0, np.int64)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays as one zstd frame; bytes of equal place stand together, which suits sorted values."""
+def map_parts(df: DataFrame, n: int, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """fn over all rows of each value 0 .. n - 1 of the column part, each a task of its own."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [f for f in frames if len(f)]
+        if own:
+            yield fn(pd.concat(own, ignore_index=True))
+
+    return df.repartitionById(n, F.col("part")).mapInPandas(run, schema)
+
+
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Integer arrays as one frame; bytes of equal place stand together, which suits sorted values. Frames that are not tiny are compressed."""
     out = [np.array([len(arrays)], "<i8").tobytes()]
     for a in arrays:
         out.append(f"{a.dtype.str:<8}{len(a):<16}".encode())
         out.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    raw = b"".join(out)
+    return raw if len(raw) < 256 else zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31)
+    """pack() undone; a compressed frame begins with its own mark, a tiny one with a count that is not that."""
+    raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31) if data[:4] == zstandard.FRAME_HEADER else data
     n, at, out = int(np.frombuffer(raw[:8], "<i8")[0]), 8, []
     for _ in range(n):
         dtype, size = np.dtype(raw[at : at + 8].decode().strip()), int(raw[at + 8 : at + 24])
