@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delta, lower_words, map_rows, materialise, pack, reducers, undelta, unpack
+from .common import cuts, delta, lower_words, map_parts, map_rows, materialise, pack, reducers, undelta, unpack
 
 #: Hashes of the two marks; neither is a word, since words are not empty and hold no line feed.
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b"\n")
@@ -43,10 +43,6 @@ class Bigrams:
         return x ^ (x >> np.uint64(32))
 
 
-def _cuts(hashes: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(hashes, np.array([(i << 64) // n for i in range(1, n)], np.uint64)) if n > 1 else np.empty(0, np.int64)
-
-
 def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if not len(a) or a.max() < 256 else np.uint16 if a.max() < 65536 else np.uint32 if a.max() < 1 << 32 else np.uint64)
 
@@ -70,18 +66,31 @@ class BackoffAutomaton:
         unknown = self.discount * self.distinct / n if self.distinct else 1.0
         return np.where(counts > 0, known, unknown)
 
-    def walk(self, b: Bigrams, counts: np.ndarray, histories: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        """Log10 probability of each token, read left to right.
+    def build(self, b: Bigrams, counts: np.ndarray, histories: np.ndarray, pairs: np.ndarray) -> None:
+        """The part of the automaton that a chunk's tokens can reach; state i is the history of word i.
 
-        The state before a token is its history, so all steps are looked up at once: the arc of the
-        token's bigram where it was seen, else the failure arc and then the root's arc.
+        arcs are keyed by state * size + word; an arc leads to the state of its word.
         """
-        p = self.root(counts)
+        p, self.size = self.root(counts), len(b.vocabulary)
         share = self.top * histories / (histories + self.slack)
-        v, w = b.codes // len(b.vocabulary), b.codes % len(b.vocabulary)
-        arc = share[v] * pairs / np.maximum(histories[v], 1) + (1 - share[v]) * p[w]
-        fail = np.log10(1 - share)[v] + np.log10(p)[w]
-        return np.where(pairs > 0, np.log10(arc), fail)[b.which]
+        seen = pairs > 0
+        codes, pairs = b.codes[seen], pairs[seen]
+        v, w = codes // self.size, codes % self.size
+        arc = share[v] * pairs / histories[v] + (1 - share[v]) * p[w]
+        self.arcs = dict(zip(codes.tolist(), np.log10(arc).tolist(), strict=True))
+        self.from_root, self.failure = np.log10(p).tolist(), np.log10(1 - share).tolist()
+
+    def traverse(self, state: int, tokens: list[int]) -> float:
+        """Log10 probability of a text: read from left to right, the state carried from token to token."""
+        arcs, from_root, failure, size, total = self.arcs, self.from_root, self.failure, self.size, 0.0
+        for word in tokens:
+            arc = arcs.get(state * size + word)
+            if arc is None:  # the failure arc, then the root's own arc
+                total += failure[state]
+                arc = from_root[word]
+            total += arc
+            state = word
+        return total
 
 
 def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float = 0.5, slack: float = 1.0) -> DataFrame:
@@ -90,10 +99,14 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
     docs has doc_id and text; held_out is a boolean Column. Tokens are words, A-Z lower-cased, then
     one end. Documents form chunks, written once to the shared folder. Each chunk asks for the counts
     of its own distinct words and bigrams; tasks that each own a range of hashes add up the counts of
-    all training documents and answer every chunk, which then builds its part of the automaton. No
-    count is dropped and nothing that grows with the corpus is broadcast or collected; a frequent
-    bigram is one number to each chunk. Null text has the end token alone; null and repeated ids
-    stay; an empty table gives none; with no training documents every token is unknown.
+    all training documents and answer every chunk, which then builds its part of the automaton and
+    runs each of its texts through it. No count is dropped and nothing that grows with the corpus is
+    broadcast or collected; a frequent bigram is one number to each chunk. The number of ranges
+    follows the number of tokens without a bound, so that each stays the same size, and a chunk sends
+    at most one message a range and none without a value. Words and bigrams are known by 64-bit
+    hashes. Null text has the end token alone; null and repeated ids stay; an empty table gives none;
+    with no training documents every token is unknown. Texts are taken whole, a very long one as a
+    chunk of its own; other columns, whatever their names, are ignored.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score.
     """
@@ -102,7 +115,7 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
     def chunks(batches: Iterator[dict]) -> Iterator[dict]:
         part, made = TaskContext.get().partitionId(), 0
         places: dict[bytes, int] = {}
-        tokens, lengths, ids, held = [], [], [], []
+        tokens, lengths, ids, held, size = [], [], [], [], 0
 
         def flush() -> dict:
             nonlocal made
@@ -115,9 +128,8 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
             null = np.array([x is None for x in ids], np.uint8)
             body = pack(delta(vocabulary), flat, np.array(lengths, np.int64), np.array([x or 0 for x in ids], np.int64), null, np.array(held, np.uint8))
             made += 1
-            return {"chunk": [f"{part}-{made}"], "train": [sum(k for k, h in zip(lengths, held, strict=True) if not h)], "payload": [body]}
+            return {"chunk": [f"{part}-{made}"], "tokens": [size], "train": [sum(k for k, h in zip(lengths, held, strict=True) if not h)], "payload": [body]}
 
-        size = 0
         for b in batches:
             for doc_id, text, out in zip(b["doc_id"], b["text"], b["held"], strict=True):
                 found = lower_words(text)
@@ -140,8 +152,9 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
         vocabulary, tokens, lengths, ids, null, held = unpack(payload)
         return Bigrams(undelta(vocabulary), tokens, lengths), lengths, ids, null, held
 
-    told = materialise(map_rows(own, chunks, "chunk string, train long, payload binary"), "chunks")
-    n = reducers(told, 5 << 20)
+    told = materialise(map_rows(own, chunks, "chunk string, tokens long, train long, payload binary"), "chunks")
+    n_tokens, n_train = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
+    n = reducers(told, n_tokens)
 
     def ask(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -156,7 +169,7 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
                 hashes = own.hashes()
                 order = np.argsort(hashes)
                 hashes, pairs = hashes[order], pairs[order]
-                sides = [np.split(x, _cuts(h, n)) for h in (own.vocabulary, hashes) for x in (h, words if h is own.vocabulary else pairs)]
+                sides = [np.split(x, cuts(h, n)) for h in (own.vocabulary, hashes) for x in (h, words if h is own.vocabulary else pairs)]
                 out = [(i, pack(delta(a), _narrow(c), delta(d), _narrow(e))) for i, (a, c, d, e) in enumerate(zip(*sides, strict=True)) if len(a) or len(d)]
                 yield {"chunk": [chunk] * len(out), "part": [i for i, _ in out], "payload": [x for _, x in out]}
 
@@ -175,8 +188,8 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
         return pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["part"], "payload": [pack(_narrow(a), _narrow(b)) for a, b in zip(words, pairs, strict=True)], "distinct": [distinct] + [0] * (len(pdf) - 1)})
 
     asked = map_rows(told.select("chunk", "payload"), ask, "chunk string, part int, payload binary")
-    answers = materialise(asked.groupBy("part").applyInPandas(answer, "chunk string, part int, payload binary, distinct long"), "answers")
-    n_train, n_distinct = (int(df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0]) for df, c in ((told, "train"), (answers, "distinct")))
+    answers = materialise(map_parts(asked, n, answer, "chunk string, part int, payload binary, distinct long"), "answers")
+    n_distinct = int(answers.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0])
     model = BackoffAutomaton(n_train, n_distinct, discount, top, slack)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,10 +202,13 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
         pairs[order] = np.concatenate([x[1].astype(np.int64) for x in replies])
         counts, histories = words.copy(), words.copy()
         counts[at], histories[np.searchsorted(own.vocabulary, np.uint64(END))] = 0, 0
-        steps = model.walk(own, counts, histories, pairs)
+        model.build(own, counts, histories, pairs)
+        tokens, score = own.tokens.tolist(), [0.0] * len(lengths)
+        for i, (begin, many) in enumerate(zip(own.starts.tolist(), lengths.tolist(), strict=True)):
+            score[i] = model.traverse(at, tokens[begin : begin + many])
         base = np.log10((counts + 1) / (n_train + n_distinct + 1))[own.tokens]
         add = lambda x: np.add.reduceat(x, own.starts)
-        return pd.DataFrame({"doc_id": pd.array(np.where(null == 1, None, ids.astype(object)), dtype="Int64"), "held_out": held.astype(bool), "n_tokens": lengths, "n_known": add((counts > 0)[own.tokens].astype(np.int64)), "train_tokens": n_train, "base_score": add(base), "score": add(steps)})
+        return pd.DataFrame({"doc_id": pd.array(np.where(null == 1, None, ids.astype(object)), dtype="Int64"), "held_out": held.astype(bool), "n_tokens": lengths, "n_known": add((counts > 0)[own.tokens].astype(np.int64)), "train_tokens": n_train, "base_score": add(base), "score": score})
 
     rows = told.select("chunk", F.lit(-1).alias("part"), "payload").unionByName(answers.select("chunk", "part", "payload"))
-    return rows.groupBy("chunk").applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.repartition(n, "chunk").groupBy("chunk").applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
