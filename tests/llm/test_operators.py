@@ -110,6 +110,25 @@ def test_mix_odd_rows(spark):
     assert max(many.values()) <= 4
 
 
+def test_mix_of_alike_rows(spark):
+    """The mix of a table in which many rows are alike takes the same words as mix() says, from any split; columns may have any names."""
+    rows = [(i, "s1" if i % 2 else "s2", " ".join(["w"] * (1 + i % 9)), i) for i in range(60)] + [(900, "s1", "one two three", i) for i in range(7)] + [(None, "s2", "four five", 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, __n int").withColumnsRenamed({}).withColumns({"copies": F.lit(1), "rows": F.lit("x"), "times": F.lit(2)})
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["source"]] += r["copies"] * r["size"]
+    for n in (1, 5):
+        out = mixing.mixed(docs.repartition(n))
+        assert out.columns == docs.columns
+        got = Counter()
+        for r in out.collect():
+            got[r["source"]] += len(ws(r["text"]))
+        assert got == want
+    assert mixing.mixed(docs.limit(0)).count() == 0
+    again = Counter(own(mixing.mix(docs.repartition(7))))
+    assert again == Counter(own(mixing.mix(docs)))
+
+
 def test_mix_splits_large_groups(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP", 8)
     docs = spark.range(1000).selectExpr("id doc_id", "'one two three' text", "if(id % 3 = 0, 'a', 'b') source")
@@ -297,6 +316,16 @@ def test_token_counts_equal_the_tokenizer(spark, sf):
     assert got == {d[0]: len(t.encode(d[1] or "", add_special_tokens=False).ids) for d in table(sf, "documents")}
 
 
+def test_control_strings_are_text():
+    """Names of control and byte pieces in a text are characters, and pieces' shares are probabilities."""
+    path = queries.vocabulary("piece_bpe_32k.model")
+    pieces, _ = viterbi.piece_scores(path)
+    counter = viterbi.CountingViterbi(pieces)
+    assert [counter.count(x)[0] for x in ("x</s>", "x<0x41>")] == [4, 7]
+    text = [s for p, s in pieces if p not in ("<s>", "</s>", "<unk>") and not re.fullmatch("<0x[0-9A-F]{2}>", p)]
+    assert sum(map(math.exp, text)) == pytest.approx(1)
+
+
 def test_viterbi_ties():
     """Against all segmentations of short strings, with the library's rule for ties."""
     from tokenizers import Tokenizer, models
@@ -469,6 +498,36 @@ def test_near_copies(spark):
     assert neardup.drop_near_copies(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
+CLASHES = ["__text_hash", "text_hash", "__hash", "__id", "fp", "root", "__k1", "k1", "k2", "spans", "__spans", "component_fp", "first_id", "column 0", "quality", "__trusted", "words", "rows", "copies", "__n", "times"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Every stage that returns documents keeps columns of any names, long texts and empty tables."""
+    long = " ".join(f"word{i % 5000}of{i // 7}" for i in range(60_000)) + " mail a@b.cd"
+    docs = spark.createDataFrame([(1, long, "s1"), (2, long, "s1"), (3, "call me at jo@ex.org", "s2"), (None, None, None)], "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in CLASHES})
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for stage, n in ((lambda d: quality.keep_good(d, labels, threshold=-99.0), 2), (neardup.drop_near_duplicates, 3), (neardup.drop_near_copies, 3), (pii.sanitise, 4)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert len(rows) == n and all(r[c] == c for r in rows for c in CLASHES)
+        assert stage(docs.limit(0)).count() == 0
+    assert mixing.mixed(docs).columns == docs.columns and all(r[c] == c for r in mixing.mixed(docs).collect() for c in CLASHES)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 7, 20])
+def test_bit_planes_of_any_radius(radius):
+    import random
+
+    rng = random.Random(radius)
+    values = [0] + [sum(1 << j for j in rng.sample(range(64), k)) for k in range(1, 40)]
+    places = [j for j in range(64) if j % 3]
+    planes = neardup.BitPlanes(values, places)
+    mask = sum(1 << j for j in places)
+    for v in values:
+        assert planes.within(v, radius) == sum(1 << i for i, x in enumerate(values) if ((x ^ v) & mask).bit_count() <= radius)
+
+
 def test_bit_planes():
     import random
 
@@ -697,6 +756,12 @@ def test_disclosing_terms_of_copies(spark):
     assert len(got[0]) == 2 and got[500] == []
 
 
+def test_terms_near_a_value_are_whole():
+    text = "a" * 400 + " jo@ex.org " + "b" * 900 + " far\nnext"
+    assert pii.nearby(text, 401, 410, 8) == ["a" * 400, "b" * 900, "far"]
+    assert pii.nearby("éééjo@ex.orgüüü x", 3, 12, 8) == ["ééé", "üüü"]
+
+
 def test_document_frequencies_of_all_documents(spark):
     rows = [(i, f"alpha{'x' * (i % 3)} beta été été {'γάμμα' if i % 5 == 0 else ''}") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -743,6 +808,19 @@ def test_repeats_odd_rows(spark, monkeypatch, width):
     assert substrings.remove_repeats(empty_docs(spark)).count() == 0
 
 
+def test_repeats_of_equal_hashes():
+    """A window whose hash another window shares is not repeated unless its words are."""
+    import numpy as np
+    import pandas as pd
+
+    h, z = np.array([5, 5, 9, 9, 11], np.uint64), np.array([1, 2, 7, 7, 1], np.uint64)
+    asked = pd.DataFrame({"chunk": ["a", "b"], "part": [0, 0], "payload": [common.pack(common.delta(h), z), common.pack(common.delta(h[-1:]), z[-1:])]})
+    got = substrings._answered("h", "z")(asked)
+    assert [np.unpackbits(np.frombuffer(x, np.uint8), count=n).tolist() for x, n in zip(got["payload"], (5, 1), strict=True)] == [[0, 0, 1, 1, 1], [1]]
+    words = [b"w%d" % i for i in range(60)]
+    assert substrings._checks(words, np.array([0, 7]), 35).tolist() == [xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 35])) for i in (0, 7)]
+
+
 # ---- 10: chat
 
 
