@@ -109,6 +109,41 @@ def sweep(points: DataFrame, intervals: DataFrame, *, by: list[str], at: str, st
     return out.filter(F.col("__row").isNotNull()).select("__row.*", *names)
 
 
+def running_sums(points: DataFrame, *, by: list[str], at: str, sums: dict[str, Column], width: int | None = None) -> DataFrame:
+    """points with, for each name in `sums`, the sum of that expression over the series' points up to this time.
+
+    With `width`, a series is cut into stretches of that many key units, each a task's own; every
+    stretch gets the total of those before it.
+    """
+    names = list(sums)
+    if width is None:
+        w = Window.partitionBy(*by).orderBy(at)
+        return points.withColumns({n: F.sum(sums[n]).over(w) for n in names})
+    x = points.withColumn("__b", F.floor(F.col(at) / width).cast("long"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = x.groupBy(*by, "__b").agg(*[F.sum(sums[n]).alias(f"__{n}") for n in names])
+    x = x.join(totals.select(*by, "__b", *[F.sum(f"__{n}").over(before).alias(f"__{n}") for n in names]), [*by, "__b"])
+    w = Window.partitionBy(*by, "__b").orderBy(at)
+    whole = {n: F.sum(sums[n]).over(w) + F.coalesce(F.col(f"__{n}"), F.lit(0)) for n in names}
+    return x.withColumns(whole).drop("__b", *[f"__{n}" for n in names])
+
+
+def interval_sums(points: DataFrame, intervals: DataFrame, *, by: list[str], at: str, start: str, end: str, sums: dict[str, Column], closed: str = "both", width: int | None = None) -> DataFrame:
+    """intervals with, for each name in `sums`, the sum of that expression over the points that they hold; null where none.
+
+    A sum over an interval is the difference of two running sums, so nothing is joined but two reads
+    of the points' running sums, whatever the number of points in an interval.
+    """
+    names = list(sums)
+    marks = running_sums(points, by=by, at=at, sums={**sums, "__points": F.lit(1)}, width=width).select(*by, F.col(at).alias("__at"), *names, "__points").dropDuplicates([*by, "__at"])
+    read = {**{n: f"__to_{n}" for n in names}, "__points": "__to_points"}
+    to = asof_join(intervals, marks.withColumnsRenamed(read), by=by, left_on=end, right_on="__at", values=list(read.values()), strict=closed == "left", width=width)
+    both = asof_join(to, marks, by=by, left_on=start, right_on="__at", values=[*names, "__points"], strict=True, width=width)
+    held = F.coalesce("__to_points", F.lit(0)) > F.coalesce("__points", F.lit(0))
+    out = {n: F.when(held, F.col(f"__to_{n}") - F.coalesce(F.col(n), F.lit(0))) for n in names}
+    return both.withColumns(out).drop("__points", "__to_points", *[f"__to_{n}" for n in names])
+
+
 def densify(counts: DataFrame, *, by: list[str], period: str, step: str, fill: dict[str, object]) -> DataFrame:
     """counts with a row for every period between a series' first and last one; new rows take `fill`."""
     ends = counts.groupBy(*by).agg(F.min(period).alias("__a"), F.max(period).alias("__z"))

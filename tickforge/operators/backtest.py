@@ -27,19 +27,20 @@ def discretise(m: Column, step: float) -> Column:
     return clip(F.floor(m / step) * step, -1.0, 1.0)
 
 
-def active_bets(points: DataFrame, bets: DataFrame, *, by: list[str], at: str, start: str, end: str, size: str) -> DataFrame:
-    """points with the number and mean size of bets active then, start <= time < end."""
-    x = sweep(points, bets, by=by, at=at, start=start, end=end, sums={"__n": F.lit(1), "__s": F.col(size)}, closed="left")
+def active_bets(points: DataFrame, bets: DataFrame, *, by: list[str], at: str, start: str, end: str, size: str, width: int | None = None) -> DataFrame:
+    """points with the number and mean size of bets active then, start <= time < end. width cuts series into stretches, see sweep()."""
+    x = sweep(points, bets, by=by, at=at, start=start, end=end, sums={"__n": F.lit(1), "__s": F.col(size)}, closed="left", width=width)
     n = F.round("__n").cast("long")
     return x.withColumns({"n_active": n, "mean_size": F.when(n > 0, F.col("__s") / n).otherwise(0.0)}).drop("__n", "__s")
 
 
-def budget_size(points: DataFrame, bets: DataFrame, *, by: list[str], at: str, start: str, end: str, side: str) -> DataFrame:
-    """points with counts of active long and short bets, and size long / max(long) - short / max(short)."""
-    x = sweep(points, bets, by=by, at=at, start=start, end=end, sums={"n_long": (F.col(side) > 0).cast("int"), "n_short": (F.col(side) < 0).cast("int")}, closed="left")
+def budget_size(points: DataFrame, bets: DataFrame, *, by: list[str], at: str, start: str, end: str, side: str, width: int | None = None) -> DataFrame:
+    """points with counts of active long and short bets, and size long / max(long) - short / max(short). width cuts series into stretches, see sweep()."""
+    x = sweep(points, bets, by=by, at=at, start=start, end=end, sums={"n_long": (F.col(side) > 0).cast("int"), "n_short": (F.col(side) < 0).cast("int")}, closed="left", width=width)
     x = x.withColumns({c: F.round(c).cast("long") for c in ("n_long", "n_short")})
-    part = lambda c: F.coalesce(ratio(F.col(c), F.max(c).over(full(by))), F.lit(0.0))
-    return x.withColumn("size", part("n_long") - part("n_short"))
+    most = x.groupBy(*by).agg(F.max("n_long").alias("__l"), F.max("n_short").alias("__s"))
+    part = lambda c, m: F.coalesce(ratio(F.col(c), F.col(m)), F.lit(0.0))
+    return x.join(most, by).withColumn("size", part("n_long", "__l") - part("n_short", "__s")).drop("__l", "__s")
 
 
 def power_size(w: float, x: Column) -> Column:

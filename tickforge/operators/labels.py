@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import full, ordered, running, trailing, true
-from .align import DAY, asof_join, interval_join, sweep
+from .align import DAY, asof_join, interval_join, running_sums, sweep
 from .fold import Cusum, Ewm, ordered_fold
 
 
@@ -57,10 +57,10 @@ def daily_volatility(close: DataFrame, price: str, *, by: list[str], at: str, ti
     return ordered_fold(x, by, [at], lambda: Ewm("ret", span, name="__m", deviation="vol"), f"{_ddl(x)}, __m double, vol double").filter("vol is not null").drop("__m")
 
 
-def vertical_barriers(events: DataFrame, bars: DataFrame, *, by: list[str], at: str, bar_at: str, after: int = DAY) -> DataFrame:
-    """events with t1, the first bar at or after at + after; events that no bar ends go."""
+def vertical_barriers(events: DataFrame, bars: DataFrame, *, by: list[str], at: str, bar_at: str, after: int = DAY, width: int | None = None) -> DataFrame:
+    """events with t1, the first bar at or after at + after; events that no bar ends go. width cuts series into stretches, see asof_join()."""
     marks = bars.select(*by, F.col(bar_at).alias("t1")).distinct()
-    return asof_join(events, marks, by=by, left_on=at, right_on="t1", values=["t1"], direction="forward", offset=after).filter("t1 is not null")
+    return asof_join(events, marks, by=by, left_on=at, right_on="t1", values=["t1"], direction="forward", offset=after, width=width).filter("t1 is not null")
 
 
 def barrier_events(bars: DataFrame, events: DataFrame, *, by: list[str], at: str, price: str, bar_at: str = "at", profit: float, loss: float, least_target: float = 0.0, width: int = DAY) -> DataFrame:
@@ -91,14 +91,14 @@ def barrier_events(bars: DataFrame, events: DataFrame, *, by: list[str], at: str
     return out if meta else out.drop("side")
 
 
-def label_events(touched: DataFrame, bars: DataFrame, *, by: list[str], at: str, price: str, bar_at: str = "at") -> DataFrame:
+def label_events(touched: DataFrame, bars: DataFrame, *, by: list[str], at: str, price: str, bar_at: str = "at", width: int | None = None) -> DataFrame:
     """touched with ret (times side if it has one) and bin: 1 for pt, -1 for sl, 0 for t1; with side, 0 where ret <= 0.
 
-    Prices are those of the first bar at or after a time.
+    Prices are those of the first bar at or after a time. width cuts series into stretches, see asof_join().
     """
     marks = bars.select(*by, F.col(bar_at).alias("__k"), F.col(price).alias("__p"))
-    x = asof_join(touched, marks, by=by, left_on="t_end", right_on="__k", values=["__p"], direction="forward").withColumnRenamed("__p", "__p1")
-    x = asof_join(x, marks, by=by, left_on=at, right_on="__k", values=["__p"], direction="forward").withColumnRenamed("__p", "__p0")
+    x = asof_join(touched, marks, by=by, left_on="t_end", right_on="__k", values=["__p"], direction="forward", width=width).withColumnRenamed("__p", "__p1")
+    x = asof_join(x, marks, by=by, left_on=at, right_on="__k", values=["__p"], direction="forward", width=width).withColumnRenamed("__p", "__p0")
     ret = F.col("__p1") / F.col("__p0") - 1
     bin_ = F.when(F.col("barrier") == "pt", 1).when(F.col("barrier") == "sl", -1).when(F.col("barrier") == "t1", 0)
     if "side" in touched.columns:
@@ -163,24 +163,29 @@ def purged_split(events: DataFrame, cut, *, at: str, end: str) -> DataFrame:
 # ---- overlap of labels
 
 
-def concurrency(bars: DataFrame, events: DataFrame, *, by: list[str], at: str = "at", start: str = "t0", end: str = "t1") -> DataFrame:
-    """bars with n_events, the number of closed intervals [start, end] that hold each; a null end is the last bar."""
+def concurrency(bars: DataFrame, events: DataFrame, *, by: list[str], at: str = "at", start: str = "t0", end: str = "t1", width: int | None = None) -> DataFrame:
+    """bars with n_events, the number of closed intervals [start, end] that hold each; a null end is the last bar.
+
+    width cuts series into stretches, see sweep().
+    """
     last = bars.groupBy(*by).agg(F.max(at).alias("__last"))
     e = events.join(last, by).withColumn(end, F.coalesce(end, "__last"))
-    out = sweep(bars, e, by=by, at=at, start=start, end=end, sums={"n_events": F.lit(1)})
+    out = sweep(bars, e, by=by, at=at, start=start, end=end, sums={"n_events": F.lit(1)}, width=width)
     return out.withColumn("n_events", F.round("n_events").cast("long"))
 
 
-def uniqueness(bars: DataFrame, events: DataFrame, *, by: list[str], at: str = "at", start: str = "t0", end: str = "t1") -> DataFrame:
-    """events with uniqueness: the mean over their bars of 1 / n_events, from running sums at both ends (no join of bars and events)."""
-    c = concurrency(bars, events, by=by, at=at, start=start, end=end)
-    w = running(by, [at])
-    c = c.withColumns({"__s": F.sum(F.when(F.col("n_events") > 0, 1.0 / F.col("n_events")).otherwise(0.0)).over(w), "__i": F.row_number().over(w)})
+def uniqueness(bars: DataFrame, events: DataFrame, *, by: list[str], at: str = "at", start: str = "t0", end: str = "t1", width: int | None = None) -> DataFrame:
+    """events with uniqueness: the mean over their bars of 1 / n_events, from running sums at both ends (no join of bars and events).
+
+    width cuts series into stretches, see sweep().
+    """
+    c = concurrency(bars, events, by=by, at=at, start=start, end=end, width=width)
+    share = F.when(F.col("n_events") > 0, 1.0 / F.col("n_events")).otherwise(0.0)
+    marks = running_sums(c, by=by, at=at, sums={"__s": share, "__i": F.lit(1)}, width=width).select(*by, F.col(at).alias("__k"), "__s", "__i").dropDuplicates([*by, "__k"])
     last = bars.groupBy(*by).agg(F.max(at).alias("__last"))
     e = events.join(last, by).withColumn("__end", F.coalesce(end, "__last"))
-    marks = c.select(*by, F.col(at).alias("__k"), "__s", "__i")
-    e = asof_join(e, marks, by=by, left_on="__end", right_on="__k", values=["__s", "__i"]).withColumnsRenamed({"__s": "__s1", "__i": "__i1"})
-    e = asof_join(e, marks, by=by, left_on=start, right_on="__k", values=["__s", "__i"], strict=True)
+    e = asof_join(e, marks, by=by, left_on="__end", right_on="__k", values=["__s", "__i"], width=width).withColumnsRenamed({"__s": "__s1", "__i": "__i1"})
+    e = asof_join(e, marks, by=by, left_on=start, right_on="__k", values=["__s", "__i"], strict=True, width=width)
     total = F.col("__s1") - F.coalesce("__s", F.lit(0.0))
     bars_in = F.col("__i1") - F.coalesce("__i", F.lit(0))
     return e.withColumn("uniqueness", F.when(bars_in > 0, total / bars_in)).drop("__s1", "__i1", "__s", "__i", "__end", "__last")

@@ -71,13 +71,14 @@ def ou_fit(spark, sf):
 
 @query()
 def otr_grid(spark, sf):
-    g = simulation.rule_grid(spark, [0.5, 1.0, 2.0, 4.0], [0.5, 1.0, 2.0, 4.0], forecast=0.0, sigma=1.0, half_life=5, paths=2000)
+    barriers = [0.5 + k * 9.5 / 9 for k in range(10)]
+    g = simulation.rule_grid(spark, barriers, barriers, forecast=0.0, sigma=1.0, half_life=5)
     return rounded(g, "mean", "std", "sharpe")
 
 
 @query()
 def otr_best(spark, sf):
-    g = simulation.rule_grid(spark, [0.5, 1.0, 2.0], [1.0, 4.0], forecast=1.0, sigma=1.0, half_life=5, paths=1000)
+    g = simulation.rule_grid(spark, [0.5, 1.0, 2.0], [1.0, 4.0], forecast=1.0, sigma=1.0, half_life=5)
     return rounded(simulation.best_rule(g), "mean", "std", "sharpe")
 
 
@@ -85,4 +86,4 @@ def otr_best(spark, sf):
 def ef3m(spark, sf):
     x = synthetic.mixture(spark, 20_000, (-2.0, 1.0), (2.0, 1.0), 0.1)
     m = list(x.agg(*simulation.raw_moments("ret")).first())
-    return rounded(simulation.ef3m(spark, m, runs=2, epsilon=0.02, rounds=200), "mu1", "mu2", "sigma1", "sigma2", "p1", "error", digits=4)
+    return rounded(simulation.ef3m(spark, m, epsilon=0.02, rounds=200), "mu1", "mu2", "sigma1", "sigma2", "p1", "error", digits=4)

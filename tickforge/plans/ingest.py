@@ -68,9 +68,9 @@ def quote_changes(spark, sf):
     return ticks.quote_changes(_book(spark, sf), by=["symbol"], order=["ts", *_BOOK], columns=("ask_sz_00", "ask_ct_00")).select(*_BOOK)
 
 
-@query(f"WITH {_GOOD} SELECT symbol, count(*) AS n, sum(CASE WHEN extract(hour FROM (ts_ny))*60+extract(minute FROM (ts_ny))>=570 AND extract(hour FROM (ts_ny))*60+extract(minute FROM (ts_ny))<960 THEN 1 ELSE 0 END)::BIGINT AS regular FROM (SELECT symbol, ts + to_seconds(l_partkey*37%86400) - to_hours(5) AS ts_ny FROM ev WHERE extract(month FROM ts) IN (1,2)) GROUP BY 1")
+@query(f"WITH {_GOOD} SELECT symbol, count(*) AS n, sum(CASE WHEN extract(hour FROM ts_ny)*60+extract(minute FROM ts_ny)>=570 AND extract(hour FROM ts_ny)*60+extract(minute FROM ts_ny)<960 THEN 1 ELSE 0 END)::BIGINT AS regular FROM (SELECT symbol, timezone('America/New_York', timezone('UTC', ts + to_seconds(l_partkey*37%86400))) AS ts_ny FROM ev) GROUP BY 1")
 def regular_hours(spark, sf):
-    x = _book(spark, sf).filter(F.month("ts").isin(1, 2)).withColumn("t", F.timestamp_micros(C.micros(F.col("ts")) + (F.col("l_partkey") * 37 % 86400) * 1_000_000))
+    x = _book(spark, sf).withColumn("t", F.timestamp_micros(C.micros(F.col("ts")) + (F.col("l_partkey") * 37 % 86400) * 1_000_000))
     return x.groupBy("symbol").agg(F.count("*").alias("n"), F.sum(C.regular_hours(F.col("t")).cast("long")).alias("regular"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import breaks, fracdiff, labels, learning
-from ..operators.align import DAY, asof_join, fill_forward, interval_join, lookup
+from ..operators.align import DAY, asof_join, fill_forward, interval_sums, lookup
 from ..operators.fold import Chain, Ewm, Recursion, ordered_fold
 from ..sources import views
 from .base import q, query, r, rounded
@@ -66,22 +66,23 @@ def daily_ewm_vol(spark, sf):
     return x.select("series_id", "at", r("vol", 5).alias("vol"))
 
 
-# ---- barriers: every 20th tick is an event
+# ---- barriers: events are those of the CUSUM filter
 
-_EV = f"{views.TICKS}, b AS MATERIALIZED (SELECT series_id, at, price FROM ticks), n AS (SELECT *, row_number() OVER {_W} AS i FROM ticks), e0 AS (SELECT series_id, at, 0.2::DOUBLE+vol/200.0::DOUBLE AS target, CASE WHEN vol%2=0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS side FROM n WHERE i%20=0), e1 AS MATERIALIZED (SELECT e0.*, (SELECT min(b.at) FROM b WHERE b.series_id=e0.series_id AND b.at>=e0.at+{DAY}) AS t1 FROM e0)"
+_EV = f"{_RET}, {cusum('x.r', '3.0::DOUBLE')}, b AS MATERIALIZED (SELECT series_id, at, price FROM ticks), e0 AS MATERIALIZED (SELECT x.series_id, x.at, 0.2::DOUBLE+x.vol/200.0::DOUBLE AS target, s.event::DOUBLE AS side FROM s JOIN x USING(series_id,i) WHERE event<>0), e1 AS MATERIALIZED (SELECT e0.*, b.at AS t1 FROM (SELECT *, at+{DAY} AS k FROM e0) e0 ASOF LEFT JOIN b ON b.series_id=e0.series_id AND e0.k<=b.at)"
+
+#: Key units to a stretch of a series, which spreads a long series over tasks.
+STRETCH = 5 * DAY
 
 
 def _events(spark, sf):
-    x = views.ticks(spark, sf)
-    w = C.ordered(BY, ORDER)
-    e = x.withColumn("i", F.row_number().over(w)).filter("i % 20 = 0").select("series_id", "at", (0.2 + F.col("vol") / 200.0).alias("target"), F.when(F.col("vol") % 2 == 0, 1.0).otherwise(-1.0).alias("side"))
-    return e, x.select("series_id", "at", "price")
+    e = labels.cusum_events(_returns(spark, sf), "r", by=BY, order=ORDER, threshold=3.0).select("series_id", "at", (0.2 + F.col("vol") / 200.0).alias("target"), F.col("event").cast("double").alias("side"))
+    return e, views.ticks(spark, sf).select("series_id", "at", "price")
 
 
-@query(f"WITH {_EV} SELECT series_id, at, t1 FROM e1 WHERE t1 IS NOT NULL")
+@query(f"WITH RECURSIVE {_EV} SELECT series_id, at, t1 FROM e1 WHERE t1 IS NOT NULL")
 def vertical_barrier(spark, sf):
     e, b = _events(spark, sf)
-    return labels.vertical_barriers(e, b, by=BY, at="at", bar_at="at").select("series_id", "at", "t1")
+    return labels.vertical_barriers(e, b, by=BY, at="at", bar_at="at", width=STRETCH).select("series_id", "at", "t1")
 
 
 def _touch(side: str, up: float, down: float) -> str:
@@ -91,11 +92,11 @@ def _touch(side: str, up: float, down: float) -> str:
 
 def _barriers(spark, sf, meta: bool):
     e, b = _events(spark, sf)
-    v = labels.vertical_barriers(e if meta else e.drop("side"), b, by=BY, at="at", bar_at="at")
+    v = labels.vertical_barriers(e if meta else e.drop("side"), b, by=BY, at="at", bar_at="at", width=STRETCH)
     return labels.barrier_events(b, v, by=BY, at="at", price="price", profit=3.0, loss=1.5, least_target=0.25), b
 
 
-@query(f"WITH {_touch('1', 3.0, 3.0)} SELECT series_id, at, t1, coalesce(pt,-1) AS pt, coalesce(sl,-1) AS sl, t_end, barrier FROM z")
+@query(f"WITH RECURSIVE {_touch('1', 3.0, 3.0)} SELECT series_id, at, t1, coalesce(pt,-1) AS pt, coalesce(sl,-1) AS sl, t_end, barrier FROM z")
 def triple_barrier(spark, sf):
     return _barriers(spark, sf, False)[0].select("series_id", "at", "t1", F.coalesce("pt", F.lit(-1)).alias("pt"), F.coalesce("sl", F.lit(-1)).alias("sl"), "t_end", "barrier")
 
@@ -103,16 +104,16 @@ def triple_barrier(spark, sf):
 _LABEL = ", y AS (SELECT z.*, b1.price/b0.price-1 AS ret0 FROM z JOIN b b0 ON b0.series_id=z.series_id AND b0.at=z.at JOIN b b1 ON b1.series_id=z.series_id AND b1.at=z.t_end)"
 
 
-@query(f"WITH {_touch('1', 3.0, 3.0)}{_LABEL} SELECT series_id, at, {q('ret0')} AS ret, CASE barrier WHEN 'pt' THEN 1 WHEN 'sl' THEN -1 ELSE 0 END::BIGINT AS bin FROM y")
+@query(f"WITH RECURSIVE {_touch('1', 3.0, 3.0)}{_LABEL} SELECT series_id, at, {q('ret0')} AS ret, CASE barrier WHEN 'pt' THEN 1 WHEN 'sl' THEN -1 ELSE 0 END::BIGINT AS bin FROM y")
 def event_labels(spark, sf):
     t, b = _barriers(spark, sf, False)
-    return labels.label_events(t, b, by=BY, at="at", price="price").select("series_id", "at", r("ret").alias("ret"), "bin")
+    return labels.label_events(t, b, by=BY, at="at", price="price", width=STRETCH).select("series_id", "at", r("ret").alias("ret"), "bin")
 
 
-@query(f"WITH {_touch('e.side', 3.0, 1.5)}{_LABEL} SELECT series_id, at, {q('ret0*side')} AS ret, CASE WHEN ret0*side<=0 THEN 0 WHEN barrier='pt' THEN 1 WHEN barrier='sl' THEN -1 ELSE 0 END::BIGINT AS bin FROM y")
+@query(f"WITH RECURSIVE {_touch('e.side', 3.0, 1.5)}{_LABEL} SELECT series_id, at, {q('ret0*side')} AS ret, CASE WHEN ret0*side<=0 THEN 0 WHEN barrier='pt' THEN 1 WHEN barrier='sl' THEN -1 ELSE 0 END::BIGINT AS bin FROM y")
 def meta_labels(spark, sf):
     t, b = _barriers(spark, sf, True)
-    return labels.label_events(t, b, by=BY, at="at", price="price").select("series_id", "at", r("ret").alias("ret"), "bin")
+    return labels.label_events(t, b, by=BY, at="at", price="price", width=STRETCH).select("series_id", "at", r("ret").alias("ret"), "bin")
 
 
 @query(f"WITH {views.TICKS}, l AS (SELECT series_id, seq, CASE WHEN vol<3 THEN 7 WHEN vol<6 THEN 8 WHEN vol<50 THEN 1 ELSE 0 END AS bin FROM ticks) SELECT series_id, bin, count(*) AS n FROM l WHERE bin IN (0,1) GROUP BY 1,2")
@@ -130,26 +131,26 @@ def purged_split(spark, sf):
 
 # ---- overlap
 
-_CONC = views.INTERVALS + ", c AS MATERIALIZED (SELECT b.series_id, b.at, count(*) AS n FROM iv b JOIN iv e ON e.series_id=b.series_id AND b.at BETWEEN e.t0 AND e.t1 WHERE e.seq%10=0 GROUP BY 1,2), k AS MATERIALIZED (SELECT iv.series_id, iv.at, coalesce(c.n,0)::BIGINT AS n_events FROM iv LEFT JOIN c USING(series_id,at))"
+_CONC = views.INTERVALS + ", c AS MATERIALIZED (SELECT b.series_id, b.at, count(*) AS n FROM iv b JOIN iv e ON e.series_id=b.series_id AND b.at BETWEEN e.t0 AND e.t1 GROUP BY 1,2), k AS MATERIALIZED (SELECT iv.series_id, iv.at, coalesce(c.n,0)::BIGINT AS n_events FROM iv LEFT JOIN c USING(series_id,at))"
 
 
 def _spans(spark, sf):
     x = views.intervals(spark, sf)
-    return x.select("series_id", "at"), x.filter("seq % 10 = 0").select("series_id", "seq", "t0", "t1")
+    return x.select("series_id", "at"), x.select("series_id", "seq", "t0", "t1")
 
 
 @query(f"WITH {_CONC} SELECT series_id, at, n_events FROM k")
 def concurrency(spark, sf):
     bars, e = _spans(spark, sf)
-    return labels.concurrency(bars, e, by=BY).select("series_id", "at", "n_events")
+    return labels.concurrency(bars, e, by=BY, width=STRETCH).select("series_id", "at", "n_events")
 
 
-_UNIQ = _CONC + ", u AS MATERIALIZED (SELECT e.series_id, e.seq, e.t0, avg(1.0::DOUBLE/k.n_events) AS u FROM iv e JOIN k ON k.series_id=e.series_id AND k.at BETWEEN e.t0 AND e.t1 WHERE e.seq%10=0 GROUP BY 1,2,3)"
+_UNIQ = _CONC + ", u AS MATERIALIZED (SELECT e.series_id, e.seq, e.t0, avg(1.0::DOUBLE/k.n_events) AS u FROM iv e JOIN k ON k.series_id=e.series_id AND k.at BETWEEN e.t0 AND e.t1 GROUP BY 1,2,3)"
 
 
 def _uniqueness(spark, sf):
     bars, e = _spans(spark, sf)
-    return labels.uniqueness(bars, e, by=BY)
+    return labels.uniqueness(bars, e, by=BY, width=STRETCH)
 
 
 @query(f"WITH {_UNIQ} SELECT series_id, seq, {q('u')} AS uniqueness FROM u")
@@ -174,7 +175,7 @@ def exp_decay(spark, sf):
     return x.select("series_id", "seq", r("decay").alias("decay"))
 
 
-_IND = views.INTERVALS + ", ind AS (SELECT b.series_id, b.at AS bar, e.seq AS event FROM iv b JOIN iv e ON e.series_id=b.series_id AND b.at BETWEEN e.t0 AND e.t1 WHERE e.seq%10=0)"
+_IND = views.INTERVALS + ", ind AS (SELECT b.series_id, b.at AS bar, e.seq AS event FROM iv b JOIN iv e ON e.series_id=b.series_id AND b.at BETWEEN e.t0 AND e.t1)"
 
 
 def _indicator(spark, sf):
@@ -210,9 +211,9 @@ def uniqueness_windows(spark, sf):
 
 @query()
 def sequential_bootstrap(spark, sf):
-    x = views.intervals(spark, sf).filter("seq % 20 = 0")
+    x = views.intervals(spark, sf)
     spans = x.select("series_id", "seq", F.floor(F.col("t0") / 3_600_000_000).alias("a"), F.floor(F.col("t1") / 3_600_000_000).alias("z"))
-    return labels.sequential_bootstrap(spans, by=BY, event="seq", first="a", last="z", draws=50)
+    return labels.sequential_bootstrap(spans, by=BY, event="seq", first="a", last="z")
 
 
 # ---- alignment
@@ -222,8 +223,8 @@ def sequential_bootstrap(spark, sf):
 def asof_both(spark, sf):
     x = views.ticks(spark, sf)
     m = x.filter("vol % 2 = 1").select("series_id", F.col("at").alias("k"), F.col("price").alias("before"))
-    a = asof_join(x.filter("vol % 2 = 0").select("series_id", "seq", "at"), m, by=BY, left_on="at", right_on="k", values=["before"])
-    a = asof_join(a, m.withColumnRenamed("before", "after"), by=BY, left_on="at", right_on="k", values=["after"], direction="forward")
+    a = asof_join(x.filter("vol % 2 = 0").select("series_id", "seq", "at"), m, by=BY, left_on="at", right_on="k", values=["before"], width=STRETCH)
+    a = asof_join(a, m.withColumnRenamed("before", "after"), by=BY, left_on="at", right_on="k", values=["after"], direction="forward", width=STRETCH)
     return a.select("series_id", "seq", "before", "after")
 
 
@@ -233,11 +234,11 @@ def forward_fill(spark, sf):
     return fill_forward(x, "filled", by=BY, order=ORDER).select("series_id", "seq", "filled")
 
 
-@query(f"WITH {views.INTERVALS} SELECT e.series_id, e.seq, count(*) AS n, sum(b.vol)::BIGINT AS vol FROM iv e JOIN iv b ON b.series_id=e.series_id AND b.at>=e.t0 AND b.at<e.t1 WHERE e.seq%5=0 GROUP BY 1,2")
+@query(f"WITH {views.INTERVALS} SELECT e.series_id, e.seq, count(*) AS n, sum(b.vol)::BIGINT AS vol FROM iv e JOIN iv b ON b.series_id=e.series_id AND b.at>=e.t0 AND b.at<e.t1 GROUP BY 1,2")
 def interval_volume(spark, sf):
     x = views.intervals(spark, sf)
-    j = interval_join(x.select("series_id", F.col("at").alias("k"), "vol"), x.filter("seq % 5 = 0").select("series_id", "seq", "t0", "t1"), by=BY, at="k", start="t0", end="t1", width=DAY // 8, closed="left")
-    return j.groupBy("series_id", "seq").agg(F.count("*").alias("n"), F.sum("vol").alias("vol"))
+    j = interval_sums(x.select("series_id", F.col("at").alias("k"), "vol"), x.select("series_id", "seq", "t0", "t1"), by=BY, at="k", start="t0", end="t1", sums={"n": F.lit(1).cast("long"), "vol": F.col("vol")}, closed="left", width=STRETCH)
+    return j.select("series_id", "seq", "n", "vol")
 
 
 @query(f"WITH {views.TICKS}, d AS (SELECT series_id, CAST(ts AS DATE) AS day, sum(vol)::BIGINT AS vol FROM ticks GROUP BY 1,2), a AS (SELECT day, vol FROM d WHERE series_id='click'), b AS (SELECT day, vol FROM d WHERE series_id='purchase') SELECT day, coalesce(a.vol,0) AS va, coalesce(b.vol,0) AS vb FROM a FULL JOIN b USING(day)", dates=("day",))
@@ -247,9 +248,9 @@ def full_outer(spark, sf):
     return side("click", "va").join(side("purchase", "vb"), "day", "full").fillna(0)
 
 
-@query("WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey%7=0) SELECT o.o_orderkey, c.c_mktsegment FROM o JOIN customer c ON c.c_custkey=o.o_custkey")
+@query("WITH o AS (SELECT o_orderkey, o_custkey FROM orders) SELECT o.o_orderkey, c.c_mktsegment FROM o JOIN customer c ON c.c_custkey=o.o_custkey")
 def strict_lookup(spark, sf):
-    o = views.read(spark, sf, "orders").filter("o_orderkey % 7 = 0").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    o = views.read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     return lookup(o, views.read(spark, sf, "customer"), on=["c_custkey"], values=["c_mktsegment"]).select("o_orderkey", "c_mktsegment")
 
 
@@ -392,7 +393,7 @@ def explosive_regimes(spark, sf):
 
 @query()
 def unit_root_curves(spark, sf):
-    return rounded(breaks.unit_root_curves(spark, n_sims=20, n=80, least=30), "q90", "q95", "q99", digits=4)
+    return rounded(breaks.unit_root_curves(spark, n_sims=200, n=80, least=30), "q90", "q95", "q99", digits=4)
 
 
 # ---- cross-validation
@@ -443,8 +444,8 @@ def roc_auc(spark, sf):
 
 @query()
 def cross_validated_forest(spark, sf):
-    """Purged cross-validation of a forest on a few rows of one series."""
-    x = views.intervals(spark, sf).filter("series_id = 'click' and seq % 4 = 0").select("series_id", "seq", "t0", "t1", "label", "p", "price")
+    """Purged cross-validation of a forest on the rows of all series, folds by series."""
+    x = views.intervals(spark, sf).select("series_id", "seq", "t0", "t1", "label", "p", "price")
     f = learning.purged_folds(x.select("series_id", "seq", "t0", "t1"), 3, by=BY, start="t0", end="t1")
     data = learning.assembled(x, ["p", "price"], "label")
     got = learning.cross_validate(learning.forest(trees=5, depth=3), data, f, "seq")

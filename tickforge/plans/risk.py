@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.normal import sql_cdf, sql_ppf
 from ..operators import backtest
+from ..operators.align import DAY
 from ..sources import views
 from .base import q, query, r, rounded
 
@@ -25,14 +26,14 @@ _ACTIVE = views.INTERVALS + ", a AS (SELECT b.series_id, b.seq, count(*) AS n, a
 @query(f"WITH {_ACTIVE} SELECT series_id, seq, n AS n_active, {q('m')} AS mean_size FROM a")
 def active_bets(spark, sf):
     x = views.intervals(spark, sf)
-    out = backtest.active_bets(x.select("series_id", "seq", "at"), x.select("series_id", "t0", "t1", "p"), by=BY, at="at", start="t0", end="t1", size="p")
+    out = backtest.active_bets(x.select("series_id", "seq", "at"), x.select("series_id", "t0", "t1", "p"), by=BY, at="at", start="t0", end="t1", size="p", width=5 * DAY)
     return out.select("series_id", "seq", "n_active", r("mean_size").alias("mean_size"))
 
 
 @query(f"WITH {_ACTIVE} SELECT series_id, seq, l AS n_long, s AS n_short, {q('l/max(l) OVER (PARTITION BY series_id)::DOUBLE - s/max(s) OVER (PARTITION BY series_id)::DOUBLE')} AS size FROM a".replace("OVER (PARTITION BY series_id)::DOUBLE", "OVER (PARTITION BY series_id)"))
 def long_short_budget(spark, sf):
     x = views.intervals(spark, sf).withColumn("side", F.when(F.col("label") == 1, 1).otherwise(-1))
-    out = backtest.budget_size(x.select("series_id", "seq", "at"), x.select("series_id", "t0", "t1", "side"), by=BY, at="at", start="t0", end="t1", side="side")
+    out = backtest.budget_size(x.select("series_id", "seq", "at"), x.select("series_id", "t0", "t1", "side"), by=BY, at="at", start="t0", end="t1", side="side", width=5 * DAY)
     return out.select("series_id", "seq", "n_long", "n_short", r("size").alias("size"))
 
 
