@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions import columns as C
 from tickforge.functions import normal
-from tickforge.operators import allocation, backtest, bars, breaks, entropy, fold, fracdiff, labels, learning, microstructure, simulation
+from tickforge.operators import align, allocation, backtest, bars, breaks, entropy, fold, fracdiff, labels, learning, microstructure, simulation
 from tickforge.operators.align import asof_join, interval_join, sweep
 from tickforge.sources import synthetic, ticks
 from tickforge.streaming import folds
@@ -653,3 +653,68 @@ def test_match_lengths_of_whole_blocks(spark):
     for r in micro.entropy_correlation(spark, sf).collect():
         parts = cut(y[y["series_id"] == r["series_id"]]["code"], 12)
         assert abs(r["correlation"] - np.corrcoef([share(s) for s in parts], [rate(s, 30) for s in parts])[0, 1]) < 1e-3
+
+
+def test_interval_sums_equal_the_join(spark):
+    """Sums over the points in each interval, ends in or out, whole series or stretches, ties, empty and outside intervals."""
+    import random
+
+    rng = random.Random(4)
+    points = [(s, rng.randrange(300), rng.randrange(50)) for s in "ab" for _ in range(200)]
+    spans = [(rng.choice("abc"), i, t := rng.randrange(-20, 320), t + rng.randrange(0, 90)) for i in range(150)]
+    p = spark.createDataFrame(points, "s string, k long, v long")
+    x = spark.createDataFrame(spans, "s string, id long, a long, z long")
+    for closed in ("both", "left"):
+        want = {}
+        for s, i, a, z in spans:
+            held = [v for t, k, v in points if t == s and a <= k and (k <= z if closed == "both" else k < z)]
+            want[i] = (len(held), sum(held)) if held else (None, None)
+        for width in (None, 40):
+            out = align.interval_sums(p, x, by=["s"], at="k", start="a", end="z", sums={"n": F.lit(1), "total": F.col("v")}, closed=closed, width=width)
+            assert {r["id"]: (r["n"], r["total"]) for r in out.collect()} == want
+
+
+def test_stretches_change_nothing(spark):
+    bars = spark.range(400).selectExpr("'s' s", "id * 7 at")
+    events = spark.range(150).selectExpr("'s' s", "id", "id * 11 t0", "id * 11 + 90 + id % 50 t1")
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for f in (labels.concurrency, labels.uniqueness):
+        assert rows(f(bars, events, by=["s"])) == rows(f(bars, events, by=["s"], width=300))
+
+
+def test_folds_of_one_table(spark):
+    for n, k in ((103, 5), (4, 7), (40, 4)):
+        x = spark.range(n).selectExpr("id", "(id * 37) % 101 + id / 1000 at")
+        got = [r["fold"] for r in learning.folds(x, k, by=[], order=["at"]).orderBy("at").collect()]
+        want = [f for f in range(k) for _ in range(n // k + (f < n % k))]
+        assert got == want
+
+
+def test_book_order_and_counts(spark, tmp_path):
+    """Regular hours go by the event's time, ties keep the file's order, files are in order as a whole."""
+    import datetime as dt
+
+    at = lambda h, m, s=0: dt.datetime(2023, 11, 1, h, m, s, tzinfo=dt.timezone.utc)
+    row = lambda recv, event, seq, bid, flags=0, action="A": (recv, event, action, "B", 100.0, 1, flags, seq, "X", bid, bid + 1, 5, 5, 1, 1)
+    rows = [row(at(13, 31), at(13, 29), 1, 50.0), row(at(14, 0), at(14, 0), 5, 60.0), row(at(14, 0), at(14, 0), 5, 61.0), row(at(13, 45), at(13, 45), 9, 62.0), row(at(20, 1), at(19, 59), 10, 63.0), row(at(14, 1), at(14, 1), 11, 64.0, 8), row(at(14, 2), at(14, 2), 12, -1.0)]
+    names = "ts_recv ts_event action side price size flags sequence symbol bid_px_00 ask_px_00 bid_sz_00 ask_sz_00 bid_ct_00 ask_ct_00".split()
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    raw = spark.createDataFrame(rows, names)
+    raw.coalesce(1).write.parquet(source)
+    got = ticks.prepare_book(spark, source, target, rth_only=True, include_quotes=True)
+    assert got == {"rows_in": 7, "invalid_book": 1, "events": 4, "trades": 0, "quotes": 4}
+    assert ticks.book_counts(raw, rth_only=True).first()["bad_quality"] == 1
+    files = sorted((tmp_path / "out" / "events").glob("*.parquet"))
+    bids = [r["bid_px_00"] for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert bids == [62.0, 60.0, 61.0, 63.0]
+    assert ticks.check_files(spark, {"gone": (str(tmp_path / "none"), "ts_recv", [])}) == [{"name": "gone", "ready": False, "error": "AnalysisException"}]
+
+
+def test_importance_finds_what_matters(spark):
+    x = synthetic.classification(spark, 300, 2, 1, 1, seed=3).persist()
+    got = learning.compare_importance(learning.forest(trees=5, depth=3), x, ["I_1", "N_0"], "bin", ("impurity", "single"), key="id", start="t0", end="t1", k=2).collect()
+    for method in ("impurity", "single"):
+        own = {r["feature"]: r["mean"] for r in got if r["method"] == method}
+        assert own["I_1"] > own["N_0"]
+    with pytest.raises(ValueError):
+        learning.feature_importance("other", learning.forest(trees=1), x, ["I_1"], "bin", key="id", start="t0", end="t1", k=2)

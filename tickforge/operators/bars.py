@@ -67,9 +67,14 @@ def flow_bars(trades: DataFrame, threshold: float, *, by: list[str], order: list
 
 
 def time_bars(ticks: DataFrame, unit: str, *, by: list[str], order: list[str], price: str = "price", sums: list[str] = ()) -> DataFrame:
-    """Open, high, low, close and sums by calendar unit (hour, day, ...); empty units give no row."""
+    """Open, high, low, close and sums by calendar unit (hour, day, ...) or step ("5 minutes", "90 seconds"); empty ones give no row.
+
+    Steps of less than a day begin at midnight of the first day of 1970, as those that divide a day do on every day.
+    """
     need(ticks, price, *by, *order, *sums)
-    return ticks.groupBy(*by, F.date_trunc(unit, F.col(order[0])).alias("time")).agg(*_ohlc(price, order), F.count("*").alias("ticks"), *[F.sum(c).alias(c) for c in sums])
+    at = F.col(order[0])
+    time = F.window(at, unit)["start"] if unit[0].isdigit() else F.date_trunc(unit, at)
+    return ticks.groupBy(*by, time.alias("time")).agg(*_ohlc(price, order), F.count("*").alias("ticks"), *[F.sum(c).alias(c) for c in sums])
 
 
 def week_counts(bars: DataFrame, *, by: list[str], ts: str) -> DataFrame:

@@ -17,10 +17,33 @@ from .align import indexed
 
 def folds(rows: DataFrame, k: int, *, by: list[str], order: list[str]) -> DataFrame:
     """rows with place (from 0) and fold 0 .. k - 1: contiguous, the first ones one longer where sizes differ."""
+    if not by and rows.schema[order[0]].dataType.typeName() not in ("string", "binary"):
+        return _folds_of_one(rows, k, order)
     w = ordered(by, order)
     return rows.withColumns({"place": (F.row_number().over(w) - 1).cast("long"), "fold": (F.ntile(k).over(w) - 1).cast("long")})
 
 
+def _folds_of_one(rows: DataFrame, k: int, order: list[str], ranges: int = 200) -> DataFrame:
+    """folds() of one long table: rows are numbered within ranges of the first order column, after the rows of ranges before."""
+    at = F.col(order[0])
+    cut = rows.agg(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], 10_000).alias("__cuts"), F.count("*").alias("__n"))
+    x = rows.crossJoin(F.broadcast(cut)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= at)))
+    counts = x.groupBy("__range").agg(F.count("*").alias("__here"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over some 200 rows
+    offsets = counts.select("__range", F.coalesce(F.sum("__here").over(before), F.lit(0)).alias("__before"))
+    x = x.join(F.broadcast(offsets), "__range").withColumn("place", F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1)
+    small, longer = F.expr(f"__n div {k}"), F.expr(f"__n % {k}")
+    in_long = F.col("place") < longer * (small + 1)
+    fold = F.when(in_long, F.floor(F.col("place") / (small + 1))).otherwise(longer + F.floor((F.col("place") - longer * (small + 1)) / F.greatest(small, F.lit(1))))
+    return x.withColumns({"place": F.col("place").cast("long"), "fold": fold.cast("long")}).select(*rows.columns, "place", "fold")
+
+
+def shuffled_folds(rows: DataFrame, k: int, *, by: list[str], key: str, seed: int = 0) -> DataFrame:
+    """rows with place and fold 0 .. k - 1 in an order that the seed and the key give by hash, whatever the partitions."""
+    dealt = rows.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))))
+    return folds(dealt, k, by=by, order=["__h", key]).drop("__h")
+
+
 def _join(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """a with the few rows of b of its series; without series, b is broadcast."""
     return a.join(b, by) if by else a.crossJoin(F.broadcast(b))
@@ -136,8 +159,9 @@ def cross_validate(estimator, data: DataFrame, assigned: DataFrame, key: str, me
     out = []
     for f in [r[0] for r in assigned.select("fold").distinct().orderBy("fold").collect()]:
         mine = assigned.filter(F.col("fold") == f).select(key, "role")
-        x = data.join(mine, key)
+        x = data.join(mine, key).persist()  # fitting reads its rows several times
         out.append(score(estimator.fit(x.filter("role = 'train'")), x.filter("role = 'test'"), metric))
+        x.unpersist()
     return out
 
 
@@ -161,7 +185,7 @@ def permutation_importance(estimator, raw: DataFrame, features: list[str], label
     """(feature, mean, std of the mean) of the share of a fold's score that goes when a feature is permuted."""
     shares: dict[str, list[float]] = {f: [] for f in features}
     for k in [r[0] for r in assigned.select("fold").distinct().orderBy("fold").collect()]:
-        x = raw.join(assigned.filter(F.col("fold") == k).select(key, "role"), key)
+        x = raw.join(assigned.filter(F.col("fold") == k).select(key, "role"), key).persist()
         model = estimator.fit(assembled(x.filter("role = 'train'"), features, label, weight))
         test = x.filter("role = 'test'")
         base = score(model, assembled(test, features, label, weight), metric)
@@ -169,6 +193,7 @@ def permutation_importance(estimator, raw: DataFrame, features: list[str], label
             got = score(model, assembled(permuted(test, f, seed + i), features, label, weight), metric)
             room = -got if metric == "neg_log_loss" else 1 - got
             shares[f].append((base - got) / room if room else 0.0)
+        x.unpersist()
     return [(f, float(np.mean(v)), float(np.std(v, ddof=1) * len(v) ** -0.5) if len(v) > 1 else 0.0) for f, v in shares.items()]
 
 
@@ -181,6 +206,37 @@ def single_importance(estimator, raw: DataFrame, features: list[str], label: str
     return out
 
 
+def feature_importance(method: str, estimator, raw: DataFrame, features: list[str], label: str, *, key: str, start: str, end: str, k: int = 10, embargo: float = 0.0, metric: str = "accuracy", weight: str | None = None, seed: int = 1) -> tuple[list[tuple[str, float, float]], float]:
+    """(importances, out-of-sample accuracy) of one method over purged folds of all rows: "impurity", "permutation" or "single".
+
+    Each importance is (feature, mean, std of the mean); the accuracy is the folds' mean with all features.
+    """
+    if method not in ("impurity", "permutation", "single"):
+        raise ValueError("method must be impurity, permutation or single")
+    raw = raw.persist()  # every fold and feature reads the rows and their folds again
+    assigned = purged_folds(raw.select(key, start, end), k, by=[], start=start, end=end, embargo=embargo).persist()
+    data = assembled(raw, features, label, weight)
+    accuracy_of_all = float(np.mean(cross_validate(estimator, data, assigned, key)))
+    if method == "impurity":
+        found = impurity_importance(estimator.fit(data), features)
+    elif method == "permutation":
+        found = permutation_importance(estimator, raw, features, label, assigned, key, metric, weight, seed)
+    else:
+        found = single_importance(estimator, raw, features, label, assigned, key, metric, weight)
+    assigned.unpersist()
+    raw.unpersist()
+    return found, accuracy_of_all
+
+
+def compare_importance(estimator, raw: DataFrame, features: list[str], label: str, methods: tuple[str, ...] = ("impurity", "permutation", "single"), **options) -> DataFrame:
+    """(method, feature, mean, std, accuracy) of each method, one table for all."""
+    rows = []
+    for method in methods:
+        found, score_of_all = feature_importance(method, estimator, raw, features, label, **options)
+        rows += [(method, f, m, s, score_of_all) for f, m, s in found]
+    return raw.sparkSession.createDataFrame(rows, "method string, feature string, mean double, std double, accuracy double")
+
+
 def combine_importance(parts: list[list[tuple[str, float, float]]]) -> list[tuple[str, float, float]]:
     """Means of means and of deviations over chunks of the data."""
     names = [f for f, _, _ in parts[0]]

@@ -57,6 +57,11 @@ def bars_time_hour(spark, sf):
     return bars.time_bars(_ticks(spark, sf), "hour", by=BY, order=ORDER, sums=["vol", "dollar_c"]).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
+@query(f"WITH {views.TICKS} SELECT series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS time, {_OHLC}, count(*) AS ticks, sum(vol)::BIGINT AS vol FROM ticks GROUP BY 1,2")
+def bars_time_quarter_hour(spark, sf):
+    return bars.time_bars(_ticks(spark, sf), "15 minutes", by=BY, order=ORDER, sums=["vol"]).withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
 @query(f"WITH RECURSIVE {jumps('dollar_c', DOLLARS)}, n AS (SELECT series_id, CAST(date_trunc('week',ts) AS DATE)+6 AS week, count(*) AS n FROM closes GROUP BY 1,2), g AS (SELECT series_id, CAST(unnest(generate_series(min(week),max(week),INTERVAL 7 DAY)) AS DATE) AS week FROM n GROUP BY 1) SELECT g.series_id, g.week, coalesce(n.n,0)::BIGINT AS n FROM g LEFT JOIN n USING(series_id,week)", dates=("week",))
 def bars_week_counts(spark, sf):
     return bars.week_counts(bars.threshold_bars(_ticks(spark, sf), "dollar_c", DOLLARS, by=BY, order=ORDER), by=BY, ts="ts")

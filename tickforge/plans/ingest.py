@@ -74,6 +74,32 @@ def regular_hours(spark, sf):
     return x.groupBy("symbol").agg(F.count("*").alias("n"), F.sum(C.regular_hours(F.col("t")).cast("long")).alias("regular"))
 
 
+_NY = "timezone('America/New_York', timezone('UTC', ts - to_seconds(l_partkey*37%86400)))"
+_RTH = f"extract(hour FROM {_NY})*60+extract(minute FROM {_NY})>=570 AND extract(hour FROM {_NY})*60+extract(minute FROM {_NY})<960"
+
+
+def _late_quotes(spark, sf):
+    """Quotes whose event time is up to a day before they were received."""
+    x = views.quotes(spark, sf)
+    return x.withColumn("ts_event", F.timestamp_micros(C.micros(F.col("ts")) - (F.col("l_partkey") * 37 % 86400) * 1_000_000))
+
+
+@query(f"WITH {_GOOD} SELECT sequence, l_partkey, l_suppkey, dollar FROM ev WHERE {_RTH}")
+def book_regular_hours(spark, sf):
+    return ticks.clean_book(_late_quotes(spark, sf), rth_only=True).select(*_BOOK)
+
+
+@query(f"WITH {_GOOD}, k AS (SELECT symbol, count(*) AS rows_in, count(*) FILTER (flags & 12 <> 0) AS bad_quality FROM quotes GROUP BY 1), g AS (SELECT symbol, count(*) AS n FROM good GROUP BY 1), e AS (SELECT symbol, count(*) AS a, count(*) FILTER ({_RTH}) AS events, count(*) FILTER (action='T' AND price>0 AND size>0 AND {_RTH}) AS trades FROM ev GROUP BY 1) SELECT symbol, rows_in, bad_quality, g.n-e.a AS invalid_book, events, trades FROM k JOIN g USING(symbol) JOIN e USING(symbol)")
+def book_counts(spark, sf):
+    return ticks.book_counts(_late_quotes(spark, sf), by=["symbol"], rth_only=True)
+
+
+@query(f"WITH {_GOOD} SELECT sequence, l_partkey, l_suppkey, dollar, epoch_us(ts)*1000-l_partkey*1001 AS ts_send_ns, l_partkey*1001 AS feed_latency_ns FROM ev")
+def send_times(spark, sf):
+    x = ticks.clean_book(views.quotes(spark, sf).withColumn("ts_in_delta", F.col("l_partkey") * 1001))
+    return x.select(*_BOOK, "ts_send_ns", "feed_latency_ns")
+
+
 @query("SELECT o_orderkey, round(o_totalprice,2) AS price, round(floor(o_totalprice/10)*10,2) AS volume, 0.0::DOUBLE AS bad FROM orders")
 def parse_numeric(spark, sf):
     x = views.read(spark, sf, "orders").select("o_orderkey", F.format_number(F.round("o_totalprice", 2), 2).alias("p"), F.concat((F.floor(F.col("o_totalprice") / 10) / 100).cast("string"), F.lit("K")).alias("v"))

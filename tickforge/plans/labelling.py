@@ -282,25 +282,41 @@ def ar1_recursion(spark, sf):
 
 # ---- differencing
 
-_FFD = fracdiff.fixed_weights(0.4, 1e-2)
-_LAGS = "+".join(f"({w!r}::DOUBLE)*lag(p,{k}) OVER {_W}" for k, w in enumerate(_FFD))
+#: The weights by their own recursion, down to and with the first below 0.01; m is the last lag.
+_FFD = "wt AS (SELECT 0 AS k, 1.0::DOUBLE AS w UNION ALL SELECT k+1, -w*(0.4::DOUBLE-k)/(k+1) FROM wt WHERE abs(w)>=0.01::DOUBLE), last AS (SELECT max(k) AS m FROM wt)"
+_DIFF = f"WITH RECURSIVE {views.TICKS}, {_FFD}, p AS (SELECT series_id, seq, ln(price) AS p, row_number() OVER {_W} AS i FROM ticks) SELECT a.series_id, a.seq, CASE WHEN a.i>any_value(m) THEN {q('sum(b.p*w)')} END AS diff FROM p a CROSS JOIN last JOIN wt ON true LEFT JOIN p b ON b.series_id=a.series_id AND b.i=a.i-LAG_OF GROUP BY a.series_id, a.seq, a.i"
 
 
-@query(f"WITH {views.TICKS}, p AS (SELECT series_id, ts, seq, ln(price) AS p FROM ticks) SELECT series_id, seq, {q(_LAGS)} AS diff FROM p")
+@query("WITH RECURSIVE " + _FFD + f" SELECT k, {q('w', 12)} AS w FROM wt")
+def ffd_weights(spark, sf):
+    w = fracdiff.fixed_weights(0.4, 1e-2)
+    return spark.createDataFrame(list(enumerate(w)), "k int, w double").withColumn("w", r("w", 12))
+
+
+@query(f"WITH RECURSIVE wt AS (SELECT 0 AS k, 1.0::DOUBLE AS w UNION ALL SELECT k+1, -w*(0.7::DOUBLE-k)/(k+1) FROM wt WHERE k<49) SELECT k, {q('w', 12)} AS w FROM wt")
+def binomial_weights(spark, sf):
+    return spark.createDataFrame(list(enumerate(fracdiff.binomial_weights(0.7, 50))), "k int, w double").withColumn("w", r("w", 12))
+
+
+@query(_DIFF.replace("LAG_OF", "wt.k"))
 def ffd_fixed(spark, sf):
     x = views.ticks(spark, sf).withColumn("p", F.ln("price"))
     return rounded(fracdiff.fixed_width(x, "p", 0.4, by=BY, order=ORDER, tau=1e-2).select("series_id", "seq", "diff"), "diff")
 
 
-_OLD = "+".join(f"({w!r}::DOUBLE)*lag(p,{k}) OVER {_W}" for k, w in enumerate(_FFD[::-1]))
-
-
-@query(f"WITH {views.TICKS}, p AS (SELECT series_id, ts, seq, ln(price) AS p FROM ticks) SELECT series_id, seq, {q(_OLD)} AS diff FROM p")
+@query(_DIFF.replace("LAG_OF", "(m-wt.k)"))
 def ffd_reversed(spark, sf):
     x = views.ticks(spark, sf).withColumn("p", F.ln("price"))
     return rounded(fracdiff.fixed_width(x, "p", 0.4, by=BY, order=ORDER, tau=1e-2, kernel="oldest", wide=1).select("series_id", "seq", "diff"), "diff")
 
 
+@query(f"WITH RECURSIVE {_EV}, f AS (SELECT series_id, at, price-lag(price) OVER (PARTITION BY series_id ORDER BY at) AS change, vol FROM ticks) SELECT f.series_id, f.at, {q('change')} AS change, vol FROM f JOIN (SELECT DISTINCT series_id, at FROM e0) e ON e.series_id=f.series_id AND e.at=f.at WHERE change IS NOT NULL")
+def features_at_events(spark, sf):
+    x = views.ticks(spark, sf).withColumn("change", F.col("price") - F.lag("price").over(C.ordered(BY, ["at"])))
+    out = fracdiff.features_at(x.select("series_id", "at", "change", "vol"), _events(spark, sf)[0], by=BY, at="at")
+    return rounded(out, "change")
+
+
 @query()
 def fracdiff_expanding(spark, sf):
     x = views.ticks(spark, sf).withColumn("p", F.ln("price"))
@@ -442,6 +458,17 @@ def roc_auc(spark, sf):
     return rounded(learning.roc_auc(views.intervals(spark, sf), "label", "p", by=BY), "auc")
 
 
+@query(f"WITH {views.INTERVALS}, k AS (SELECT series_id, seq, ntile(4) OVER (PARTITION BY series_id ORDER BY md5('7-'||seq), seq)-1 AS fold FROM iv) SELECT series_id, seq, fold FROM k")
+def shuffled_folds(spark, sf):
+    return learning.shuffled_folds(views.intervals(spark, sf), 4, by=BY, key="seq", seed=7).select("series_id", "seq", "fold")
+
+
+@query(f"WITH {views.INTERVALS}, s AS (SELECT CASE WHEN p>=0.75 THEN 1 ELSE -1 END*(price-250)/250 AS r FROM iv) SELECT {q('avg(r)/stddev_samp(r)', 5)} AS sharpe FROM s")
+def forecast_sharpe(spark, sf):
+    x = views.intervals(spark, sf).select((F.col("p") >= 0.75).cast("int").alias("said"), ((F.col("price") - 250) / 250).alias("ret"))
+    return rounded(learning.forecast_sharpe(x, "said", "ret"), "sharpe", digits=5)
+
+
 @query()
 def cross_validated_forest(spark, sf):
     """Purged cross-validation of a forest on the rows of all series, folds by series."""

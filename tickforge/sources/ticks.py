@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import need, ordered, ratio, regular_hours, true
+from ..functions.columns import micros, need, ordered, ratio, regular_hours, true
 
 RAW_TICKS = "day string, time string, price double, bid double, ask double, vol double"
 #: Order-book columns, actions, sides, bad flag bits (bad time 8, doubtful book 4), tick size and point value.
@@ -87,8 +88,9 @@ def prepare_ticks(spark: SparkSession, source: str, target: str, threshold: floa
     merged = by_timestamp(good, by=[], at="date", order=["__row"])
     kept = mad_filter(merged, "price", by=[], threshold=threshold)
     write_parquet(kept, target)
-    out = spark.read.parquet(target)
-    n_raw, n_good, n_merged, n = raw.count(), good.count(), merged.count(), out.count()
+    n = spark.read.parquet(target).count()
+    n_raw = raw.count()
+    n_good, n_merged = good.agg(F.count("*"), F.count_distinct("date")).first()  # merged rows are the distinct times of good ones
     return {"rows_in": n_raw, "rows_dropped": n_raw - n_good, "timestamps": n_merged, "outliers": n_merged - n, "rows_out": n}
 
 
@@ -122,7 +124,8 @@ def book_features(df: DataFrame, tick: float = TICK) -> DataFrame:
     x = df.withColumns({"spread": ask - bid, "spread_ticks": (ask - bid) / tick, "midpoint": (ask + bid) / 2, "book_imbalance": ratio(bs - as_, bs + as_), "microprice": ratio(ask * bs + bid * as_, bs + as_), "order_count_imbalance": ratio(bc - ac, bc + ac)})
     x = x.withColumn("microprice_minus_mid", F.col("microprice") - F.col("midpoint"))
     if "ts_in_delta" in df.columns:
-        x = x.withColumns({"ts_send": F.expr("timestampadd(MICROSECOND, -cast(ts_in_delta / 1000 as bigint), ts_recv)"), "feed_latency_ns": F.col("ts_in_delta").cast("long")})
+        # Times hold microseconds; the exact send time is in nanoseconds since 1970.
+        x = x.withColumns({"ts_send": F.expr("timestampadd(MICROSECOND, -cast(ts_in_delta / 1000 as bigint), ts_recv)"), "ts_send_ns": micros(F.col("ts_recv")) * 1000 - F.col("ts_in_delta").cast("long"), "feed_latency_ns": F.col("ts_in_delta").cast("long")})
     return x
 
 
@@ -145,23 +148,44 @@ def quote_changes(events: DataFrame, *, by: list[str], order: list[str], columns
     return events.withColumn("__same", same).filter(~F.col("__same")).drop("__same")
 
 
-def clean_book(df: DataFrame, *, symbol: str | None = None, rth_only: bool = False, order: tuple[str, ...] = ("ts_recv", "sequence")) -> DataFrame:
-    """Valid, enriched book events of good quality."""
+def clean_book(df: DataFrame, *, symbol: str | None = None, rth_only: bool = False) -> DataFrame:
+    """Valid, enriched book events of good quality; rth_only keeps those whose event time lies in regular hours."""
     x = quality_book(typed_book(df), symbol).filter(valid_book())
-    return book_features(x.filter(regular_hours(F.col("ts_recv"))) if rth_only else x)
+    return book_features(x.filter(regular_hours(F.col("ts_event"))) if rth_only else x)
+
+
+def book_counts(df: DataFrame, *, by: list[str] = (), symbol: str | None = None, rth_only: bool = False) -> DataFrame:
+    """rows_in, bad_quality, invalid_book, events and trades of a raw book, in one pass.
+
+    bad_quality counts rows of known action, side, symbol and times with a bad flag bit; invalid_book
+    those of good quality without a valid book.
+    """
+    x = typed_book(df)
+    known = true(F.col("action").isin(*ACTIONS) & F.col("side").isin(*SIDES) & F.col("ts_recv").isNotNull() & F.col("ts_event").isNotNull())
+    known = known if symbol is None else known & true(F.col("symbol") == symbol)
+    bad = F.col("flags").bitwiseAND(BAD_FLAGS) != 0
+    event = known & ~bad & valid_book()
+    event = event & regular_hours(F.col("ts_event")) if rth_only else event
+    trade = event & true((F.col("action") == "T") & (F.col("price") > 0) & (F.col("size") > 0))
+    many = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long").alias(name)
+    return x.groupBy(*by).agg(F.count("*").alias("rows_in"), many(known & bad, "bad_quality"), many(known & ~bad & ~valid_book(), "invalid_book"), many(event, "events"), many(trade, "trades"))
 
 
 def prepare_book(spark: SparkSession, source: str, target: str, *, symbol: str | None = None, rth_only: bool = False, include_quotes: bool = False) -> dict:
-    """Book file to target/events, target/trades and target/quotes. Returns counts."""
-    raw = read_parquet(spark, source)
-    ranked = quality_book(typed_book(raw), symbol)
+    """Book file to target/events, target/trades and target/quotes, each in order of ts_recv, sequence and original row. Returns counts.
+
+    The order is global: sorted ranges of rows, one to a file. The original row is its file and place
+    in it. book_counts() tells bad rows apart as well.
+    """
+    raw = read_parquet(spark, source).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    order, helpers = ("ts_recv", "sequence", "__file", "__row"), ("__file", "__row")
     events = clean_book(raw, symbol=symbol, rth_only=rth_only)
-    write_parquet(events.sortWithinPartitions("ts_recv", "sequence"), f"{target}/events")
-    events = spark.read.parquet(f"{target}/events")
-    write_parquet(trades(events), f"{target}/trades")
-    out = {"rows_in": raw.count(), "invalid_book": ranked.filter(~valid_book()).count(), "events": events.count(), "trades": spark.read.parquet(f"{target}/trades").count()}
+    write_parquet(events.orderBy(*order).drop(*helpers), f"{target}/events")
+    write_parquet(trades(events).orderBy(*order).drop(*helpers), f"{target}/trades")
+    counts = book_counts(raw, symbol=symbol, rth_only=rth_only).first()
+    out = {c: counts[c] for c in ("rows_in", "invalid_book", "events", "trades")}
     if include_quotes:
-        write_parquet(quote_changes(events, by=["symbol"], order=["ts_recv", "sequence"]), f"{target}/quotes")
+        write_parquet(quote_changes(events, by=["symbol"], order=list(order)).orderBy(*order).drop(*helpers), f"{target}/quotes")
         out["quotes"] = spark.read.parquet(f"{target}/quotes").count()
     return out
 
@@ -183,6 +207,6 @@ def check_files(spark: SparkSession, files: dict[str, tuple[str, str, list[str]]
             df = spark.read.parquet(path) if not path.endswith(".csv") else read_csv(spark, path)
             row = table_report(df, at, required).first().asDict()
             out.append({"name": name, "ready": not row["missing"] and row["rows"] > 0, **row})
-        except Exception as e:  # a missing file is a finding, not a failure
+        except (PySparkException, OSError) as e:  # a missing or broken file is a finding, not a failure
             out.append({"name": name, "ready": False, "error": type(e).__name__})
     return out
