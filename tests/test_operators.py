@@ -718,3 +718,27 @@ def test_importance_finds_what_matters(spark):
         assert own["I_1"] > own["N_0"]
     with pytest.raises(ValueError):
         learning.feature_importance("other", learning.forest(trees=1), x, ["I_1"], "bin", key="id", start="t0", end="t1", k=2)
+
+
+def test_exact_median(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(s, rng.choice([rng.randrange(5), rng.random() * 1e6, None])) for s in "aab" for _ in range(rng.randrange(900, 1100))] + [("c", 4.0), ("d", 1.0), ("d", 2.0)]
+    df = spark.createDataFrame([(s, None if v is None else float(v)) for s, v in rows], "s string, v double")
+    want = {s: float(np.median([v for t, v in rows if t == s and v is not None])) for s in "abcd"}
+    assert {r["s"]: r["median"] for r in ticks.exact_median(df, "v", by=["s"]).collect()} == pytest.approx(want)
+    assert ticks.exact_median(df, "v", by=[]).first()["median"] == pytest.approx(float(np.median([v for _, v in rows if v is not None])))
+
+
+def test_level_cusum_across_blocks(spark, monkeypatch):
+    """Blocks of pairs give what all pairs give, the first of equals included."""
+    monkeypatch.setattr(breaks, "PAIRED", 7)
+    y = [0.0, 1.0, 1.0, 3.0, 2.0] + [float((i * 7) % 11) for i in range(40)]
+    got = column(breaks.level_cusum(series(spark, y), "x", by=BY, order=ORDER), "reference")
+    stat = column(breaks.level_cusum(series(spark, y), "x", by=BY, order=ORDER), "statistic")
+    for i in range(1, len(y)):
+        sigma = math.sqrt(np.mean(np.diff(y[: i + 1]) ** 2))
+        if sigma > 0:
+            all_ = [(y[i] - y[j]) / (sigma * math.sqrt(i - j)) for j in range(i)]
+            assert stat[i] == pytest.approx(max(all_)) and got[i] == int(np.argmax(all_))

@@ -105,18 +105,36 @@ def level_cusum(series: DataFrame, y: str, *, by: list[str], order: list[str], b
 
     For each row, over all earlier ones, (y - y_ref) / (sigma * sqrt(elapsed)), sigma being the root
     mean square change so far; its critical value sqrt(b + ln(elapsed)) belongs to that reference
-    alone, the first of equals. The pairs are a join within a series, aggregated at once. Adds sigma,
-    statistic, critical, reference, elapsed, crossed; null where sigma is zero.
+    alone, the first of equals. A series is cut into blocks of PAIRED rows; each block of later rows
+    meets each block of earlier ones, a task's row by series and earlier block, and leaves one row for
+    each later row. Adds sigma, statistic, critical, reference, elapsed, crossed; null where sigma is zero.
     """
     if b <= 0:
         raise ValueError("b must be positive")
     at = ordered(by, order)
     x = series.filter(F.col(y).isNotNull()).withColumns({"__i": F.row_number().over(at), "__d": F.col(y) - F.lag(y).over(at)})
     x = x.withColumn("sigma", F.sqrt(F.avg(F.col("__d") * F.col("__d")).over(running(by, order))))
-    ref = x.select(*by, F.col("__i").alias("__j"), F.col(y).alias("__y"))
-    s = (F.col(y) - F.col("__y")) / (F.col("sigma") * F.sqrt(F.col("__i") - F.col("__j")))
-    pairs = x.filter("sigma > 0").select(*by, "__i", y, "sigma").join(ref, by).filter("__j < __i")
-    top = pairs.groupBy(*by, "__i").agg(F.max_by(F.struct(s.alias("statistic"), F.col("__j").alias("j")), F.struct(s, -F.col("__j"))).alias("__m"))
+    block = F.floor((F.col("__i") - 1) / PAIRED).cast("int")
+    columns = lambda c, *names: [F.col(f"{c}.{n}").alias(f"{c}_{n}") for n in names]
+    early = x.groupBy(*by, block.alias("__early")).agg(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), F.col(y).cast("double").alias("y")))).alias("a")).select(*by, "__early", *columns("a", "i", "y"))
+    late = x.filter("sigma > 0").groupBy(*by, block.alias("__late")).agg(F.collect_list(F.struct(F.col("__i").alias("i"), F.col(y).cast("double").alias("y"), F.col("sigma").alias("s"))).alias("z"))
+    late = late.withColumn("__early", F.explode(F.sequence(F.lit(0), "__late"))).select(*by, "__early", *columns("z", "i", "y", "s"))
+    met = late.join(early, [*by, "__early"]).select(*by, "z_i", "z_y", "z_s", "a_i", "a_y")
+
+    def greatest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                zi, zy, zs, ai, ay = (np.asarray(v) for v in row[-5:])
+                elapsed = zi[:, None] - ai[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    stat = np.where(elapsed > 0, (zy[:, None] - ay[None, :]) / (zs[:, None] * np.sqrt(np.maximum(elapsed, 1))), -np.inf)
+                best = stat.argmax(axis=1)  # the first of equals
+                top = stat[np.arange(len(zi)), best]
+                some = np.isfinite(top)
+                yield pd.DataFrame({**{c: [v] * int(some.sum()) for c, v in zip(by, row, strict=False)}, "__i": zi[some], "statistic": top[some], "j": ai[best[some]]})
+
+    each = met.mapInPandas(greatest, f"{_keys(x, by)}, __i int, statistic double, j int")
+    top = each.groupBy(*by, "__i").agg(F.max_by(F.struct("statistic", "j"), F.struct("statistic", -F.col("j"))).alias("__m"))
     out = x.join(top, [*by, "__i"], "left").withColumns({"statistic": F.col("__m.statistic"), "reference": F.col("__m.j") - 1, "elapsed": F.col("__i") - F.col("__m.j")})
     out = out.withColumn("critical", F.sqrt(F.lit(b) + F.ln("elapsed")))
     return out.withColumn("crossed", F.coalesce(F.col("statistic") > F.col("critical"), F.lit(False))).drop("__i", "__d", "__m")
@@ -168,27 +186,30 @@ TRENDS = {
 }
 
 
-#: Endpoints to a task: windows of one series are spread over tasks by blocks of their ends.
-BLOCK = 64
+#: Endpoints to a block at least, and blocks of a series at most, which bounds how often its values are copied.
+BLOCK, BLOCKS = 64, 1024
+#: Rows of a series to each side of a block of pairs.
+PAIRED = 512
 
 
 def _by_endpoint(series: DataFrame, y: str, by: list[str], order: list[str], schema: str, run) -> DataFrame:
-    """run(values, ends) for blocks of end places, each a task's own; a series' values go along as one array.
+    """run(values, ends) for blocks of end places, each a task's own; a series' values go along as one array, BLOCKS times at most.
 
     Work grows with the square of a series' length, so blocks are spread evenly by hash, not by series.
     """
     clean = series.withColumn(y, finite(F.col(y))).filter(F.col(y).isNotNull())
     arrays = clean.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(y).alias("__y")))).alias("__s"))
-    blocks = arrays.withColumn("__b", F.explode(F.sequence(F.lit(0), F.floor((F.size("__s") - 1) / BLOCK).cast("int"))))
-    spread = blocks.select(*by, F.col("__s.__y").alias("__y"), "__b").repartition(*by, "__b")
+    arrays = arrays.withColumn("__ends", F.greatest(F.lit(BLOCK), F.ceil(F.size("__s") / BLOCKS)).cast("int"))
+    blocks = arrays.withColumn("__b", F.explode(F.sequence(F.lit(0), F.floor((F.size("__s") - 1) / F.col("__ends")).cast("int"))))
+    spread = blocks.select(*by, F.col("__s.__y").alias("__y"), "__ends", "__b").repartition(*by, "__b")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                v = np.asarray(row[-2], float)
-                out = run(v, range(row[-1] * BLOCK, min((row[-1] + 1) * BLOCK, len(v))))
+                v, size = np.asarray(row[-3], float), row[-2]
+                out = run(v, range(row[-1] * size, min((row[-1] + 1) * size, len(v))))
                 if out:
-                    yield pd.DataFrame([{**dict(zip(by, row[:-2], strict=True)), **o} for o in out])
+                    yield pd.DataFrame([{**dict(zip(by, row[:-3], strict=True)), **o} for o in out])
 
     return spread.mapInPandas(each, f"{_keys(clean, by)}, {schema}")
 

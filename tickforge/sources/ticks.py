@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import micros, need, ordered, ratio, regular_hours, true
 
@@ -61,13 +62,33 @@ def by_timestamp(ticks: DataFrame, *, by: list[str], at: str, order: list[str],
     return x.withColumn("price", ratio(F.col("dollar_vol"), F.col("vol")))
 
 
+def exact_median(df: DataFrame, x: str, *, by: list[str]) -> DataFrame:
+    """(series, median) of the values that are not null, exact, with no series' values in one place.
+
+    Approximate quantiles just around the middle give a narrow range; what lies below is counted, and
+    only the distinct values within it are put in order with their counts.
+    """
+    on = lambda a, b: a.join(b, by) if by else a.crossJoin(F.broadcast(b))
+    own = df.select(*by, F.col(x).alias("__x")).filter("__x is not null")
+    ends = own.groupBy(*by).agg(F.percentile_approx("__x", [0.499, 0.501], 10_000).alias("__e"))
+    counted = on(own, ends).withColumns({"__low": F.col("__x") < F.col("__e")[0], "__in": F.col("__x").between(F.col("__e")[0], F.col("__e")[1])})
+    whole = counted.groupBy(*by).agg(F.count("*").alias("__n"), F.sum(F.col("__low").cast("long")).alias("__below"))
+    values = counted.filter("__in").groupBy(*by, "__x").agg(F.count("*").alias("__many"))
+    w = Window.partitionBy(*by).orderBy("__x")
+    placed = on(values.withColumn("__upto", F.sum("__many").over(w)), whole).withColumn("__last", F.col("__below") + F.col("__upto"))
+    at = lambda place: (F.col("__last") >= place) & (F.col("__last") - F.col("__many") < place)
+    a, b = F.expr("(__n + 1) div 2"), F.expr("__n div 2 + 1")
+    middle = (F.max(F.when(at(a), F.col("__x"))) + F.max(F.when(at(b), F.col("__x")))) / 2
+    return placed.groupBy(*by).agg(middle.alias("median"))
+
+
 def mad_scores(df: DataFrame, x: str, *, by: list[str]) -> DataFrame:
     """df with score = 0.6745 |x - median| / MAD, exact medians by series; null where the MAD is 0."""
-    mid = df.groupBy(*by).agg(F.median(x).alias("__med"))
-    y = df.join(mid, by) if by else df.crossJoin(mid)
+    mid = exact_median(df, x, by=by).withColumnRenamed("median", "__med")
+    y = df.join(mid, by) if by else df.crossJoin(F.broadcast(mid))
     y = y.withColumn("__dev", F.abs(F.col(x) - F.col("__med")))
-    mad = y.groupBy(*by).agg(F.median("__dev").alias("__mad"))
-    y = y.join(mad, by) if by else y.crossJoin(mad)
+    mad = exact_median(y, "__dev", by=by).withColumnRenamed("median", "__mad")
+    y = y.join(mad, by) if by else y.crossJoin(F.broadcast(mad))
     return y.withColumn("score", ratio(F.lit(0.6745) * F.col("__dev"), F.col("__mad"))).drop("__med", "__dev", "__mad")
 
 
