@@ -62,13 +62,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written by materialise() in this process, in order.
+WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession, begin: int) -> None:
+    """Deletes tables written from place `begin` of WRITTEN on, but for the last: what a caller needs no more."""
+    for path in WRITTEN[begin:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del WRITTEN[begin:-1]
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, survives lost executors.
 
-    The files stay under <spark.checkpoint.dir>/llm/ until that folder is cleared.
+    The files stay under <spark.checkpoint.dir>/llm/ until discard() or whoever clears that folder.
     """
     path = f"{shared_dir(df.sparkSession)}/llm/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

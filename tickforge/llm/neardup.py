@@ -283,7 +283,12 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -
 
     Texts link where the Jaccard similarity of their word shingles is `similarity` at least, as the
     sets themselves tell. Candidates are texts that agree in a MinHash band. In each band's group all
-    are first compared with one, then those that this left in different components with each other.
+    are first compared with one, the text that meets most others in all its bands, then with a second
+    such of another component; only members that this left in different components meet each other.
+
+    Null and empty texts have one and the same set; texts of fewer words than a shingle are one
+    shingle; copies of a text are one node; repeated rows and null ids stay; texts are taken whole;
+    an empty table gives none; other columns, whatever their names, are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("fp", F.xxhash64("text"))
 
@@ -298,22 +303,40 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -
     marked = materialise(map_rows(own, sketch, "doc_id long, fp long, keys array<long>"), "sketches")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "nodes")
     keyed = nodes.select("fp", F.posexplode("keys").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("fp").alias("head")).filter("n > 1")
-    met = materialise(keyed.join(shared, ["band", "key"]).select("band", "key", "fp", "head"), "met")
+    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    pairs = materialise(keyed.join(shared, ["band", "key"]), "pairs")
+    known = materialise(pairs.join(pairs.groupBy("fp").agg(F.sum("n").alias("met")), "fp").select("band", "key", "fp", "met"), "met")
     # The text of a node is that of its rows with the least id, so copies do not meet in one task.
-    wanted = nodes.join(met.select("fp").distinct(), "fp").select(F.col("fp").alias("__fp"), "least")
+    wanted = nodes.join(known.select("fp").distinct(), "fp").select(F.col("fp").alias("__fp"), "least")
     texts = own.join(wanted, (own["fp"] == wanted["__fp"]) & own["doc_id"].eqNullSafe(wanted["least"]), "left_semi").select("fp", "text").dropDuplicates(["fp"])
     sets = materialise(map_rows(texts, found, "fp long, found binary", batch=50), "sets")
 
-    first = _similar(met.filter("fp != head").select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct(), sets, similarity)
-    roots = components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "fp"})
-    known = materialise(met.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
-    parted = known.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band", "key")
-    left = known.join(parted, ["band", "key"], "left_semi")
-    x = left.filter("fp != head").select("band", "key", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    y = left.filter("fp != head").select("band", "key", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    others = x.join(y, ["band", "key"]).filter("a < b and ra != rb").select("a", "b").distinct()
-    links_ = first.unionByName(_similar(others, sets, similarity))
+    most = lambda where: F.max_by("fp", F.when(where, F.struct("met", -F.col("fp"))))
+
+    def star(heads: DataFrame) -> DataFrame:
+        """Links between each group's head and its members that are not yet in the head's component."""
+        apart = rooted.join(heads, ["band", "key"]).filter("fp != head and root != head_root")
+        return _similar(apart.select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct(), sets, similarity)
+
+    def with_roots(found: DataFrame) -> DataFrame:
+        roots = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "fp"})
+        return materialise(known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+    rooted = known.withColumn("root", F.col("fp"))
+    heads = known.groupBy("band", "key").agg(most(F.lit(True)).alias("head")).withColumn("head_root", F.col("head"))
+    links_ = star(heads)
+    rooted = with_roots(links_)
+    first = heads.select("band", "key", F.col("head").alias("fp")).join(rooted, ["band", "key", "fp"]).select("band", "key", F.col("root").alias("first"))
+    others = rooted.join(first, ["band", "key"]).groupBy("band", "key").agg(most(F.col("root") != F.col("first")).alias("fp")).filter("fp is not null")
+    seconds = others.join(rooted, ["band", "key", "fp"]).select("band", "key", F.col("fp").alias("head"), F.col("root").alias("head_root"))
+    links_ = links_.unionByName(star(seconds))
+    rooted = with_roots(links_)
+    parted = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band", "key")
+    left = rooted.join(parted, ["band", "key"], "left_semi")
+    x = left.select("band", "key", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    y = left.select("band", "key", F.col("fp").alias("b"), F.col("root").alias("rb"))
+    rest = x.join(y, ["band", "key"]).filter("a < b and ra != rb").select("a", "b").distinct()
+    links_ = links_.unionByName(_similar(rest, sets, similarity))
     classes = materialise(_classes(nodes.select("fp", "least"), links_), "classes")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "component_fp")
 
