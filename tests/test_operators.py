@@ -742,3 +742,19 @@ def test_level_cusum_across_blocks(spark, monkeypatch):
         if sigma > 0:
             all_ = [(y[i] - y[j]) / (sigma * math.sqrt(i - j)) for j in range(i)]
             assert stat[i] == pytest.approx(max(all_)) and got[i] == int(np.argmax(all_))
+
+
+def test_slope_tests(spark):
+    """p-values against known ones of Student's distribution, and a whole regression."""
+    from tickforge.functions import stats
+
+    for t, free, p in ((2.0, 10, 0.07338803477074), (1.0, 1, 0.5), (2.5, 7, 0.04099221858575), (3.1, 25, 0.00474253144799)):
+        assert stats.student_p(t, free) == pytest.approx(p, rel=1e-9) and stats.student_p(-t, free) == stats.student_p(t, free)
+    assert stats.student_p(0.0, 5) == 1.0 and math.isnan(stats.student_p(math.nan, 5))
+    x = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    y = [2.1, 3.9, 6.2, 7.8, 10.1, 11.7]
+    row = stats.regression_tests(spark.createDataFrame(list(zip(x, y, strict=True)), "x double, y double"), "y", "x", by=[]).first()
+    fit = np.polyfit(x, y, 1)
+    rest = np.asarray(y) - np.polyval(fit, x)
+    se = math.sqrt((rest @ rest) / 4 / np.sum((np.asarray(x) - 3.5) ** 2))
+    assert row["n"] == 6 and row["t"] == pytest.approx(fit[0] / se) and row["p_value"] == pytest.approx(stats.student_p(fit[0] / se, 4))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +59,38 @@ def regression(df: DataFrame, y: str, x: str, *, by: list[str]) -> DataFrame:
     a, b = F.col(y).cast("double"), F.col(x).cast("double")
     g = df.groupBy(*by).agg(F.regr_slope(a, b).alias("beta"), F.regr_intercept(a, b).alias("alpha"), F.regr_r2(a, b).alias("r2"), F.regr_syy(a, b).alias("__s"), F.regr_count(a, b).alias("__n"))
     return g.withColumn("residual_std", F.sqrt(F.col("__s") * (1 - F.col("r2")) / (F.col("__n") - 2))).drop("__s", "__n")
+
+
+def student_p(t: float, free: int) -> float:
+    """Two-sided p-value of a t statistic with `free` degrees of freedom, by the finite series of its angle.
+
+    Above 100,000 degrees the normal tail with its first correction stands in, which differs by less than 1e-9.
+    """
+    if t != t or free < 1:
+        return math.nan
+    if free > 100_000:
+        return math.erfc(abs(t) * (1 - 1 / (4 * free)) / math.sqrt(1 + t * t / (2 * free)) / math.sqrt(2))
+    angle = math.atan(abs(t) / math.sqrt(free))
+    sine, cosine = math.sin(angle), math.cos(angle)
+    odd = free % 2
+    term, total = cosine if odd else 1.0, 0.0
+    for k in range(1 + odd, free, 2):  # powers of the cosine up to free - 2
+        total += term
+        term *= cosine * cosine * k / (k + 1)
+    inside = 2 / math.pi * (angle + sine * total) if odd else sine * total
+    return min(1.0, max(0.0, 1.0 - inside))
+
+
+def regression_tests(df: DataFrame, y: str, x: str, *, by: list[str]) -> DataFrame:
+    """regression() with n, the slope's standard error, t statistic and two-sided p-value. One small row a series meets Python."""
+    a, b = F.col(y).cast("double"), F.col(x).cast("double")
+    spread = df.groupBy(*by).agg(F.regr_sxx(a, b).alias("__sxx"), F.regr_count(a, b).alias("n"))
+    fit = regression(df, y, x, by=by)
+    own = fit.join(spread, by) if by else fit.crossJoin(F.broadcast(spread))
+    own = own.withColumn("beta_se", F.col("residual_std") / F.sqrt("__sxx")).withColumn("t", F.try_divide("beta", "beta_se")).drop("__sxx")
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, free: pd.Series) -> pd.Series:
+        return pd.Series([student_p(u, int(v)) for u, v in zip(t, free, strict=True)], dtype=float)
+
+    return own.withColumn("p_value", p(F.col("t"), (F.col("n") - 2).cast("double")))

@@ -78,7 +78,7 @@ def expanding(series: DataFrame, x: str, d: float, *, by: list[str], order: list
         n = len(v)
         w = np.array(binomial_weights(d, n))
         size = 1 << (2 * n).bit_length()
-        out = np.fft.irfft(np.fft.rfft(v, size) * np.fft.rfft(w, size), size)[:n] if n > 2048 else np.convolve(v, w)[:n]
+        out = np.fft.irfft(np.fft.rfft(v, size) * np.fft.rfft(w, size), size)[:n]
         share = np.cumsum(np.abs(w[::-1])) / np.abs(w).sum()  # of the weights from the oldest on
         skip = int((share > tau).sum())
         return pdf.iloc[skip:][keep].assign(**{name: out[skip:]})

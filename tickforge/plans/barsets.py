@@ -123,7 +123,10 @@ def bars_imbalance(spark, sf):
     return bars.imbalance_bars(x, by=BY, order=ORDER, first=20).select("series_id", "seq")
 
 
-@query()
+_PCA = f"{views.PANEL}, wide AS (SELECT week, ln(max(price) FILTER (asset='1-URGENT')) AS la, ln(max(price) FILTER (asset='2-HIGH')) AS lb FROM panel GROUP BY 1), ab AS (SELECT week, la-lag(la) OVER (ORDER BY week) AS a, lb-lag(lb) OVER (ORDER BY week) AS b FROM wide), m AS (SELECT *, var_samp(a) OVER w AS va, var_samp(b) OVER w AS vb, covar_samp(a,b) OVER w AS c, count(a+b) OVER w AS n FROM ab WINDOW w AS (ORDER BY week ROWS 51 PRECEDING)), e AS (SELECT *, (va+vb)/2-sqrt(((va-vb)/2)*((va-vb)/2)+c*c)-va AS y FROM m), u AS (SELECT *, CASE WHEN n=52 AND abs(c)+abs(y)>0 THEN c/(abs(c)+abs(y)) END AS wa, CASE WHEN n=52 AND abs(c)+abs(y)>0 THEN y/(abs(c)+abs(y)) END AS wb FROM e), l AS (SELECT week, a, b, lag(wa) OVER (ORDER BY week) AS wa, lag(wb) OVER (ORDER BY week) AS wb FROM u), r AS (SELECT *, wa*a+wb*b AS ret FROM l)"
+
+
+@query(f"WITH {_PCA} SELECT week, {q('a')} AS a, {q('b')} AS b, {q('wa')} AS weight_a, {q('wb')} AS weight_b, {q('ret')} AS spread_return, {q('exp(sum(coalesce(ln(1+ret),0)) OVER (ORDER BY week))')} AS spread FROM r", dates=("week",))
 def spread_weights(spark, sf):
     x = views.panel(spark, sf).groupBy("week").pivot("asset", ["1-URGENT", "2-HIGH"]).agg(F.first("price")).withColumn("k", F.lit(1))
     w = C.ordered(["k"], ["week"])

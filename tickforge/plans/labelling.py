@@ -317,13 +317,16 @@ def features_at_events(spark, sf):
     return rounded(out, "change")
 
 
-@query()
+@query(f"WITH RECURSIVE {views.TICKS}, p AS MATERIALIZED (SELECT series_id, seq, ln(price) AS p, row_number() OVER {_W} AS i, count(*) OVER (PARTITION BY series_id) AS n FROM ticks), wt AS (SELECT 0 AS k, 1.0::DOUBLE AS w UNION ALL SELECT k+1, -w*(0.4::DOUBLE-k)/(k+1) FROM wt WHERE k+1<(SELECT max(n) FROM p)), cw AS MATERIALIZED (SELECT k, w, sum(abs(w)) OVER (ORDER BY k) AS c FROM wt), s AS (SELECT series_id, count(*) FILTER ((t.c-cw.c+abs(cw.w))/t.c>0.05) AS skip FROM (SELECT DISTINCT series_id, n FROM p) x JOIN cw t ON t.k=x.n-1 JOIN cw ON cw.k<x.n GROUP BY 1) SELECT a.series_id, a.seq, {q('sum(b.p*w)')} AS diff FROM p a JOIN s USING(series_id) JOIN p b ON b.series_id=a.series_id AND b.i<=a.i JOIN cw ON cw.k=a.i-b.i WHERE a.i>skip GROUP BY 1,2")
 def fracdiff_expanding(spark, sf):
     x = views.ticks(spark, sf).withColumn("p", F.ln("price"))
     return rounded(fracdiff.expanding(x, "p", 0.4, by=BY, order=ORDER, tau=0.05).select("series_id", "seq", "diff"), "diff")
 
 
-@query()
+_ADF = f"{views.TICKS}, d AS (SELECT series_id, lag(p) OVER w AS a, p-lag(p) OVER w AS z, lag(p) OVER w-lag(p,2) OVER w AS b FROM (SELECT *, ln(price) AS p FROM ticks) WINDOW w AS {_W}), m AS (SELECT series_id, count(*) AS n, regr_sxx(z,a) AS aa, regr_sxx(z,b) AS bb, regr_sxy(b,a) AS ab, regr_sxy(z,a) AS az, regr_sxy(z,b) AS bz, regr_syy(z,a) AS zz FROM d WHERE b IS NOT NULL GROUP BY 1), f AS (SELECT *, aa*bb-ab*ab AS det FROM m), g AS (SELECT *, (az*bb-bz*ab)/det AS beta, (bz*aa-az*ab)/det AS gamma FROM f), t AS (SELECT *, beta/sqrt((zz-beta*az-gamma*bz)/(n-3)*bb/det) AS t, -2.86154::DOUBLE-2.8903::DOUBLE/n-4.234::DOUBLE/n/n-40.040::DOUBLE/n/n/n AS c FROM g)"
+
+
+@query(f"WITH {_ADF} SELECT series_id, {q('t')} AS statistic, 1 AS lags, n, {q('c')} AS critical, t<c AS stationary FROM t")
 def adf_tests(spark, sf):
     x = views.ticks(spark, sf).withColumn("p", F.ln("price"))
     return rounded(fracdiff.adf_test(x, "p", by=BY, order=ORDER, lags=1), "statistic", "critical")

@@ -55,7 +55,14 @@ def gaussian_entropy(spark, sf):
     return rounded(entropy.gaussian_entropy(_returns(spark, sf), "r", by=BY), "entropy")
 
 
-@query()
+def _match_rates(codes: str, n_blocks: int, window: int) -> str:
+    """Match-length entropy of blocks in SQL: at each lag the run of equal symbols from each place, the longest over the lags."""
+    return f"""k0 AS (SELECT *, row_number() OVER {_W} AS ii, count(*) OVER (PARTITION BY series_id) AS nn FROM ({codes})), k1 AS MATERIALIZED (SELECT series_id, (ii-nn%{n_blocks}-1)//(nn//{n_blocks}) AS block, code, row_number() OVER (PARTITION BY series_id, (ii-nn%{n_blocks}-1)//(nn//{n_blocks}) ORDER BY ts, seq)-1 AS i, nn//{n_blocks} AS m FROM k0 WHERE ii>nn%{n_blocks}),
+ k2 AS (SELECT *, least({window}, m//2) AS n FROM k1), lags AS (SELECT unnest(range(1,{window + 1})) AS l), d AS (SELECT a.series_id, a.block, a.i, a.m, a.n, l, CASE WHEN b.code IS NULL OR a.code<>b.code THEN a.i END AS stop FROM k2 a JOIN lags ON l<=a.n AND a.i+l<=a.m LEFT JOIN k1 b ON b.series_id=a.series_id AND b.block=a.block AND b.i=a.i+l),
+ runs AS (SELECT *, coalesce(min(stop) OVER (PARTITION BY series_id, block, l ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), m-l)-i AS run FROM d), best AS (SELECT series_id, block, i+l AS place, n, max(least(run,n)) AS best FROM runs WHERE i+l>=n AND i+l<=m-n GROUP BY ALL), rate AS (SELECT series_id, block, avg(log2(n+1)/(best+1)) AS rate FROM best GROUP BY 1,2), letters AS (SELECT series_id, block, count(DISTINCT code) AS a FROM k1 GROUP BY 1,2)"""
+
+
+@query(f"WITH {_RET}, {_match_rates('SELECT series_id, ts, seq, (r>0)::INT AS code FROM x WHERE r<>0', 8, 40)} SELECT series_id, block, {q('rate')} AS entropy, {q('CASE WHEN a>1 THEN 1-rate/log2(a) END')} AS redundancy FROM rate JOIN letters USING(series_id,block)")
 def kontoyiannis(spark, sf):
     x = entropy.encode_binary(_returns(spark, sf), "r")
     x = entropy.blocks(x.withColumn("k", F.lit(1)), 8, by=BY, order=ORDER)
@@ -75,7 +82,7 @@ def encode_product(spark, sf):
     return entropy.encode_product(x, "r", by=BY, order=ORDER).select("series_id", "seq", "code")
 
 
-@query()
+@query(f"WITH {_RET}, {_match_rates(f'SELECT * FROM (SELECT series_id, ts, seq, (r*lag(r) OVER {_W}>=0)::INT AS code FROM x) WHERE code IS NOT NULL', 12, 30)}, g AS (SELECT series_id, block, code, count(*) AS k FROM k1 GROUP BY 1,2,3), sh AS (SELECT *, k/sum(k) OVER (PARTITION BY series_id, block) AS p FROM g), pl AS (SELECT series_id, block, -sum(p*log2(p)) AS entropy FROM sh GROUP BY 1,2) SELECT series_id, {q('corr(entropy,rate)', 4)} AS correlation FROM pl JOIN rate USING(series_id,block) GROUP BY 1")
 def entropy_correlation(spark, sf):
     """Plug-in against match-length entropy of blocks of a series, and their correlation."""
     x = entropy.encode_product(_returns(spark, sf).filter("r is not null"), "r", by=BY, order=ORDER)
