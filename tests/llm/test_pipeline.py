@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("tickforge.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -144,3 +145,26 @@ def test_run_is_the_stages(spark, sf, steps):
     got = Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows(corpus_pipeline.run(spark, sf)))
     assert got == Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in steps["pack"])
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_of_odd_tables(spark, sf):
+    """Each stage alone: an empty table, nulls in every column, empty and very long texts, rows alike, ties and clashing columns."""
+    long = " ".join(f"word{i % 3000}of{i // 11}" for i in range(40_000)) + " write to a@b.cd"
+    rows = [(1, long, "en", "s1", 9), (1, long, "en", "s1", 9), (2, "", "de", None, 0), (3, None, None, "s2", None), (None, "mail jo@ex.org or mail", None, "s2", 1), (None, None, None, None, None), (4, "   ", "en", "s1", 3)]
+    extra = ["text_hash", "k1", "spans", "copies", "quality", "column 0"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in extra})
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, docs, sf), stage(spark, docs.limit(0), sf)
+        assert none.count() == 0
+        if name == "pack":
+            assert sum(r["piece"] == 0 for r in got.collect()) == len(rows)
+            continue
+        assert got.columns == docs.columns
+        out = got.collect()
+        assert all(r[c] == c for r in out for c in extra)
+        if name == "near_dedup":
+            assert sorted(str(r["doc_id"]) for r in out) == ["1", "2", "None"]
+        elif name == "pii":
+            assert len(out) == len(rows) and sum("<email>" in (r["text"] or "") for r in out) == 3
+        elif name == "mix":
+            assert max(Counter(r["doc_id"] for r in out).values(), default=0) <= 4
