@@ -39,7 +39,9 @@ def format_chats(rows: DataFrame) -> DataFrame:
     the last reply, or there is none, a last example holds all turns and an empty span, so that
     nothing is lost. Null text or role: empty. Turns stand by turn (null first), ties by role and
     text; repeated rows stay. A null conv_id is a conversation of its own; an empty table gives none.
-    A conversation is gathered in one row, as any example of it must be.
+    A conversation is gathered in one row, as any example of it must be, so its length is bound by a
+    row's 2 GB, and its examples take the square of its replies. Other columns, whatever their names,
+    are ignored.
 
     Returns conv_id, example, formatted, loss_start, loss_end.
     """

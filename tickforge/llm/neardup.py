@@ -195,7 +195,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2, keep:
     component_id is the least doc_id of the component (null if all its ids are), component_fp the
     fingerprint of that document, which no other component has. Every row is
     fingerprinted; equal fingerprints count as one node, so copies make no pairs. Null and empty
-    texts have fingerprint zero and link like any other; repeated rows stay; an empty table gives none.
+    texts have fingerprint zero and link like any other; texts are taken whole, 65,536 shingles at a
+    time; repeated rows and null ids stay; an empty table gives none; columns not in `keep` are
+    ignored, whatever their names.
     """
     marked = materialise(fingerprints(docs, shingle, keep), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
