@@ -18,6 +18,8 @@ from .common import map_rows, materialise
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text for which both engines must agree before the faster one is used.
 PROBE = "It's 3.5  caf\u00e9s\n\n\t\u00a0 \u3000\u65e5\u672c \U0001f600 don't<|endoftext|> x_y--z \u0661\u00b2 "
+#: Sequences' worth of tokens that one task of the second pass packs.
+GATHERED = 1024
 _LONG_RUN = re.compile(r"\S{4000}|\s{4000}")
 
 
@@ -198,7 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, ope
     first = materialise(map_rows(own, once, schema), "packed")
     left = first.filter("sequence_id is null")
     tokens = left.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    groups = max(1, -(-tokens // (capacity * 4096)))
-    gathered = left.repartition(groups, F.pmod("task", F.lit(groups))).sortWithinPartitions("task", "row")
+    groups = max(1, -(-tokens // (capacity * GATHERED)))
+    gathered = left.repartitionById(groups, F.pmod("task", F.lit(groups))).sortWithinPartitions("task", "row")
     second = map_rows(gathered.select(*_NAMES[:5]), again, schema)
     return first.filter("sequence_id is not null").unionByName(second).drop("task", "row")
