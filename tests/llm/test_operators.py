@@ -396,6 +396,25 @@ def test_lm_beats_the_base_on_held_out(spark):
     assert rows[0] > rows[1] + 0.3
 
 
+def test_lm_segments():
+    """Segments of any size give the scores of one traversal, texts and states carried across their edges."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vocabulary = np.sort(np.array([lm.START, lm.END, 5, 77, 1 << 40, 1 << 50], np.uint64))
+    lengths = np.array([1, 7, 30, 2, 60])
+    tokens = rng.integers(0, 6, lengths.sum())
+    b = lm.Bigrams(vocabulary, tokens, lengths)
+    m = lm.BackoffAutomaton(100, 5, 0.5, 0.5, 1.0)
+    m.build(b, rng.integers(0, 30, 6), rng.integers(0, 30, 6), rng.integers(0, 3, len(b.codes)))
+    first = int(np.searchsorted(vocabulary, np.uint64(lm.START)))
+    whole = [m.traverse(m.arcs(0, 100), first, tokens[s : s + n].tolist())[1] for s, n in zip(b.starts, lengths, strict=True)]
+    for size in (1, 3, 10, 1000):
+        lm.SEGMENT, before = size, lm.SEGMENT
+        assert m.scores(first, lengths.tolist()) == pytest.approx(whole, rel=1e-12)
+        lm.SEGMENT = before
+
+
 def test_lm_odd_rows(spark):
     docs = odd_docs(spark)
     held = F.col("doc_id") % 4 == 2

@@ -17,6 +17,8 @@ from .common import cuts, delta, lower_words, map_parts, map_rows, materialise,
 END, START = xxhash.xxh64_intdigest(b""), xxhash.xxh64_intdigest(b"\n")
 #: Tokens to a chunk of documents, which bounds a task's memory.
 CHUNK = 500_000
+#: Tokens whose arcs are held at once, whatever a text's length.
+SEGMENT = 100_000
 
 
 class Bigrams:
@@ -69,28 +71,47 @@ class BackoffAutomaton:
     def build(self, b: Bigrams, counts: np.ndarray, histories: np.ndarray, pairs: np.ndarray) -> None:
         """The part of the automaton that a chunk's tokens can reach; state i is the history of word i.
 
-        arcs are keyed by state * size + word; an arc leads to the state of its word.
+        Arcs are keyed by state * size + word; an arc leads to the state of its word.
         """
-        p, self.size = self.root(counts), len(b.vocabulary)
+        p, self.tokens, self.size = self.root(counts), b, len(b.vocabulary)
         share = self.top * histories / (histories + self.slack)
-        seen = pairs > 0
-        codes, pairs = b.codes[seen], pairs[seen]
-        v, w = codes // self.size, codes % self.size
-        arc = share[v] * pairs / histories[v] + (1 - share[v]) * p[w]
-        self.arcs = dict(zip(codes.tolist(), np.log10(arc).tolist(), strict=True))
+        v, w = b.codes // self.size, b.codes % self.size
+        self.seen = pairs > 0
+        self.weights = np.log10(np.where(self.seen, share[v] * pairs / np.maximum(histories[v], 1) + (1 - share[v]) * p[w], 1.0))
         self.from_root, self.failure = np.log10(p).tolist(), np.log10(1 - share).tolist()
 
-    def traverse(self, state: int, tokens: list[int]) -> float:
-        """Log10 probability of a text: read from left to right, the state carried from token to token."""
-        arcs, from_root, failure, size, total = self.arcs, self.from_root, self.failure, self.size, 0.0
-        for word in tokens:
+    def arcs(self, begin: int, end: int) -> dict[int, float]:
+        """The arcs that tokens begin .. end - 1 may take."""
+        own = np.unique(self.tokens.which[begin:end])
+        own = own[self.seen[own]]
+        return dict(zip(self.tokens.codes[own].tolist(), self.weights[own].tolist(), strict=True))
+
+    def traverse(self, arcs: dict[int, float], state: int, words: list[int], total: float = 0.0) -> tuple[int, float]:
+        """State and log10 probability after words are read from left to right, the state carried from word to word."""
+        from_root, failure, size = self.from_root, self.failure, self.size
+        for word in words:
             arc = arcs.get(state * size + word)
             if arc is None:  # the failure arc, then the root's own arc
                 total += failure[state]
                 arc = from_root[word]
             total += arc
             state = word
-        return total
+        return state, total
+
+    def scores(self, first: int, lengths: list[int]) -> list[float]:
+        """Log10 probability of each of the chunk's texts, from state `first`; SEGMENT tokens' arcs are held at once."""
+        out, doc, state, left = [0.0] * len(lengths), 0, first, lengths[0]
+        for begin in range(0, len(self.tokens.tokens), SEGMENT):
+            arcs = self.arcs(begin, begin + SEGMENT)
+            words, at = self.tokens.tokens[begin : begin + SEGMENT].tolist(), 0
+            while at < len(words):
+                many = min(left, len(words) - at)
+                state, out[doc] = self.traverse(arcs, state, words[at : at + many], out[doc])
+                at, left = at + many, left - many
+                if not left:
+                    doc, state = doc + 1, first
+                    left = lengths[doc] if doc < len(lengths) else 0
+        return out
 
 
 def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float = 0.5, slack: float = 1.0) -> DataFrame:
@@ -154,7 +175,7 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
 
     told = materialise(map_rows(own, chunks, "chunk string, tokens long, train long, payload binary"), "chunks")
     n_tokens, n_train = told.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train"), F.lit(0))).first()
-    n = reducers(told, n_tokens)
+    n = reducers(told, n_tokens, 2 << 20)
 
     def ask(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -203,9 +224,7 @@ def score_texts(docs: DataFrame, held_out, *, discount: float = 0.5, top: float
         counts, histories = words.copy(), words.copy()
         counts[at], histories[np.searchsorted(own.vocabulary, np.uint64(END))] = 0, 0
         model.build(own, counts, histories, pairs)
-        tokens, score = own.tokens.tolist(), [0.0] * len(lengths)
-        for i, (begin, many) in enumerate(zip(own.starts.tolist(), lengths.tolist(), strict=True)):
-            score[i] = model.traverse(at, tokens[begin : begin + many])
+        score = model.scores(at, lengths.tolist())
         base = np.log10((counts + 1) / (n_train + n_distinct + 1))[own.tokens]
         add = lambda x: np.add.reduceat(x, own.starts)
         return pd.DataFrame({"doc_id": pd.array(np.where(null == 1, None, ids.astype(object)), dtype="Int64"), "held_out": held.astype(bool), "n_tokens": lengths, "n_known": add((counts > 0)[own.tokens].astype(np.int64)), "train_tokens": n_train, "base_score": add(base), "score": score})
