@@ -283,6 +283,21 @@ def test_overlap_invariants(spark):
         assert 0 < r["uniqueness"] <= 1
 
 
+def test_indicator_sums_without_entries(spark):
+    """The entries' own sums, with times of several bars, spans without bars, null ends, an event of two spans and one picked twice."""
+    bars_ = spark.createDataFrame([("s", t) for t in range(0, 60, 2) for _ in range(1 + t % 3)] + [("t", 5)], "k string, bar long")
+    ev = spark.createDataFrame([("s", i % 28, i * 7 % 55 - 2, i * 7 % 55 + i % 9) for i in range(30)] + [("s", 40, 3, 3), ("s", 41, 80, 90), ("s", 42, 9, 4), ("t", 0, 5, 5), ("u", 0, 1, 9), ("s", 43, 2, None)], "k string, event long, t0 long, t1 long")
+    picked = spark.createDataFrame([("s", e) for e in (0, 3, 3, 6, 9, 12, 15, 18, 21, 40, 41, 42)] + [("t", 0)], "k string, event long")
+    ind = labels.indicator(bars_, ev, by=BY, at="bar", width=4)
+    want = sorted(tuple(r) for r in ind.groupBy("k", "event").agg(F.count("*"), F.min("bar")).collect())
+    u = sorted((r["k"], r["event"], round(r["uniqueness"], 9)) for r in labels.subset_uniqueness(ind, picked, by=BY, bar="bar", event="event").collect())
+    for width in (None, 7):
+        got = labels.indicator_sums(bars_, ev, by=BY, event="event", at="bar", width=width)
+        assert sorted(tuple(r) for r in got.select("k", "event", "bars", "first").collect()) == want
+        got = labels.span_uniqueness(bars_, ev, picked, by=BY, event="event", at="bar", width=width)
+        assert sorted((r["k"], r["event"], round(r["uniqueness"], 9)) for r in got.collect()) == u
+
+
 def test_sequential_draws_prefer_unique_events(spark):
     spans = spark.createDataFrame([("s", e, 0, 9) for e in range(9)] + [("s", 99, 20, 29)], "k string, e long, a long, z long")
     got = [r["e"] for r in labels.sequential_bootstrap(spans, by=BY, event="e", first="a", last="z", draws=200, seed=4).collect()]
