@@ -298,6 +298,19 @@ def test_indicator_sums_without_entries(spark):
         assert sorted((r["k"], r["event"], round(r["uniqueness"], 9)) for r in got.collect()) == u
 
 
+def test_indicator_queries_make_no_entries(spark, tmp_path):
+    """6,000 bars at 600 times and as many spans of all of them: 36 million entries of the matrix, none of them made."""
+    rows = [(i, 1_000_000 * (i % 600), 1, "view", 5.0, '{"k": 7}') for i in range(6000)]
+    spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double, props string").selectExpr("event_id", "cast(timestamp_micros(us) as timestamp_ntz) ts", "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    from tickforge.plans import registry
+
+    for name in ("indicator_matrix", "subset_uniqueness"):
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        assert "explode(sequence" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = registry.QUERIES["indicator_matrix"](spark, str(tmp_path)).collect()
+    assert all(r["bars"] == 6000 - 10 * (r["event"] % 600) and r["first"] == 1_000_000 * (r["event"] % 600) for r in got) and len(got) == 6000
+
+
 def test_sequential_draws_prefer_unique_events(spark):
     spans = spark.createDataFrame([("s", e, 0, 9) for e in range(9)] + [("s", 99, 20, 29)], "k string, e long, a long, z long")
     got = [r["e"] for r in labels.sequential_bootstrap(spans, by=BY, event="e", first="a", last="z", draws=200, seed=4).collect()]
