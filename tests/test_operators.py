@@ -253,6 +253,27 @@ def test_barriers_by_hand(spark):
     assert go(e.drop("side"), profit=2.0, loss=99.0) == {0: (3, "pt"), 2: (3, "t1")}
 
 
+def test_first_place_beyond_a_bound():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 17, 100):
+        p, low, side, bound = rng.normal(100, 5, n), rng.integers(0, n + 1, 300), rng.choice([-1.0, 1.0], 300), rng.normal(0.04, 0.06, 300)
+        p[rng.random(n) < 0.1] = np.nan
+        high = np.minimum(n, low + rng.integers(0, n + 1, 300))
+        beyond = lambda v, i: (v / 100 - 1) * side[i] > bound[i]
+        want = [next((k for k in range(low[i], high[i]) if beyond(p[k], i)), -1) for i in range(300)]
+        assert labels.PathTree(p).first(low, high, beyond).tolist() == want
+
+
+def test_barrier_paths_make_no_pairs(spark):
+    """5,000 events over paths of 5,000 bars, 25 million pairs, of which none is a row of the plan; times with bars of two prices."""
+    b = spark.range(5000).selectExpr("'s' k", "id at", "100 + id % 2 / 10.0D price").unionByName(spark.createDataFrame([("s", 4999, 200.0), ("s", 7, 50.0), ("s", 8, None)], "k string, at long, price double"))
+    e = spark.range(5000).selectExpr("'s' k", "id at", "cast(4999 as long) t1", "0.1D target")
+    out = labels.barrier_events(b, e, by=BY, at="at", price="price", profit=2.0, loss=2.0, width=100_000)
+    assert "CoGroup" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "<= __stop" not in plan
+    got = {r["at"]: (r["pt"], r["sl"], r["t_end"], r["barrier"]) for r in out.collect()}
+    assert len(got) == 5000 and got[0] == (4999, 7, 7, "sl") and got[7] == (7, 7, 7, "sl") and got[8] == (4999, None, 4999, "t1") and got[4999] == (4999, 4999, 4999, "t1")
+
+
 def test_rare_labels_go_from_the_rarest(spark):
     df = spark.createDataFrame([("s", v) for v, n in ((0, 60), (1, 36), (-1, 3), (9, 1)) for _ in range(n)], "k string, bin int")
     keep = lambda least: {r["bin"] for r in labels.drop_rare_labels(df, by=BY, least=least).collect()}
