@@ -274,6 +274,13 @@ def test_barrier_paths_make_no_pairs(spark):
     assert len(got) == 5000 and got[0] == (4999, 7, 7, "sl") and got[7] == (7, 7, 7, "sl") and got[8] == (4999, None, 4999, "t1") and got[4999] == (4999, 4999, 4999, "t1")
 
 
+def test_labels_of_every_bar(spark):
+    b = spark.createDataFrame([("s", 0, 1.0), ("s", 0, 2.0), ("s", 1, 4.0), ("s", 1, 4.0)], "k string, at long, price double")
+    t = spark.createDataFrame([("s", 0, 1, "pt")], "k string, at long, t_end long, barrier string")
+    label = lambda **o: sorted(r["ret"] for r in labels.label_events(t, b, by=BY, at="at", price="price", **o).collect())
+    assert label(every=True) == [1.0, 1.0, 3.0, 3.0] and len(label()) == 1
+
+
 def test_rare_labels_go_from_the_rarest(spark):
     df = spark.createDataFrame([("s", v) for v, n in ((0, 60), (1, 36), (-1, 3), (9, 1)) for _ in range(n)], "k string, bin int")
     keep = lambda least: {r["bin"] for r in labels.drop_rare_labels(df, by=BY, least=least).collect()}
