@@ -1,6 +1,7 @@
 """Worked examples, invariants and error contracts of the series operators."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -345,6 +346,29 @@ def test_sequential_draws_prefer_unique_events(spark):
     assert got.count(99) > 2 * 200 / 10
 
 
+def test_sequential_draws_by_hand():
+    """Pairs of draws come as often as uniqueness among the spans drawn before says."""
+    a, z, n = np.array([5, 7, 9, 5, 11]), np.array([7, 8, 10, 7, 16]), 20_000
+    d = labels.SpanDraws(a, z)
+    got = pd.Series([tuple(d.draw(2, np.random.default_rng(i)).tolist()) for i in range(n)]).value_counts()
+
+    def chances(drawn):
+        u = np.array([np.mean([1 / (1 + sum(a[d] <= t <= z[d] for d in drawn)) for t in range(x, y + 1)]) for x, y in zip(a, z, strict=True)])
+        return u / u.sum()
+
+    for i, p in enumerate(chances([])):
+        for j, q in enumerate(chances([i])):
+            assert got.get((i, j), 0) / n == pytest.approx(p * q, abs=5 * math.sqrt(p * q / n))
+
+
+def test_sequential_draws_of_a_long_series(spark):
+    """120,000 draws among 120,000 events within a minute: no draw looks at all events."""
+    spans = spark.range(120_000).selectExpr("'s' k", "id e", "id % 744 a", "id % 744 + 1 + id % 24 z")
+    began = time.monotonic()
+    got = labels.sequential_bootstrap(spans, by=BY, event="e", first="a", last="z").toPandas()
+    assert time.monotonic() - began < 60 and len(got) == 120_000 and got["e"].between(0, 119_999).all()
+
+
 def test_purged_folds_do_not_overlap(spark):
     ev = spark.range(100).selectExpr("'s' k", "id", "id * 10 t0", "id * 10 + 35 t1")
     rows = learning.purged_folds(ev, 5, by=BY, start="t0", end="t1", embargo=0.02).collect()
