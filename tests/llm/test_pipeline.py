@@ -168,3 +168,31 @@ def test_stages_of_odd_tables(spark, sf):
             assert len(out) == len(rows) and sum("<email>" in (r["text"] or "") for r in out) == 3
         elif name == "mix":
             assert max(Counter(r["doc_id"] for r in out).values(), default=0) <= 4
+
+
+def test_texts_apart_meet_without_pair_rows(spark, monkeypatch):
+    """A group of 60 sets in blocks of 7: the links found join what brute force joins, though no pair is a row."""
+    import numpy as np
+
+    from tickforge.llm import neardup
+
+    monkeypatch.setattr(neardup, "TEXTS", 7)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(40 + 40 * (i % 3), 30 + i % 9).astype("<u8") + 1000 * (i % 3)) for i in range(20)]
+    sets += [np.unique(np.concatenate([s[k:], s[:1] + 7000 + k])) for s in sets for k in (1, 3)]
+    roots = [i % 50 for i in range(60)]
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+
+    def parts(links):
+        label = list(range(60))
+        for i, j in [*links, *[(i, i - 50) for i in range(50, 60)]]:
+            label = [label[i] if v == label[j] else v for v in label]
+        return {frozenset(k for k in range(60) if label[k] == v) for v in label}
+
+    left = spark.createDataFrame([(0, 9, i, r) for i, r in enumerate(roots)], "band int, key long, fp long, root long")
+    table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "fp long, found binary")
+    out = neardup._apart(left, table, 0.8)
+    want = parts([(i, j) for i in range(60) for j in range(i) if alike(sets[i], sets[j])])
+    got = [(r["a"], r["b"]) for r in out.collect()]
+    assert parts(got) == want and 3 < len(want) < 50 and all(alike(sets[i], sets[j]) for i, j in got)
+    assert parts(neardup.joining(sets, roots, 0.8)) == want

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -280,13 +281,60 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return materialise(map_rows(pairs.join(own("b", "y"), "b").join(own("a", "x"), "a").select("a", "b", "x", "y"), run, "a long, b long", batch=50), "similar")
 
 
+def joining(sets: list[np.ndarray], roots: list[int], similarity: float, cross: int = 0) -> Iterator[tuple[int, int]]:
+    """Places of similar sets that join sets of different roots into components: a spanning forest of these links, none left out.
+
+    With `cross`, only sets before that place meet those from it on. A set's shares with all others
+    come at once, from marks over the block's own numbering of hashes.
+    """
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    starts = np.cumsum(size) - size
+    marks, label = np.zeros(int(flat.max()) + 1, bool), np.unique(np.array(roots), return_inverse=True)[1].reshape(-1)
+    for i in range(cross or len(sets)):
+        other = label != label[i]
+        other[: cross or i] = False
+        if not other.any():
+            continue
+        own = flat[starts[i] : starts[i] + size[i]]
+        marks[own] = True
+        both = np.add.reduceat(marks[flat], starts, dtype=np.int64)
+        marks[own] = False
+        for j in np.flatnonzero(other & (both >= similarity * (size[i] + size - both))).tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                yield i, j
+
+
+#: Texts of a band's group that meet in one task as a block; of larger groups every two blocks meet.
+TEXTS = 512
+
+
+def _apart(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join members (fp, root) of a group (band, key) that are similar and not yet of one root; no pair is a row."""
+    n = left.groupBy("band", "key").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("blocks"))
+    x = left.join(n, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("band", "key", "fp", "root", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("own", "ascending"), ("fp", "ascending")])
+        fps, own = t["fp"].to_pylist(), t["own"].to_pylist()
+        cross = own.count(own[0]) if t["p"][0] != t["q"][0] else 0
+        found = list(joining([np.frombuffer(v, "<u8") for v in t["found"].to_pylist()], t["root"].to_pylist(), similarity, cross)) if cross < len(own) else []
+        return pa.table({"a": pa.array([fps[i] for i, _ in found], pa.int64()), "b": pa.array([fps[j] for _, j in found], pa.int64())})
+
+    return x.join(sets, "fp").groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (doc_id, fp, component_id, component_fp) as near_duplicates(), fp the hash of the text.
 
     Texts link where the Jaccard similarity of their word shingles is `similarity` at least, as the
     sets themselves tell. Candidates are texts that agree in a MinHash band. In each band's group all
     are first compared with one, the text that meets most others in all its bands, then with a second
-    such of another component; only members that this left in different components meet each other.
+    such of another component; members that this left in different components meet each other in
+    blocks of TEXTS, of which only the links that join components come out.
 
     Null and empty texts have one and the same set; texts of fewer words than a shingle are one
     shingle; copies of a text are one node; repeated rows and null ids stay; texts are taken whole;
@@ -334,11 +382,8 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -
     links_ = links_.unionByName(star(seconds))
     rooted = with_roots(links_)
     parted = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band", "key")
-    left = rooted.join(parted, ["band", "key"], "left_semi")
-    x = left.select("band", "key", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    y = left.select("band", "key", F.col("fp").alias("b"), F.col("root").alias("rb"))
-    rest = x.join(y, ["band", "key"]).filter("a < b and ra != rb").select("a", "b").distinct()
-    links_ = links_.unionByName(_similar(rest, sets, similarity))
+    left = rooted.join(parted, ["band", "key"], "left_semi").select("band", "key", "fp", "root")
+    links_ = links_.unionByName(materialise(_apart(left, sets, similarity), "rest"))
     classes = materialise(_classes(nodes.select("fp", "least"), links_), "classes")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "component_fp")
 
