@@ -517,6 +517,41 @@ def test_near_copies(spark):
     assert neardup.drop_near_copies(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Candidates are fingerprints that share a band's value and link there within the radius: as brute force says, blocks or not; radius 0 finds no edited copy."""
+    import numpy as np
+
+    def parts(n, pairs):
+        label = list(range(n))
+        for i, j in pairs:
+            label = [label[i] if v == label[j] else v for v in label]
+        return {frozenset(k for k in range(n) if label[k] == v) for v in label}
+
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, (240, neardup.PRINT)).astype("<u8")
+    for i in range(240):
+        if i % 6:  # differs from one before in a sixth of bits
+            flips = np.packbits(rng.random(neardup.PRINT * 64) < 0.17, bitorder="little").view("<u8")
+            prints[i] = prints[i - 1 - i % 2] ^ flips
+    apart = lambda i, j: int(np.bitwise_count(prints[i, : neardup.NEAR] ^ prints[j, : neardup.NEAR]).sum())
+    group = np.sort(rng.integers(0, 9, 240))
+    for radius in (0, 17, 24, 36, 50, 64):
+        got = neardup.near_parts(group, prints[:, : neardup.NEAR], radius).tolist()
+        want = parts(240, [(i, j) for i in range(240) for j in range(i) if group[i] == group[j] and apart(i, j) <= radius])
+        assert parts(240, enumerate(got)) == want
+    values = [{(w, b, int(x[w]) >> 12 * b & 4095) for w in range(neardup.PRINT) for b in range(5)} for x in prints]
+    want = parts(240, [(i, j) for i in range(240) for j in range(i) if values[i] & values[j] and apart(i, j) <= neardup.RADIUS])
+    assert 20 < len(want) < 200
+    nodes = spark.createDataFrame([(i, x.view("<i8").tolist()) for i, x in enumerate(prints)], "fp long, print array<long>")
+    for most in (neardup.PRINTS, 2):
+        monkeypatch.setattr(neardup, "PRINTS", most)
+        assert parts(240, [(r["key"], r["fp"]) for r in neardup._meetings(nodes, neardup.RADIUS).collect()]) == want
+    text = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(text[: 50 * i] + ["x"] * (i > 0) + text[50 * i :])) for i in range(4)], "doc_id long, text string")
+    assert {r["component_id"] for r in neardup.near_copies(docs).collect()} == {0}
+    assert {r["component_id"] for r in neardup.near_copies(docs, radius=0).collect()} == {0, 1, 2, 3}
+
+
 CLASHES = ["__text_hash", "text_hash", "__hash", "__id", "fp", "root", "__k1", "k1", "k2", "spans", "__spans", "component_fp", "first_id", "column 0", "quality", "__trusted", "words", "rows", "copies", "__n", "times"]
 
 

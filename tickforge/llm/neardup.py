@@ -1,4 +1,4 @@
-"""Near duplicates: SimHash fingerprints within a Hamming radius, or exact shingle similarity of MinHash candidates; their components."""
+"""Near duplicates: SimHash fingerprints within a Hamming radius, or exact shingle similarity of those within a wide one; their components."""
 
 from __future__ import annotations
 
@@ -235,10 +235,11 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 3, radius: int = 2)
     return _first_of_each(docs, lambda own: near_duplicates(own, shingle=shingle, radius=radius, keep=("text_hash",)))
 
 
-#: MinHash: bands of a few values each. Sets of similarity 0.8 agree in a band at least with probability 1 - (1 - 0.8^5)^20 = 0.9996.
-BANDS, WIDTH = 20, 5
-_STEPS = np.array([xxhash.xxh64_intdigest(b"step", i) | 1 for i in range(BANDS * WIDTH)], "<u8")
-_SHIFTS = np.array([xxhash.xxh64_intdigest(b"shift", i) for i in range(BANDS * WIDTH)], "<u8")
+#: SimHash of sets of shingles: PRINT words of 64 bits, each cut into bands of WIDTH bits; distances are between the first NEAR words.
+#: Texts of similarity 0.8 differ in 15 % of bits at most (the angle whose cosine is 0.8 / 0.9), so a band's bits are alike
+#: with probability 0.85^12 = 0.139, those of one of 55 bands with 0.9997, and 36 or fewer of 128 bits differ with 0.9999.
+PRINT, WIDTH, NEAR, RADIUS = 11, 12, 2, 36
+_STEPS = np.array([xxhash.xxh64_intdigest(b"step", i) for i in range(PRINT)], "<u8")
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -254,12 +255,148 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """A key for each MinHash band of a set."""
-    least = np.full(len(_STEPS), 0xFFFFFFFF, "<u8")
-    for at in range(0, len(found), 1024):
-        least = np.minimum(least, ((found[at : at + 1024, None] * _STEPS + _SHIFTS) >> np.uint64(32)).min(axis=0))
-    return [_signed(xxhash.xxh64_intdigest(least[i : i + WIDTH].tobytes(), 42)) for i in range(0, len(least), WIDTH)]
+def set_print(found: np.ndarray) -> np.ndarray:
+    """SimHash of a sorted set of 64-bit hashes, PRINT words: a bit is 1 if set in over half of them, at a tie as in the least."""
+    total = np.zeros(PRINT * BITS, np.int64)
+    for at in range(0, len(found), 255):
+        z = found[at : at + 255, None] + _STEPS
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((z ^ z >> np.uint64(31)).view(np.uint8), axis=1, bitorder="little")
+        least = bits[0] if not at else least
+        total += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(2 * total + least > len(found), bitorder="little").view("<u8")
+
+
+def _add(x: int, y: int, z: int) -> tuple[int, int]:
+    """A full adder of three planes: planes of sums and of carries."""
+    part = x ^ y
+    return part ^ z, x & y | part & z
+
+
+def within_shift(planes: list[int], d: int, wanted: int, radius: int) -> int:
+    """Marks those of the wanted fingerprints i that differ from fingerprint i + d in `radius` or fewer bits, all at once.
+
+    Planes are those of BitPlanes; a plane differs from itself moved by d where bit j of the two
+    differs. Eight such planes at a time run through a tree of full adders, each of which saves its
+    carries for the next counter plane; the last carry ripples up. Once all are over the radius, the
+    rest is abandoned.
+    """
+    counter, near = [0] * max(4, len(planes).bit_length()), wanted
+    for at in range(0, len(planes), 8):
+        x = [p ^ p >> d for p in planes[at : at + 8]]
+        x += [0] * (8 - len(x))
+        ones, twos, fours = counter[:3]
+        ones, a = _add(ones, x[0], x[1])
+        ones, b = _add(ones, x[2], x[3])
+        twos, e = _add(twos, a, b)
+        ones, a = _add(ones, x[4], x[5])
+        ones, b = _add(ones, x[6], x[7])
+        twos, f = _add(twos, a, b)
+        fours, carry = _add(fours, e, f)
+        counter[:3] = ones, twos, fours
+        for k in range(3, len(counter)):
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+        if at + 8 >= len(planes) or at + 8 > radius and at % 32 == 24:
+            more, same = 0, wanted
+            for k in range(len(counter) - 1, -1, -1):
+                if radius >> k & 1:
+                    same &= counter[k]
+                else:
+                    more |= same & counter[k]
+                    same &= ~counter[k]
+            near = wanted & ~more
+            if not near:
+                return 0
+    return near
+
+
+def _planes(bits: np.ndarray) -> list[int]:
+    """Columns of a matrix of bits as integers."""
+    return [int.from_bytes(c.tobytes(), "little") for c in np.packbits(bits, axis=0, bitorder="little").T]
+
+
+def near_parts(group: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
+    """For each row a row of its part: rows of a group (numbers in order) whose prints (a row of words each) link within the radius, in steps.
+
+    All groups are compared at once, each row with the one d places on; larger groups come first, so
+    that rows which still have one stand at the front. Rows that are of one part already are not compared.
+    """
+    n = len(group)
+    size = np.bincount(group)[group]
+    order = np.argsort(-size, kind="stable")
+    group, size = group[order], size[order]
+    planes = _planes(np.unpackbits(np.ascontiguousarray(prints[order]).view(np.uint8).reshape(n, -1), axis=1, bitorder="little"))
+    part, held = np.arange(n), n
+    for d in range(1, int(size[0]) if n else 0):
+        m = int(np.searchsorted(-size, -d))
+        if m < held // 2:
+            planes, held = [p & (1 << m) - 1 for p in planes], m
+        wanted = _planes(((group[d:m] == group[: m - d]) & (part[d:m] != part[: m - d]))[:, None])[0]
+        near = within_shift(planes, d, wanted, radius) if wanted else 0
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(near.to_bytes(-(-m // 8), "little"), np.uint8), bitorder="little"))
+        while len(at := at[part[at] != part[at + d]]):
+            x, y = part[at], part[at + d]
+            np.minimum.at(part, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := part[part[:m]], part[:m]):
+                part[:m] = up
+    out = np.empty(n, np.int64)
+    out[order] = order[part]
+    return out
+
+
+#: Fingerprints of a band's value that are compared in one task; of more, every two blocks meet. Rows taken up at once.
+PRINTS, ROWS = 8192, 1 << 16
+
+
+def _meetings(nodes: DataFrame, radius: int) -> DataFrame:
+    """Groups (key, fp) of nodes (fp, print) whose prints agree in the bits of a band and link within the radius there, in steps.
+
+    key is the least fp of those; groups of one key are one group, whatever their bands. A value of a
+    band that more than PRINTS share is cut into blocks, every two of which are a task's.
+    """
+    words = [F.col("print")[i] for i in range(PRINT)]
+    each = BITS // WIDTH
+    values = [F.shiftrightunsigned(words[i // each], i % each * WIDTH).bitwiseAND((1 << WIDTH) - 1).cast("int") + (i << WIDTH) for i in range(PRINT * each)]
+    keyed = nodes.select("fp", *[words[i].alias(f"w{i}") for i in range(NEAR)], F.explode(F.array(*values)).alias("band"))
+    # One row at most for each value of each band, so of fixed size.
+    large = keyed.groupBy("band").agg(F.ceil(F.count("*") / PRINTS).cast("int").alias("blocks")).filter("blocks > 1")
+    x = keyed.join(F.broadcast(large), "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    x = x.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp", *[f"w{i}" for i in range(NEAR)])
+
+    def parts(t: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        fp, part = t["fp"].to_numpy(), near_parts(group, np.stack([t[f"w{i}"].to_numpy() for i in range(NEAR)], axis=1), radius)
+        least = np.full(len(fp), np.iinfo(np.int64).max)
+        np.minimum.at(least, part, fp)
+        met = np.bincount(part, minlength=len(fp))[part] > 1
+        return pa.RecordBatch.from_pydict({"key": least[part][met], "fp": fp[met]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([b])])
+            if len(held) >= ROWS:
+                group = numbered(held)
+                at = int(np.searchsorted(group, group[-1]))
+                if at:
+                    yield parts(held.slice(0, at), group[:at])
+                    held = held.slice(at)
+        if held is not None and len(held):
+            yield parts(held, numbered(held))
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        keys = np.stack([t[c].to_numpy() for c in ("band", "p", "q")])
+        return np.cumsum(np.r_[False, (keys[:, 1:] != keys[:, :-1]).any(axis=0)][: len(t)])
+
+    return x.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q").mapInArrow(run, "key long, fp long").distinct()
+
+
+def _merged(met: DataFrame) -> DataFrame:
+    """Groups (key, fp) in fewer rows: a group whose key is in groups of lesser keys joins that of the least, so none is divided."""
+    met = materialise(met, "groups")
+    up = met.filter("key != fp").groupBy(F.col("fp").alias("key")).agg(F.min("key").alias("up"))
+    return met.join(up, "key", "left").select(F.coalesce("up", "key").alias("key"), "fp").distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -311,11 +448,11 @@ TEXTS = 512
 
 
 def _apart(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join members (fp, root) of a group (band, key) that are similar and not yet of one root; no pair is a row."""
-    n = left.groupBy("band", "key").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("blocks"))
-    x = left.join(n, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
+    """Links (a, b) that join members (fp, root) of a group (key) that are similar and not yet of one root; no pair is a row."""
+    n = left.groupBy("key").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("blocks"))
+    x = left.join(n, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("band", "key", "fp", "root", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    x = x.select("key", "fp", "root", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("own", "ascending"), ("fp", "ascending")])
@@ -324,17 +461,19 @@ def _apart(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         found = list(joining([np.frombuffer(v, "<u8") for v in t["found"].to_pylist()], t["root"].to_pylist(), similarity, cross)) if cross < len(own) else []
         return pa.table({"a": pa.array([fps[i] for i, _ in found], pa.int64()), "b": pa.array([fps[j] for _, j in found], pa.int64())})
 
-    return x.join(sets, "fp").groupBy("band", "key", "p", "q").applyInArrow(run, "a long, b long")
+    return x.join(sets, "fp").groupBy("key", "p", "q").applyInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """Rows (doc_id, fp, component_id, component_fp) as near_duplicates(), fp the hash of the text.
 
     Texts link where the Jaccard similarity of their word shingles is `similarity` at least, as the
-    sets themselves tell. Candidates are texts that agree in a MinHash band. In each band's group all
-    are first compared with one, the text that meets most others in all its bands, then with a second
-    such of another component; members that this left in different components meet each other in
-    blocks of TEXTS, of which only the links that join components come out.
+    sets themselves tell. Candidates are texts whose SimHash fingerprints agree in a band and link
+    within `radius` of 128 bits among those that do, told by bit planes; a similarity other than 0.8
+    needs a radius of its own. In each such group all are first compared with one, the text that meets
+    most others in all its groups, then with a second such of another component; members that this
+    left in different components meet each other in blocks of TEXTS, of which only the links that
+    join components come out.
 
     Null and empty texts have one and the same set; texts of fewer words than a shingle are one
     shingle; copies of a text are one node; repeated rows and null ids stay; texts are taken whole;
@@ -344,18 +483,17 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -
 
     def sketch(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"doc_id": b["doc_id"], "fp": b["fp"], "keys": [band_keys(shingles(t, shingle)) for t in b["text"]]}
+            yield {"doc_id": b["doc_id"], "fp": b["fp"], "print": [set_print(shingles(t, shingle)).view("<i8") for t in b["text"]]}
 
     def found(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             yield {"fp": b["fp"], "found": [shingles(t, shingle).tobytes() for t in b["text"]]}
 
-    marked = materialise(map_rows(own, sketch, "doc_id long, fp long, keys array<long>"), "sketches")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "nodes")
-    keyed = nodes.select("fp", F.posexplode("keys").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    pairs = materialise(keyed.join(shared, ["band", "key"]), "pairs")
-    known = materialise(pairs.join(pairs.groupBy("fp").agg(F.sum("n").alias("met")), "fp").select("band", "key", "fp", "met"), "met")
+    marked = materialise(map_rows(own, sketch, "doc_id long, fp long, print array<long>"), "sketches")
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("print").alias("print")), "nodes")
+    met = materialise(_merged(_meetings(nodes.select("fp", "print"), radius)), "meetings")
+    pairs = materialise(met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key"), "pairs")
+    known = materialise(pairs.join(pairs.groupBy("fp").agg(F.sum("n").alias("met")), "fp").select("key", "fp", "met"), "met")
     # The text of a node is that of its rows with the least id, so copies do not meet in one task.
     wanted = nodes.join(known.select("fp").distinct(), "fp").select(F.col("fp").alias("__fp"), "least")
     texts = own.join(wanted, (own["fp"] == wanted["__fp"]) & own["doc_id"].eqNullSafe(wanted["least"]), "left_semi").select("fp", "text").dropDuplicates(["fp"])
@@ -365,7 +503,7 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -
 
     def star(heads: DataFrame) -> DataFrame:
         """Links between each group's head and its members that are not yet in the head's component."""
-        apart = rooted.join(heads, ["band", "key"]).filter("fp != head and root != head_root")
+        apart = rooted.join(heads, "key").filter("fp != head and root != head_root")
         return _similar(apart.select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct(), sets, similarity)
 
     def with_roots(found: DataFrame) -> DataFrame:
@@ -373,16 +511,16 @@ def near_copies(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -
         return materialise(known.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
 
     rooted = known.withColumn("root", F.col("fp"))
-    heads = known.groupBy("band", "key").agg(most(F.lit(True)).alias("head")).withColumn("head_root", F.col("head"))
+    heads = known.groupBy("key").agg(most(F.lit(True)).alias("head")).withColumn("head_root", F.col("head"))
     links_ = star(heads)
     rooted = with_roots(links_)
-    first = heads.select("band", "key", F.col("head").alias("fp")).join(rooted, ["band", "key", "fp"]).select("band", "key", F.col("root").alias("first"))
-    others = rooted.join(first, ["band", "key"]).groupBy("band", "key").agg(most(F.col("root") != F.col("first")).alias("fp")).filter("fp is not null")
-    seconds = others.join(rooted, ["band", "key", "fp"]).select("band", "key", F.col("fp").alias("head"), F.col("root").alias("head_root"))
+    first = heads.select("key", F.col("head").alias("fp")).join(rooted, ["key", "fp"]).select("key", F.col("root").alias("first"))
+    others = rooted.join(first, "key").groupBy("key").agg(most(F.col("root") != F.col("first")).alias("fp")).filter("fp is not null")
+    seconds = others.join(rooted, ["key", "fp"]).select("key", F.col("fp").alias("head"), F.col("root").alias("head_root"))
     links_ = links_.unionByName(star(seconds))
     rooted = with_roots(links_)
-    parted = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band", "key")
-    left = rooted.join(parted, ["band", "key"], "left_semi").select("band", "key", "fp", "root")
+    parted = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+    left = rooted.join(parted, "key", "left_semi").select("key", "fp", "root")
     links_ = links_.unionByName(materialise(_apart(left, sets, similarity), "rest"))
     classes = materialise(_classes(nodes.select("fp", "least"), links_), "classes")
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "component_fp")
